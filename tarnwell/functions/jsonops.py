@@ -11,9 +11,17 @@ from tarnwell.functions.text import ColumnLike, bind, collapse_spaces, col
 _MAP = "map<string,variant>"
 
 
+def is_json(text: ColumnLike) -> Column:
+    """True for exactly one complete JSON value; the parsers alone accept trailing rubbish."""
+    value = col(text)
+    single = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
+    whole = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit(',"end":1}')), "$.end") == "1"
+    return F.coalesce(single & whole, F.lit(False))
+
+
 def safe_json_object(text: ColumnLike) -> Column:
     """The parsed object, or an empty map for blank, broken or non-object text."""
-    parsed = F.try_parse_json(F.when(F.trim(col(text)) != "", col(text)))
+    parsed = F.try_parse_json(F.when(is_json(text), col(text)))
     as_map = F.try_variant_get(parsed, "$", _MAP)
     return F.coalesce(as_map, F.create_map().cast(_MAP))
 
@@ -127,7 +135,7 @@ def parse_items(response: ColumnLike) -> Column:
     (item, purpose, method) and blank names are dropped.
     """
     item = "struct<item:string,name:string,purpose:string,method:string>"
-    parsed = F.try_parse_json(col(response))
+    parsed = F.try_parse_json(F.when(is_json(response), col(response)))
     head = F.substring(F.ltrim(col(response)), 1, 1)
 
     def listed(path: str) -> Column:

@@ -34,9 +34,8 @@ def search_document(df: DataFrame, fields: dict[str, str], name: str = "fts") ->
         *[F.struct(F.lit(label).alias("label"), search_text(c).alias("tokens")) for c, label in fields.items()]
     )
     kept = F.filter(parts, lambda p: p["tokens"] != "")
-    out = df.withColumn(f"{name}_fields", kept)
-    joined = F.array_join(F.transform(F.col(f"{name}_fields"), lambda p: p["tokens"]), " ")
-    return out.withColumn(f"{name}_text", F.concat(F.lit(" "), joined, F.lit(" ")))
+    joined = F.concat_ws(" ", *[F.nullif(search_text(c), F.lit("")) for c in fields])
+    return df.withColumn(f"{name}_fields", kept).withColumn(f"{name}_text", F.concat(F.lit(" "), joined, F.lit(" ")))
 
 
 def token_index(df: DataFrame, keys: Sequence[str], fields: dict[str, str]) -> DataFrame:

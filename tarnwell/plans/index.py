@@ -127,12 +127,10 @@ _KIND_LISTS = {
 
 def keyword_rows(enriched: DataFrame, embed: Embedder | None = None, with_vectors: bool = True) -> DataFrame:
     """One row per term; exactly one of the five text columns and its vector is set."""
-    tagged = F.concat(
-        *[
-            F.transform(F.col(column), lambda t, i, k=kind: F.struct(F.lit(k).alias("kind"), t.alias("term"), i.alias("ord")))
-            for kind, column in _KIND_LISTS.items()
-        ]
-    )
+    def tag(kind: str, column: str) -> Column:
+        return F.transform(F.col(column), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    tagged = F.concat(*[tag(kind, column) for kind, column in _KIND_LISTS.items()])
     keep = ["doc_key", "kb_collection_id", "shard_id", "category", "article_type", "primary_topic"]
     rows = enriched.select(*[c for c in keep if c in enriched.columns], F.explode(tagged).alias("_t")).select(
         "*", F.col("_t.kind").alias("kind"), F.col("_t.term").alias("term")

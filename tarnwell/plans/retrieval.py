@@ -13,15 +13,18 @@ answered by one plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tarnwell.functions import text as tx
 from tarnwell.functions import vectors as vx
-from tarnwell.functions.fuzzy import fuzzy_ratio
+from tarnwell.functions.fuzzy import fuzzy_ratio, ratio
 from tarnwell.operators.fulltext import RANKERS, fts_match, search_clauses, search_document
 from tarnwell.operators.fusion import fuse_signals, select_candidates
 from tarnwell.operators.knn import knn_join
@@ -35,6 +38,7 @@ from tarnwell.operators.ranking import (
     top_n,
     winner_gap,
 )
+from tarnwell.session import materialise
 from tarnwell.settings import KEYWORD_LABELS, RETRIEVAL, SUMMARY_LABELS, TOPIC_LABEL, RetrievalSettings
 
 # Text column and vector column of every keyword kind.
@@ -276,34 +280,41 @@ def keyword_rollup(keywords: DataFrame) -> DataFrame:
     return rolled.select("kbid", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in rolled.columns[1:]])
 
 
-def best_snippets(rows: DataFrame, keys: Sequence[str], content: str, query: str, limit: int = RETRIEVAL.snippet_chars,
-                  name: str = "snippet") -> DataFrame:
-    """The passage of a text that fits a query best, per row.
+def pick_passage(body: str, asked: str, limit: int) -> str:
+    """The passage of a text that fits a question best; the first of equal ones."""
+    words = set(_words(asked))
+    if not body or not words:
+        return body[:limit]
+    best, best_score = "", -1.0
+    for chunk in passages(body):
+        own = set(_words(chunk))
+        overlap = len(words & own) / len(words | own) if own else 0.0
+        score = 0.7 * overlap + 0.3 * ratio(asked, chunk[:300])
+        if score > best_score:
+            best, best_score = chunk, score
+    return best[:limit]
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.findall("[a-z0-9]+", text.lower()) if len(w) > 1]
 
-    Paragraphs over 600 characters are read in windows of 600 that start every 350. The
-    score is 0.7 word overlap + 0.3 string similarity of the first 300 characters.
-    """
-    body, asked = tx.strip(F.coalesce(F.col(content), F.lit(""))), tx.strip(F.coalesce(F.col(query), F.lit("")))
-    paragraphs = F.filter(F.transform(F.split(body, r"\n{2,}"), lambda p: tx.strip(p)), lambda p: p != "")
-    windows = F.flatten(
-        F.transform(
-            paragraphs,
-            lambda p: F.when(F.length(p) <= 600, F.array(p)).otherwise(
-                F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(350)), lambda i: p.substr(i + 1, F.lit(600)))
-            ),
-        )
-    )
-    base = rows.withColumn("_body", body).withColumn("_asked", asked).withColumn("_words", tx.tokenize(asked))
-    plain = (F.col("_asked") == "") | (F.size("_words") == 0) | (F.col("_body") == "")
-    chunks = base.where(~plain).select(*keys, "_asked", "_words", F.posexplode(windows).alias("_at", "_chunk"))
-    scored = chunks.select(
-        *keys, "_at", "_chunk",
-        (0.7 * tx.jaccard("_words", tx.tokenize("_chunk")) + 0.3 * fuzzy_ratio("_asked", F.substring("_chunk", 1, 300))).alias("_score"),
-    )
-    best = scored.groupBy(*keys).agg(F.max_by("_chunk", F.struct("_score", -F.col("_at"))).alias("_best"))
-    joined = base.join(best, list(keys), "left")
-    picked = F.substring(F.when(plain, F.col("_body")).otherwise(F.col("_best")), 1, limit)
-    return joined.withColumn(name, F.coalesce(picked, F.lit(""))).drop("_body", "_asked", "_words", "_best")
+
+def passages(body: str) -> Iterator[str]:
+    """Paragraphs; those over 600 characters in windows of 600 that start every 350."""
+    for paragraph in re.split(r"\n{2,}", body):
+        paragraph = paragraph.strip()
+        starts = range(0, len(paragraph), 350) if len(paragraph) > 600 else range(1 if paragraph else 0)
+        yield from (paragraph[i : i + 600] for i in starts)
+
+
+def best_snippets(rows: DataFrame, content: str, query: str, limit: int = RETRIEVAL.snippet_chars, name: str = "snippet") -> DataFrame:
+    """Add the best passage per row; runs on the few pruned candidates, without a shuffle."""
+
+    @F.pandas_udf(T.StringType())
+    def picked(bodies: pd.Series, questions: pd.Series) -> pd.Series:
+        return pd.Series([pick_passage((b or "").strip(), (q or "").strip(), limit) for b, q in zip(bodies, questions)], dtype=object)
+
+    return rows.withColumn(name, picked(F.col(content), F.col(query)))
 
 
 def hydrate(candidates: DataFrame, summaries: DataFrame, keywords: DataFrame, query_texts: DataFrame) -> DataFrame:
@@ -311,7 +322,9 @@ def hydrate(candidates: DataFrame, summaries: DataFrame, keywords: DataFrame, qu
 
     Candidates without a summary are dropped, missing keyword fields become blank, the
     candidate position is kept. Only keyword rows of candidate documents are rolled up.
+    The candidates are few; they are written once because they are read twice.
     """
+    candidates = materialise(candidates, "candidates")
     ids = candidates.select("kbid").distinct()
     rollup = keyword_rollup(keywords.join(ids, "kbid", "left_semi"))
     texts = [c for c in rollup.columns if c not in ("kbid", *_ATTRIBUTES)]
@@ -324,8 +337,7 @@ def hydrate(candidates: DataFrame, summaries: DataFrame, keywords: DataFrame, qu
         .join(query_texts.select("query_id", "raw_query"), "query_id")
         .na.fill("", [*texts, *_ATTRIBUTES])
     )
-    keys = ["query_id", *(["shard_id"] if "shard_id" in candidates.columns else []), "kbid"]
-    return best_snippets(rows, keys, "content", "raw_query")
+    return best_snippets(rows, "content", "raw_query")
 
 
 # --- reranking -----------------------------------------------------------------------------
@@ -457,8 +469,6 @@ def two_level_select(
     Returns ``selected`` (one row per query, also for queries that found nothing),
     ``shard_winners`` and ``retrieved``. The retrieved frame is written once and shared.
     """
-    from tarnwell.session import materialise
-
     units = materialise(term_units(queries, embed, settings.per_shard_top_k), "units")
     found = best_across_groups(hybrid_search(units, keywords, summaries, settings, ranker), settings.per_shard_top_k)
     retrieved = materialise(found, "retrieved")

@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import text as tx
 from tarnwell.plans.models import embed_terms
+from tarnwell.sources.readers import spread_small
 
 BASE_SECONDS = 1_704_067_200  # 2024-01-01 UTC
 
 
+# Tables with long texts, and their keys.
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small(df, _TEXT_KEYS[name]) if name in _TEXT_KEYS else df
 
 
 # --- source documents and index state -------------------------------------------------------

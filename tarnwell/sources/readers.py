@@ -19,6 +19,16 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     return reader.load(path) if path else reader.load()
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread a text table that comes in fewer splits than there are cores.
+
+    A single small file is one task, and its text work would run on one core. A table with
+    enough splits is left as it is: at scale no text is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) * 4 < cores else df
+
+
 def source_documents(documents: DataFrame, collection: str, org: str | None = None) -> DataFrame:
     """Live documents of one collection: six columns."""
     rows = documents.where((F.col("knowledgebase_collection_id") == collection) & ~F.col("is_deleted"))
