@@ -111,7 +111,8 @@ def knn_join(
     else:
         largest = vectors.count()
     slices = max(1, -(-largest // slice_rows))
-    blocks = max(1, -(-queries.count() // block_queries))
+    asked = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(limit_col), F.lit(0)).alias("deepest")).first()
+    blocks = max(1, -(-asked["n"] // block_queries))
 
     q_cols = [c for c in queries.columns if c != query_vector]
     r_cols = [c for c in vectors.columns if c != vector and c not in match]
@@ -144,8 +145,8 @@ def knn_join(
     ranked = near.withColumn(
         "rank", F.row_number().over(by_query.orderBy("distance", *row_id))
     )
-    bound = F.col(limit) if isinstance(limit, str) else F.lit(limit)
-    return ranked.where(F.col("rank") <= bound)
+    # The literal bound lets Spark cut every partition before the shuffle.
+    return ranked.where((F.col("rank") <= asked["deepest"]) & (F.col("rank") <= limit_col))
 
 
 def ivf_fit(vectors: DataFrame, lists: int, seed: int = 7, vector: str = "embedding") -> DataFrame:

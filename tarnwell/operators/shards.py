@@ -16,7 +16,7 @@ def assign_shards(docs: DataFrame, registry: DataFrame, key: str = "doc_id", ord
 
     ``docs``: kb_collection_id and ``key`` (``order_value``: a number rising with the key, by
     default the key itself); ``registry``: kb_collection_id, shard_id, doc_count, max_shard_size.
-    Documents are numbered per collection in key order without gathering a collection in one
+    Only shards with room are kept in the running sum, full ones never reach it. Documents are numbered per collection in key order without gathering a collection in one
     task. Overflow shards follow by arithmetic, only the open slots need a join: the slots
     become blocks of positions, so a document finds its block by an equi-join.
     """
@@ -25,8 +25,8 @@ def assign_shards(docs: DataFrame, registry: DataFrame, key: str = "doc_id", ord
     by_shard = W.partitionBy("kb_collection_id").orderBy("shard_id")
     room = registry.withColumn("free", F.greatest(F.lit(0), F.col("max_shard_size") - F.col("doc_count")))
     slots = (
-        room.withColumn("slot_end", F.sum("free").over(by_shard))
-        .where(F.col("free") > 0)
+        room.where(F.col("free") > 0)
+        .withColumn("slot_end", F.sum("free").over(by_shard))
         .select("kb_collection_id", "shard_id", F.explode(F.sequence(F.col("slot_end") - F.col("free") + 1, F.col("slot_end"))).alias("position"))
     )
     totals = room.groupBy("kb_collection_id").agg(

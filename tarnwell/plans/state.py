@@ -10,9 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tarnwell.functions.jsonops import json_merge, json_object, with_external_id
+from tarnwell.functions.jsonops import json_merge, json_object, safe_json_object, with_external_id
 from tarnwell.functions.phones import call_end_status, is_uuid, phone_if_sip
 from tarnwell.operators.ranking import latest_per_key
 from tarnwell.operators.skew import ordered_positions
@@ -43,22 +42,28 @@ def resolve_calls(wanted: DataFrame, calls: DataFrame, identifier: str = "call_r
     return refs.join(newest.select(identifier, F.col("id").alias("resolved_id")), identifier, "left")
 
 
-def _merged_json(values: Column) -> Column:
-    """Fold an ordered list of JSON objects, later ones win."""
-    return F.aggregate(values, F.lit(None).cast("string"), lambda acc, x: json_merge(acc, x))
+def fold_json(updates: DataFrame, keys: Sequence[str], order: str, field: str) -> DataFrame:
+    """(keys, field): the JSON objects of a key merged in order, later values win.
 
+    A shallow merge is a last value per (key, JSON name), so it is an aggregate over the
+    exploded entries: a key with very many updates is combined before the shuffle.
+    """
+    entries = updates.select(*keys, order, F.explode(F.map_entries(safe_json_object(field))).alias("_e"))
+    last = entries.groupBy(*keys, F.col("_e.key").alias("_name")).agg(
+        F.max_by(F.coalesce(F.to_json("_e.value"), F.lit("null")), F.col(order)).alias("_value")
+    )
+    pairs = F.array_sort(F.collect_list(F.struct("_name", "_value")))
+    rebuilt = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["_name"], F.try_parse_json(p["_value"]))))
+    return last.groupBy(*keys).agg(F.to_json(rebuilt).alias(field))
 
-def fold_updates(updates: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], json_field: str | None = None) -> DataFrame:
-    """One row per key: the last non-null value of every field, JSON payloads merged in order.
 
-    Scalar fields are aggregates and combine before the shuffle. A merge in order is
-    folded per key; the key's payloads of one batch are what that costs.
-    """
+def fold_updates(updates: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], json_field: str | None = None) -> DataFrame:
+    """One row per key: the last non-null value of every field, JSON payloads merged in order."""
     last = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields]
-    if json_field:
-        parts = F.array_sort(F.collect_list(F.when(F.col(json_field).isNotNull(), F.struct(F.col(order).alias("o"), F.col(json_field).alias("j")))))
-        last.append(_merged_json(F.transform(parts, lambda p: p["j"])).alias(json_field))
-    return updates.groupBy(*keys).agg(*last)
+    folded = updates.groupBy(*keys).agg(*last)
+    if json_field is None:
+        return folded
+    return folded.join(fold_json(updates, keys, order, json_field), list(keys), "left")
 
 
 def upsert_calls(calls: DataFrame, updates: DataFrame, now: Column, order: str = "arrived") -> DataFrame:
@@ -234,9 +239,10 @@ def enqueue_requests(deployments: DataFrame, requests: DataFrame, now: Column, o
     latest = latest_per_key(deployments, DEPLOYMENT_KEY, _NEWEST).select(
         *DEPLOYMENT_KEY, F.col("id").alias("_id"), F.col("desired_state").alias("_desired"), F.col("workflow_status").alias("_workflow"),
     )
-    by_key = W.partitionBy(*DEPLOYMENT_KEY)
-    told = requests.join(latest, DEPLOYMENT_KEY, "left").withColumn(
-        "_last", F.row_number().over(by_key.orderBy(F.desc(order))) == 1
+    deciding = requests.groupBy(*DEPLOYMENT_KEY).agg(F.max(order).alias("_deciding"))
+    told = (
+        requests.join(latest, DEPLOYMENT_KEY, "left").join(deciding, DEPLOYMENT_KEY)
+        .withColumn("_last", F.col(order) == F.col("_deciding"))
     )
     busy = F.col("_id").isNotNull() & (F.col("_desired") == F.col("desired_state")) & F.col("_workflow").isin(BUSY_STATES)
     kind = F.when(busy | ~F.col("_last"), "request_deduplicated").otherwise("request_enqueued")

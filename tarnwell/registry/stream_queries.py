@@ -1 +1,103 @@
-"""Registered queries."""
+"""Streams over the test tables, run to the end of the data and read back from their sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tarnwell.plans import state as st
+from tarnwell.registry import query
+from tarnwell.registry.inputs import BASE_SECONDS, table
+from tarnwell.session import work_dir
+from tarnwell.sources.sinks import read_current
+from tarnwell.streaming import jobs
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 16).parquet(sf)
+
+
+def _sink(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
+    """Run a stream into parquet files of the shared folder and read them."""
+    out = work_dir(spark, name)
+    jobs.run_available(jobs.event_sink(events, f"{out}/data", f"{out}/progress"))
+    return spark.read.schema(events.schema).parquet(f"{out}/data")
+
+
+@query(
+    "transcript_stream",
+    """SELECT CAST(conv_id AS VARCHAR) AS call_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence_number, role AS speaker, md5(text) AS digest
+    FROM conversations WHERE role IN ('user', 'assistant')""",
+)
+def transcript_stream(spark: SparkSession, sf: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    items = _stream(spark, sf, "conversations").select(
+        F.col("conv_id").alias("call_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"), "turn", "role", F.col("text").alias("content")
+    )
+    done = _sink(spark, jobs.transcript_stream(items), "transcript")
+    return done.select("call_id", "sequence_number", "speaker", F.md5(F.col("content_text").cast("binary")).alias("digest"))
+
+
+@query("session_rollup_stream")
+def session_rollup_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions closed by the watermark; the ones still open at the end of the data stay in state."""
+    kind = F.col("event_type")
+    items = _stream(spark, sf, "events").select(
+        F.col("user_id").alias("call_id"), "ts", F.col("event_id").alias("seq"), F.when(kind == "view", "user").otherwise("assistant").alias("role"),
+        F.create_map(F.lit("e2e_latency"), F.when(kind == "view", F.col("value").cast("string"))).alias("metrics"), F.when(kind == "click", F.col("props")).alias("usage"),
+    )
+    done = _sink(spark, jobs.session_rollup_stream(items, gap="2 hours"), "sessions")
+    return done.select("call_id", "started_at", "user_turn_count", "assistant_turn_count", "usage_update_count", F.round("e2e_latency_avg", 6).alias("avg_latency"))
+
+
+@query(
+    "call_state_stream",
+    """SELECT CAST(user_id AS VARCHAR) AS call_id, arg_max(event_type, event_id) AS disconnect_reason, 0 AS user_turn_count FROM events GROUP BY user_id""",
+)
+def call_state_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = T.StructType.fromDDL("call_id string, disconnect_reason string, user_turn_count int, seen long")
+    root = work_dir(spark, "calls")
+
+    def step(current: DataFrame, batch: DataFrame) -> DataFrame:
+        # The last update per call wins, also over the stored row.
+        return st.replace_rows(current, batch, ["call_id"], [F.desc("seen")], ["user_turn_count"])
+
+    updates = _stream(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("call_id"), F.col("event_type").alias("disconnect_reason"), F.lit(None).cast("int").alias("user_turn_count"), F.col("event_id").alias("seen")
+    )
+    jobs.run_available(jobs.table_stream(updates, f"{root}/table", schema, step, f"{root}/progress"))
+    return read_current(spark, f"{root}/table", schema).drop("seen")
+
+
+@query("request_queue_stream", "SELECT DISTINCT user_id, event_type FROM events")
+def request_queue_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """One request per user and kind; repeats inside the watermark are dropped in the stream."""
+    schema = T.StructType.fromDDL("user_id long, event_type string, seen long")
+    root = work_dir(spark, "requests")
+    fresh = jobs.unique_requests(_stream(spark, sf, "events"), ["user_id", "event_type"], lateness="60 days")
+
+    def step(current: DataFrame, batch: DataFrame) -> DataFrame:
+        return st.replace_rows(current, batch.select("user_id", "event_type", F.col("event_id").alias("seen")), ["user_id", "event_type"], [F.desc("seen")])
+
+    jobs.run_available(jobs.table_stream(fresh, f"{root}/table", schema, step, f"{root}/progress"))
+    return read_current(spark, f"{root}/table", schema).select("user_id", "event_type")
+
+
+@query(
+    "incremental_sync_stream",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS digest FROM documents",
+)
+def incremental_sync_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Changed documents of a micro-batch replace their rows in the stored index table."""
+    schema = T.StructType.fromDDL("doc_id string, digest string, created_at timestamp, updated_at timestamp")
+    root = work_dir(spark, "sync")
+    now = F.timestamp_seconds(F.lit(BASE_SECONDS))
+
+    def step(current: DataFrame, batch: DataFrame) -> DataFrame:
+        return st.upsert_keep_created(current, batch, ["doc_id"], [F.desc("digest")], now)
+
+    changes = _stream(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    jobs.run_available(jobs.table_stream(changes, f"{root}/table", schema, step, f"{root}/progress"))
+    return read_current(spark, f"{root}/table", schema).select("doc_id", "digest")

@@ -51,8 +51,9 @@ def compare(spark, con, sf_dir, name, fn, sql):
     a, b = _rows(df.columns, got), _rows(cols, want)
     if a == b:
         return True, f"{len(a)} rows"
-    only_a = [r for r in a if r not in set(b)][:3]
-    only_b = [r for r in b if r not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    only_a = [r for r in a if r not in in_b][:3]
+    only_b = [r for r in b if r not in in_a][:3]
     return False, f"{len(a)} vs {len(b)} rows\n   spark {str(only_a)[:900]}\n   duck  {str(only_b)[:900]}"
 
 
