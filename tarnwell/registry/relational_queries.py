@@ -48,7 +48,7 @@ def _signals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     "minmax_fuse",
     f"""WITH {_SIGNALS_SQL} SELECT q, kbid, round((CASE WHEN vd IS NULL THEN 0 WHEN v0 = v1 THEN 1 ELSE 1 - (vd - v0) / (v1 - v0) END) * 0.45::DOUBLE
       + (CASE WHEN kr IS NULL THEN 0 WHEN k0 = k1 THEN 1 ELSE (kr - k0) / (k1 - k0) END) * 0.25::DOUBLE + (CASE WHEN sr IS NULL THEN 0 WHEN s0 = s1 THEN 1 ELSE (sr - s0) / (s1 - s0) END) * 0.30::DOUBLE
-      + 0.15::DOUBLE * ((vd IS NOT NULL)::INT + (kr IS NOT NULL)::INT + (sr IS NOT NULL)::INT - 1), 6) AS score,
+      + 0.15::DOUBLE * ((vd IS NOT NULL)::INT + (kr IS NOT NULL)::INT + (sr IS NOT NULL)::INT - 1) + 1e-9, 6) AS score,
       (vd IS NOT NULL)::INT + (kr IS NOT NULL)::INT + (sr IS NOT NULL)::INT AS signals FROM w""",
 )
 def minmax_fuse(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +56,7 @@ def minmax_fuse(spark: SparkSession, sf: str) -> DataFrame:
     from tarnwell.operators.fusion import fuse_signals
 
     fused = fuse_signals(*_signals(spark, sf), ["q"])
-    return fused.select("q", "kbid", F.round("rrf_score", 6).alias("score"), "signals")
+    return fused.select("q", "kbid", F.round(F.col("rrf_score") + 1e-9, 6).alias("score"), "signals")
 
 
 @query(

@@ -17,7 +17,7 @@ from tarnwell.functions.vectors import check_dim
 from tarnwell.plans.retrieval import KIND_COLUMNS
 from tarnwell.settings import INDEX
 
-_POINTER = "_current"
+_POINTER = "CURRENT"
 
 
 def _fs(spark: SparkSession, path: str):
