@@ -13,10 +13,8 @@ _MAP = "map<string,variant>"
 
 def is_json(text: ColumnLike) -> Column:
     """True for exactly one complete JSON value; the parsers alone accept trailing rubbish."""
-    value = col(text)
-    single = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
-    whole = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit(',"end":1}')), "$.end") == "1"
-    return F.coalesce(single & whole, F.lit(False))
+    # A second element after it makes both a missing and an extra bracket change the count.
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), col(text), F.lit(",0]"))) == 2, F.lit(False))
 
 
 def safe_json_object(text: ColumnLike) -> Column:
@@ -52,9 +50,9 @@ def json_object(**values: ColumnLike) -> Column:
 
 def with_external_id(call_id: ColumnLike, data: ColumnLike) -> Column:
     """Call data with the outside identifier added when the id is not a UUID; blank becomes null."""
-    own = F.when(~is_uuid(call_id), F.to_json(F.struct(col(call_id).alias("external_call_id"))))
-    given = F.when(F.size(safe_json_object(data)) > 0, col(data))
-    return json_merge(own, given)
+    given = F.when(F.trim(col(data)).rlike(r"^\{\s*\S") & ~F.trim(col(data)).rlike(r"^\{\s*\}$"), col(data))
+    own = F.to_json(F.struct(col(call_id).alias("external_call_id")))
+    return F.when(is_uuid(call_id), given).otherwise(json_merge(own, given))
 
 
 def json_list(value: Column, *paths: str) -> Column:

@@ -55,6 +55,7 @@ def _block_kernel(query_cols: Sequence[str], row_cols: Sequence[str], sort_cols:
         picked_q: list[np.ndarray] = []
         picked_r: list[np.ndarray] = []
         picked_d: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         if len(queries) and len(rows):
             if cell:
                 cells = rows.column(cell).to_numpy()
@@ -73,12 +74,14 @@ def _block_kernel(query_cols: Sequence[str], row_cols: Sequence[str], sort_cols:
                         picked_q.append(np.full(len(best), first + i))
                         picked_r.append(best)
                         picked_d.append(line[best])
+                        places.append(np.arange(1, len(best) + 1, dtype=np.int32))
         if not picked_q:
-            picked_q, picked_r, picked_d = [np.array([], int)], [np.array([], int)], [np.array([], float)]
+            picked_q, picked_r, picked_d, places = ([np.array([], t)] for t in (int, int, float, np.int32))
         qi, ri = np.concatenate(picked_q).astype(int), np.concatenate(picked_r).astype(int)
         out = {c: queries.column(c).take(pa.array(qi)) for c in query_cols}
         out |= {c: rows.column(c).take(pa.array(ri)) for c in row_cols}
         out["distance"] = pa.array(np.concatenate(picked_d))
+        out["rank"] = pa.array(np.concatenate(places))
         return pa.table(out)
 
     return kernel
@@ -98,7 +101,8 @@ def knn_join(
     block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """Nearest rows per query (and per ``cell``): all columns of both sides but the vectors,
-    with ``distance`` and ``rank``.
+    with ``distance`` and ``rank``. With ``cell`` a cell is never cut, so cells have to be bounded
+    (shards are); without it rows are cut freely and a window merges the slices.
 
     ``match`` names columns both sides must share (a vector column kind, an inverted list);
     ``limit`` is a number or a query column; ties are cut by ``row_id``. Counting both
@@ -134,17 +138,17 @@ def knn_join(
     schema = T.StructType(
         [queries.schema[c] for c in q_cols]
         + [vectors.schema[c] for c in r_cols]
-        + [T.StructField("distance", T.DoubleType())]
+        + [T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())]
     )
     near = (
         q_side.groupBy(*keys)
         .cogroup(v_side.groupBy(*keys))
         .applyInArrow(_block_kernel(q_cols, r_cols, row_id, cell), schema)
     )
-    by_query = W.partitionBy(query_id, *([cell] if cell else []))
-    ranked = near.withColumn(
-        "rank", F.row_number().over(by_query.orderBy("distance", *row_id))
-    )
+    if cell or slices == 1:
+        # A cell lies in one slice, so the order inside the cogroup is the final one.
+        return near
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("distance", *row_id)))
     # The literal bound lets Spark cut every partition before the shuffle.
     return ranked.where((F.col("rank") <= asked["deepest"]) & (F.col("rank") <= limit_col))
 

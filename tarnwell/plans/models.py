@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,16 +69,19 @@ def hash_embedder(dim: int = INDEX.vector_dim) -> Embedder:
 
 
 def embedding_column(embed: Embedder):
-    """Pandas function from a text column to its vectors; blank texts and zero vectors are null."""
+    """Arrow function from a text column to its vectors; blank texts and zero vectors are null."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            usable = [t if isinstance(t, str) else "" for t in texts]
-            matrix = embed(usable)
+            usable = [t or "" for t in texts.to_pylist()]
+            matrix = np.asarray(embed(usable), dtype=np.float32)
             if len(matrix) != len(usable):
                 raise ValueError(f"expected {len(usable)} vectors, got {len(matrix)}")
-            yield pd.Series([row if text.strip() and row.any() else None for text, row in zip(usable, matrix)])
+            dim = matrix.shape[1] if len(usable) else 0
+            empty = ~matrix.any(axis=1) | np.array([not t.strip() for t in usable], dtype=bool)
+            offsets = np.arange(len(usable) + 1, dtype=np.int32) * dim
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()), mask=pa.array(empty))
 
     return vectors
 

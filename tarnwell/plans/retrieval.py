@@ -90,20 +90,23 @@ def _contains(query: Column, fields: Sequence[str | Column]) -> Column:
 def vector_flags(query_text: str, fields: Sequence[str]) -> tuple[Column, Column]:
     """Exact hit, and containment in either direction, of a query against short fields."""
     query = F.lower(tx.collapse_spaces(query_text))
-    values = F.filter(F.array(*[F.lower(F.trim(F.col(f))) for f in fields]), lambda v: v.isNotNull() & (v != ""))
-    usable = query != ""
-    exact = usable & F.exists(values, lambda v: v == query)
-    phrase = usable & F.exists(values, lambda v: F.contains(v, query) | F.contains(query, v))
+    values = [F.lower(F.trim(F.col(f))) for f in fields]
+    exact = F.greatest(*[F.coalesce((query != "") & (v == query), F.lit(False)) for v in values])
+    phrase = F.greatest(
+        *[F.coalesce((query != "") & (v != "") & (F.contains(v, query) | F.contains(query, v)), F.lit(False)) for v in values]
+    )
     return exact, phrase
 
 
 def vector_search(units: DataFrame, keywords: DataFrame, settings: RetrievalSettings = RETRIEVAL) -> DataFrame:
     """Boosted distance of the nearest documents per (unit, shard)."""
     limited = units.select(
-        "unit_id", "kind", "query_text", "embedding", F.col("category").alias("wanted_category"),
+        "unit_id", "kind", "embedding",
         search_limit("top_k", "category", settings.oversample, settings.category_oversample).alias("fetch"),
     )
-    near = knn_join(limited, keyword_terms(keywords), "unit_id", ["kbid", "term"], "fetch", match=["kind"], cell="shard_id")
+    found = knn_join(limited, keyword_terms(keywords), "unit_id", ["kbid", "term"], "fetch", match=["kind"], cell="shard_id")
+    # The query texts are joined back afterwards: the kernel moves ids, not texts.
+    near = found.join(units.select("unit_id", "query_text", F.col("category").alias("wanted_category")), "unit_id")
     exact, phrase = vector_flags("query_text", ["primary_topic", "term"])
     factor = vx.distance_multiplier("wanted_category", "category", settings)
     boosted = near.select(

@@ -196,7 +196,10 @@ def lifecycle_times(workflow: Column, runtime: Column, error: Column, now: Colum
 
 
 DEPLOYMENT_KEY = ["agent_name", "namespace", "deployment_name"]
-_NEWEST = [F.desc("updated_at"), F.desc("created_at"), F.desc("id")]
+
+
+def newest_first() -> list[Column]:
+    return [F.desc("updated_at"), F.desc("created_at"), F.desc("id")]
 
 
 def claimable(deployments: DataFrame) -> DataFrame:
@@ -236,7 +239,7 @@ def enqueue_requests(deployments: DataFrame, requests: DataFrame, now: Column, o
     event; otherwise the latest row of its key is reset to pending, or a row is inserted.
     The last request per key in the batch decides, equal earlier ones are duplicates of it.
     """
-    latest = latest_per_key(deployments, DEPLOYMENT_KEY, _NEWEST).select(
+    latest = latest_per_key(deployments, DEPLOYMENT_KEY, newest_first()).select(
         *DEPLOYMENT_KEY, F.col("id").alias("_id"), F.col("desired_state").alias("_desired"), F.col("workflow_status").alias("_workflow"),
     )
     deciding = requests.groupBy(*DEPLOYMENT_KEY).agg(F.max(order).alias("_deciding"))
@@ -321,7 +324,7 @@ def save_binding_status(bindings: DataFrame, updates: DataFrame, now: Column, or
     known = bindings.select("id", "updated_at", "created_at", F.col("agent_name").alias("_agent"), F.col("phone_number").alias("_phone"))
     by_agent = last.select("agent_name").join(known, F.col("agent_name") == F.col("_agent"))
     by_phone = last.select("agent_name", "phone_number").join(known, F.col("phone_number") == F.col("_phone")).drop("phone_number")
-    found = latest_per_key(by_agent.unionByName(by_phone), ["agent_name"], _NEWEST).select("agent_name", F.col("id").alias("_id"))
+    found = latest_per_key(by_agent.unionByName(by_phone), ["agent_name"], newest_first()).select("agent_name", F.col("id").alias("_id"))
     told = last.join(found, "agent_name", "left").withColumn("_target", F.coalesce("_id", F.md5(F.col("agent_name").cast("binary"))))
     # Two agents of one batch can meet on one binding: the later update wins.
     told = latest_per_key(told, ["_target"], [F.desc(order)])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarnwell.plans import state as st
 from tarnwell.registry import query
 from tarnwell.registry.inputs import BASE_SECONDS, table
+from tarnwell.schemas import schema_of
 from tarnwell.session import work_dir
 from tarnwell.sources.sinks import read_current
 from tarnwell.streaming import jobs
@@ -57,7 +57,7 @@ def session_rollup_stream(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT CAST(user_id AS VARCHAR) AS call_id, arg_max(event_type, event_id) AS disconnect_reason, 0 AS user_turn_count FROM events GROUP BY user_id""",
 )
 def call_state_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = T.StructType.fromDDL("call_id string, disconnect_reason string, user_turn_count int, seen long")
+    schema = schema_of("call_id string, disconnect_reason string, user_turn_count int, seen long")
     root = work_dir(spark, "calls")
 
     def step(current: DataFrame, batch: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def call_state_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("request_queue_stream", "SELECT DISTINCT user_id, event_type FROM events")
 def request_queue_stream(spark: SparkSession, sf: str) -> DataFrame:
     """One request per user and kind; repeats inside the watermark are dropped in the stream."""
-    schema = T.StructType.fromDDL("user_id long, event_type string, seen long")
+    schema = schema_of("user_id long, event_type string, seen long")
     root = work_dir(spark, "requests")
     fresh = jobs.unique_requests(_stream(spark, sf, "events"), ["user_id", "event_type"], lateness="60 days")
 
@@ -91,7 +91,7 @@ def request_queue_stream(spark: SparkSession, sf: str) -> DataFrame:
 )
 def incremental_sync_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Changed documents of a micro-batch replace their rows in the stored index table."""
-    schema = T.StructType.fromDDL("doc_id string, digest string, created_at timestamp, updated_at timestamp")
+    schema = schema_of("doc_id string, digest string, created_at timestamp, updated_at timestamp")
     root = work_dir(spark, "sync")
     now = F.timestamp_seconds(F.lit(BASE_SECONDS))
 

@@ -13,9 +13,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tarnwell.functions.jsonops import content_to_text
 from tarnwell.operators.sessions import LATENCY_METRICS
+from tarnwell.schemas import schema_of
 from tarnwell.sources.sinks import read_current, replace_table
 
-TRANSCRIPT_OUT = T.StructType.fromDDL(
+TRANSCRIPT_OUT = schema_of(
     "call_id string, sequence_number long, event_type string, speaker string, content_text string, item_id string"
 )
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,8 +26,8 @@ class _Numbering(StatefulProcessor):
     """Running number of the turns of a call, kept in state; a turn seen before is dropped."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", T.StructType.fromDDL("n long"))
-        self._seen = handle.getMapState("seen", T.StructType.fromDDL("item_id string"), T.StructType.fromDDL("n long"))
+        self._last = handle.getValueState("last", schema_of("n long"))
+        self._seen = handle.getMapState("seen", schema_of("item_id string"), schema_of("n long"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["turn", "item_id"])
