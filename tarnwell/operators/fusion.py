@@ -24,8 +24,8 @@ def merge_signals(vector: DataFrame, keywords: DataFrame, summaries: DataFrame,
     """One row per key with every signal it has; the same rows a full outer join gives.
 
     The three inputs are stacked and grouped once, which costs one shuffle where two full
-    outer joins would cost more. Attributes come from the first input that has them, in the
-    order vector, keywords, summaries; flags are combined with OR.
+    outer joins would cost more. Attributes come from the first input that has the row, in
+    the order vector, keywords, summaries; flags are combined with OR.
     """
     def shaped(df: DataFrame, order: int) -> DataFrame:
         have = set(df.columns)
@@ -41,9 +41,10 @@ def merge_signals(vector: DataFrame, keywords: DataFrame, summaries: DataFrame,
         F.max("fts_keywords_rank").alias("fts_keywords_rank"),
         F.max("fts_summaries_rank").alias("fts_summaries_rank"),
         *[F.max(f).alias(f) for f in _FLAGS],
-        *[F.min_by(F.col(a), F.when(F.col(a).isNotNull(), F.col("_order"))).alias(a) for a in ATTRIBUTES],
+        F.min_by(F.struct(*ATTRIBUTES), "_order").alias("_attributes"),
     ]
-    return stacked.groupBy(*keys).agg(*aggregates)
+    merged = stacked.groupBy(*keys).agg(*aggregates)
+    return merged.select("*", *[F.col(f"_attributes.{a}").alias(a) for a in ATTRIBUTES]).drop("_attributes")
 
 
 def fuse_signals(

@@ -483,8 +483,10 @@ def two_level_select(
     shard_winners = rerank(per_shard, ["query_id", "shard_id"], strategy, scorer, settings)
 
     pool = best_per_doc(per_shard, ["query_id", "kbid"], "rrf_score", ["shard_id"], False)
-    by_score = W.partitionBy("query_id").orderBy(F.desc("rrf_score"), F.asc("kbid"))
-    pool = pool.withColumn("position", F.row_number().over(by_score))
+    # Only the best few of the pool are reranked; the literal bound cuts every partition before
+    # the shuffle, however many shards a query has candidates in.
+    best_first = [F.desc("rrf_score"), F.asc("kbid")]
+    pool = top_n(pool.drop("position"), ["query_id"], best_first, max(1, settings.rerank_window), "position")
     final = rerank(pool, ["query_id"], strategy, scorer, settings)
     shape = per_shard.groupBy("query_id").agg(
         F.count_distinct("kbid").alias("pool_size"), F.count_distinct("shard_id").alias("shards")
