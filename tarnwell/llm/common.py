@@ -25,6 +25,7 @@ BYTE_MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uin
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
+BYTE_MIX[IS_SPACE] = 0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -84,13 +85,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece_hashes(raw: np.ndarray, starts: np.ndarray, base: np.uint64, block: int = 1 << 22) -> np.ndarray:
-    """A polynomial hash of each stretch that begins at a start; white space adds nothing. Worked off in blocks."""
+def _piece_hashes(raw: np.ndarray, starts: np.ndarray, base: np.uint64, mix: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A polynomial hash of each stretch from one start to the next; ``mix`` has what each symbol adds. Worked off in blocks."""
     out = np.empty(len(starts), np.uint64)
     ends = np.append(starts[1:], len(raw))
     lo = 0
-    mix = BYTE_MIX.copy()
-    mix[IS_SPACE] = 0
     powers = np.ones(64, np.uint64)
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + block, side="right")))
@@ -125,7 +124,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, kinds: int = 1) -> tuple[np.ndarr
     if not len(starts):
         return first, [np.zeros(0, np.uint64) for _ in range(kinds)]
     # A row's leading white space belongs to no word: stretches run from one word start to the next and space adds nothing.
-    return first, [mixed(_piece_hashes(raw, starts, BASES[k])) for k in range(kinds)]
+    return first, [mixed(_piece_hashes(raw, starts, BASES[k], BYTE_MIX)) for k in range(kinds)]
 
 
 def window_hashes(word_hash: np.ndarray, width: int, base: np.uint64) -> np.ndarray:

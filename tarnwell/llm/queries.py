@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import exact_dedup, sharding
+from tarnwell.llm import bpe, exact_dedup, jaccard_join, packing, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,68 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+@query(
+    "op5_substring_dedup",
+    rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+    win AS (
+      SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+    least AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+    gone AS (SELECT DISTINCT doc_id, i + o AS p FROM win JOIN least USING (k), (SELECT unnest(range(0, 13)) AS o) WHERE doc_id > d),
+    pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+    kept AS (
+      SELECT doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY pos.p) FILTER (WHERE gone.p IS NULL) AS t
+      FROM pos LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), width=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"), length=2_048)
+
+
+@query(
+    "op7_jaccard_join",
+    rf"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws
+      FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    link AS (
+      SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.b AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = d.doc_id
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return both.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.bounded_ring_shards(table(spark, sf_dir, "documents"), shards=8)
