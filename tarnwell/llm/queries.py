@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, exact_dedup, jaccard_join, packing, sharding, substring_dedup
+from tarnwell.llm import bpe, exact_dedup, jaccard_join, packing, secrets, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +95,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+@query("op8_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    # Every rule of this query is a base rule, so all spans are base spans.
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined.cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokenizers.path("byte_bpe_multi_50k.tiktoken")
