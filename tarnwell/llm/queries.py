@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, exact_dedup, jaccard_join, packing, secrets, sharding, substring_dedup
+from tarnwell.llm import bpe, exact_dedup, jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_SCORED = """
+    WITH v AS (
+      SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY rank <= 5
+"""
+
+
+@query("op3_topk_search", _SCORED)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_inner_products(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
