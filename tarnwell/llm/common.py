@@ -105,15 +105,17 @@ def _piece_hashes(raw: np.ndarray, starts: np.ndarray, base: np.uint64, mix: np.
     return out
 
 
-def words(raw: np.ndarray, bounds: np.ndarray, kinds: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words are maximal runs without white space inside one row.
+def words(
+    raw: np.ndarray, bounds: np.ndarray, kinds: int = 1, gaps: np.ndarray = IS_SPACE, mix: np.ndarray = BYTE_MIX
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Words are maximal runs without white space (or other ``gaps``, for which ``mix`` has zeros) inside one row.
 
     Gives the first word of each row (one bound more than rows) and, for each of ``kinds`` independent
     bases, a 64-bit hash of every word.
     """
     if not len(raw):
         return np.zeros(len(bounds), np.int64), [np.zeros(0, np.uint64) for _ in range(kinds)]
-    space = IS_SPACE[raw]
+    space = gaps[raw]
     begins = np.empty(len(raw), bool)
     begins[0] = True
     begins[1:] = space[:-1]
@@ -124,7 +126,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, kinds: int = 1) -> tuple[np.ndarr
     if not len(starts):
         return first, [np.zeros(0, np.uint64) for _ in range(kinds)]
     # A row's leading white space belongs to no word: stretches run from one word start to the next and space adds nothing.
-    return first, [mixed(_piece_hashes(raw, starts, BASES[k], BYTE_MIX)) for k in range(kinds)]
+    return first, [mixed(_piece_hashes(raw, starts, BASES[k], mix)) for k in range(kinds)]
 
 
 def window_hashes(word_hash: np.ndarray, width: int, base: np.uint64) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, exact_dedup, jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, topk_search
+from tarnwell.llm import bpe, exact_dedup, jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_inner_products(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
