@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import log2_up, materialise, salts_of, sizes, text_column
+from tarnwell.llm.common import free_name, log2_up, materialise, salts_of, sizes, text_column
 
 #: Fingerprints that one segment is to hold at most, on average.
 SEGMENT_ROWS = 1 << 20
@@ -143,3 +143,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256",
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text no kept row has, with all their columns; rows that repeat doc_id and text stay together."""
+    digest, doc = free_name(docs, "dedup_digest"), free_name(docs, "dedup_doc")
+    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(digest)).distinct()
+    own = F.sha2(text_column(docs).cast("binary"), 256)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(doc)) & (own == F.col(digest)), "left_anti")

@@ -19,7 +19,6 @@ that meet pairwise, so a task holds two parts at most.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.census import BLOB, Layout, answer, by_segment, grouped_totals
-from tarnwell.llm.common import BASES, LOWER, materialise, mixed, sizes, text_bytes, text_column, window_hashes, words
+from tarnwell.llm.common import BASES, LOWER, free_name, materialise, mixed, sizes, text_bytes, text_column, window_hashes, words
 
 #: Groups of the count vector.
 GROUPS = 64
@@ -332,7 +331,9 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     )
 
 
-def tasks_of_block(members: int) -> int:
-    """How many tasks the R-tree join of a block is cut into."""
-    parts = math.ceil(members / BLOCK_ROWS)
-    return parts * (parts + 1) // 2
+def keep_smallest(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns; null doc_ids stay."""
+    doc = free_name(docs, "join_doc")
+    found = linked_components(docs, width, percent)
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(doc), "left_anti")
