@@ -46,7 +46,9 @@ class Layout:
 
 def by_segment(segments: np.ndarray, total: int) -> list[tuple[int, int, int]]:
     """(segment, from, to) of each segment in sorted segments."""
-    cuts = np.flatnonzero(np.append(True, segments[1:] != segments[:-1])) if len(segments) else np.zeros(0, np.int64)
+    if not total:
+        return []
+    cuts = np.flatnonzero(np.append(True, segments[1:] != segments[:-1]))
     ends = np.append(cuts[1:], total)
     return [(int(segments[a]), int(a), int(b)) for a, b in zip(cuts, ends, strict=True)]
 
