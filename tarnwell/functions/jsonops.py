@@ -183,12 +183,24 @@ def tool_event_text(tool: ColumnLike, ok: ColumnLike, result: ColumnLike, error:
     )
 
 
-def numeric_leaves(df: DataFrame, keys: list[str], payload: str, depth: int = 6) -> DataFrame:
+def json_depth(payload: ColumnLike) -> Column:
+    """How deep containers are nested in a JSON text, by its brackets outside of strings."""
+    bare = F.regexp_replace(F.regexp_replace(col(payload), r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    walk = F.aggregate(
+        F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda acc, c: F.when(c.isin("[", "{"), F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most")))
+        .when(c.isin("]", "}"), F.struct((acc["now"] - 1).alias("now"), acc["most"].alias("most"))).otherwise(acc),
+    )
+    return F.coalesce(walk["most"], F.lit(0))
+
+
+def numeric_leaves(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
     """Rows (keys, path, value) of every number in nested JSON, under paths like ``a.b[0]``.
 
-    One explode per level down to ``depth`` levels; booleans, texts and nulls are skipped.
+    One explode per level, down to the deepest level of the table; booleans, texts and nulls are skipped.
     Each level is a lateral join in the JVM over rows that still hold containers.
     """
+    depth = df.agg(F.coalesce(F.max(json_depth(payload)), F.lit(0)).alias("depth")).first()["depth"]
     level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(payload).alias("node"))
     found = None
     for _ in range(depth + 1):
@@ -210,5 +222,5 @@ def numeric_leaves(df: DataFrame, keys: list[str], payload: str, depth: int = 6)
     return found
 
 
-def numeric_totals(df: DataFrame, keys: list[str], payload: str, depth: int = 6) -> DataFrame:
-    return numeric_leaves(df, keys, payload, depth).groupBy(*keys, "path").agg(F.sum("value").alias("total"))
+def numeric_totals(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    return numeric_leaves(df, keys, payload).groupBy(*keys, "path").agg(F.sum("value").alias("total"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.session import materialise
+
 # At most 1 / HOT_SHARE keys can each hold more than this share of the rows.
 HOT_SHARE = 0.001
 HOT_ROWS = 100_000
@@ -36,7 +38,8 @@ def dedup_apply(
     """``apply`` gets (key, content) of the distinct contents and returns key + result columns."""
     keyed = df.withColumn(key, F.md5(F.col(content).cast("binary")))
     unique = keyed.groupBy(key).agg(F.min(content).alias(content), F.count(F.lit(1)).alias("_copies"))
-    results = apply(unique.select(key, content))
+    # Two branches read the results; a costly step must not run for each of them.
+    results = materialise(apply(unique.select(key, content)), "applied")
     counted = results.join(unique.select(key, "_copies"), key)
     return join_to_copies(keyed, counted, key, "_copies", row_id)
 

@@ -14,10 +14,18 @@ MIN_IMAGE_SIDE = 50.0
 
 
 def words_to_lines(words: DataFrame, keys: list[str], tolerance: float = 5.0) -> DataFrame:
-    """Words (keys, x, y, text) grouped into lines by vertical gaps; a line has mean y and least x."""
-    by_page = W.partitionBy(*keys).orderBy("y", "x", "text")
-    opened = (F.col("y") - F.lag("y").over(by_page) >= tolerance).cast("int")
-    numbered = words.withColumn("_line", F.sum(F.coalesce(opened, F.lit(0))).over(by_page))
+    """Words (keys, x, y, text) grouped into lines; a line has mean y and least x.
+
+    A word belongs to the line above it if it lies less than ``tolerance`` below the whole part of the line's first
+    word; a line does not drift with its words. The words of one page meet in one task.
+    """
+    pages = words.groupBy(*keys).agg(F.array_sort(F.collect_set("y")).alias("_ys"), F.collect_list(F.struct("x", "y", "text")).alias("_words"))
+    anchors = F.aggregate(
+        "_ys", F.array().cast("array<double>"),
+        lambda acc, y: F.when((F.size(acc) == 0) | (y - F.floor(F.element_at(acc, F.when(F.size(acc) == 0, 1).otherwise(-1))) >= tolerance), F.concat(acc, F.array(y.cast("double")))).otherwise(acc),
+    )
+    placed = pages.withColumn("_anchors", anchors).select(*keys, "_anchors", F.explode("_words").alias("_w")).select(*keys, "_w.*", "_anchors")
+    numbered = placed.withColumn("_line", F.size(F.filter("_anchors", lambda a: a <= F.col("y"))))
     return numbered.groupBy(*keys, "_line").agg(
         F.avg("y").alias("y"), F.min("x").alias("x"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "text"))), lambda w: w["text"]), " ").alias("content"),

@@ -36,12 +36,24 @@ def ordered_positions(
     name: str = "position",
     buckets: int = 64,
 ) -> DataFrame:
-    """``row_number`` per key, computed without bringing a key into one task.
+    """``row_number`` per key, computed without bringing a key into one task; null keys are a key too.
 
     ``bucket_on`` is a number that rises with ``order`` (a time in seconds, an id). Its
     quantiles become fixed bounds, rows are numbered inside (key, bucket), and the rows in
     earlier buckets of the key are added. The counts table has at most ``buckets`` rows per key.
     """
+    return running(df, keys, order, bucket_on, {name: ("sum", F.lit(1).cast("long"))}, buckets)
+
+
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket_on: Column,
+    measures: dict[str, tuple[str, Column]], buckets: int = 64,
+) -> DataFrame:
+    """Running sums and maxima per key up to and including each row, without bringing a key into one task.
+
+    ``measures``: name -> ("sum" or "max", value). Rows are accumulated inside (key, bucket) and joined, null-safe,
+    with what the earlier buckets of the key give.
+    """
     numbered = df.withColumn("_order", bucket_on.cast("double"))
     bounds = sorted(set(numbered.approxQuantile("_order", [i / buckets for i in range(1, buckets)], 0.005)))
     # Ties on a bound stay together, so the bucket rises with the order value.
@@ -51,14 +63,23 @@ def ordered_positions(
         lambda acc, b: acc + (F.col("_order") > b).cast("int"),
     )
     numbered = numbered.withColumn("_bucket", F.when(F.col("_order").isNull(), -1).otherwise(bucket))
-    counts = numbered.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = numbered.withColumns({f"_value_{n}": value for n, (_, value) in measures.items()})
+    fold = {"sum": F.sum, "max": F.max}
+    totals = numbered.groupBy(*keys, "_bucket").agg(*[fold[how](f"_value_{n}").alias(f"_total_{n}") for n, (how, _) in measures.items()])
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = numbered.withColumn(
-        "_inside", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
-    )
-    return (
-        inside.join(offsets, [*keys, "_bucket"])
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_order", "_bucket", "_before", "_inside")
+    offsets = totals.select(
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_key_bucket"),
+        *[fold[how](f"_total_{n}").over(before).alias(f"_before_{n}") for n, (how, _) in measures.items()],
     )
+    span = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = numbered.withColumns({f"_inside_{n}": fold[how](f"_value_{n}").over(span) for n, (how, _) in measures.items()})
+    same = F.col("_bucket") == F.col("_key_bucket")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    joined = inside.join(offsets, same)
+    done = {
+        n: F.coalesce(f"_before_{n}", F.lit(0)) + F.coalesce(f"_inside_{n}", F.lit(0)) if how == "sum"
+        else F.greatest(f"_before_{n}", f"_inside_{n}")
+        for n, (how, _) in measures.items()
+    }
+    return joined.withColumns(done).select(*df.columns, *measures)

@@ -50,12 +50,12 @@ def existing_keys(batch: DataFrame, index: DataFrame, key: str = "doc_key") -> D
     return batch.join(known, key, "left").withColumn("exists", F.col("existing_shard_id").isNotNull())
 
 
-def usable_articles(docs: DataFrame, key: str = "doc_key", body: str = "content", max_chars: int = 100_000) -> DataFrame:
-    """Keyed documents with a cleaned, non-blank body, in key order."""
+def usable_articles(docs: DataFrame, key: str = "doc_key", body: str = "content", max_chars: int | None = None) -> DataFrame:
+    """Keyed documents with a cleaned, non-blank body; ``max_chars`` cuts bodies where a caller asks for it."""
     from tarnwell.functions.text import clean_content
 
     keyed = docs.where(F.coalesce(F.trim(F.col(key)), F.lit("")) != "")
-    return keyed.withColumn(body, clean_content(body, max_chars)).where(F.trim(F.col(body)) != "").orderBy(key)
+    return keyed.withColumn(body, clean_content(body, max_chars)).where(F.trim(F.col(body)) != "")
 
 
 def article_outcome(batch: DataFrame, update_if_exists: bool = True) -> DataFrame:

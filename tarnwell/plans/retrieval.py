@@ -13,18 +13,15 @@ answered by one plan.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tarnwell.functions import text as tx
 from tarnwell.functions import vectors as vx
-from tarnwell.functions.fuzzy import fuzzy_ratio, ratio
+from tarnwell.functions.fuzzy import fuzzy_ratio, fuzzy_ratios
 from tarnwell.operators.fulltext import RANKERS, fts_match, search_clauses, search_document
 from tarnwell.operators.fusion import fuse_signals, select_candidates
 from tarnwell.operators.knn import knn_join
@@ -283,41 +280,38 @@ def keyword_rollup(keywords: DataFrame) -> DataFrame:
     return rolled.select("kbid", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in rolled.columns[1:]])
 
 
-def pick_passage(body: str, asked: str, limit: int) -> str:
-    """The passage of a text that fits a question best; the first of equal ones."""
-    words = set(_words(asked))
-    if not body or not words:
-        return body[:limit]
-    best, best_score = "", -1.0
-    for chunk in passages(body):
-        own = set(_words(chunk))
-        overlap = len(words & own) / len(words | own) if own else 0.0
-        score = 0.7 * overlap + 0.3 * ratio(asked, chunk[:300])
-        if score > best_score:
-            best, best_score = chunk, score
-    return best[:limit]
+def passages(body: Column, size: int = RETRIEVAL.passage_chars, step: int = RETRIEVAL.passage_step) -> Column:
+    """The paragraphs of a text as an array; a paragraph over ``size`` characters gives overlapping windows."""
+    paragraphs = F.filter(F.transform(F.split(body, "\n{2,}"), lambda p: F.trim(p, F.lit(" \t\n\r"))), lambda p: p != "")
 
+    def windows(p: Column) -> Column:
+        begins = F.sequence(F.lit(1), F.char_length(p), F.lit(step))
+        return F.when(F.char_length(p) > size, F.transform(begins, lambda i: F.substring(p, i, F.lit(size)))).otherwise(F.array(p))
 
-def _words(text: str) -> list[str]:
-    return [w for w in re.findall("[a-z0-9]+", text.lower()) if len(w) > 1]
-
-
-def passages(body: str) -> Iterator[str]:
-    """Paragraphs; those over 600 characters in windows of 600 that start every 350."""
-    for paragraph in re.split(r"\n{2,}", body):
-        paragraph = paragraph.strip()
-        starts = range(0, len(paragraph), 350) if len(paragraph) > 600 else range(1 if paragraph else 0)
-        yield from (paragraph[i : i + 600] for i in starts)
+    return F.flatten(F.transform(paragraphs, windows))
 
 
 def best_snippets(rows: DataFrame, content: str, query: str, limit: int = RETRIEVAL.snippet_chars, name: str = "snippet") -> DataFrame:
-    """Add the best passage per row; runs on the few pruned candidates, without a shuffle."""
+    """Add the passage of each text that fits its question best, the first of equal ones; no shuffle.
 
-    @F.pandas_udf(T.StringType())
-    def picked(bodies: pd.Series, questions: pd.Series) -> pd.Series:
-        return pd.Series([pick_passage((b or "").strip(), (q or "").strip(), limit) for b, q in zip(bodies, questions)], dtype=object)
-
-    return rows.withColumn(name, picked(F.col(content), F.col(query)))
+    Word overlap is an expression over the passages. Only the string similarity of a question with the beginnings of the
+    passages is a batched function. Without words in the question, the beginning of the text is the snippet.
+    """
+    blanks = F.lit(" \t\n\r")
+    told = rows.withColumn("_body", F.trim(F.coalesce(F.col(content), F.lit("")), blanks)).withColumn("_asked", F.trim(F.coalesce(F.col(query), F.lit("")), blanks))
+    told = told.withColumn("_passages", passages(F.col("_body"))).withColumn("_terms", F.array_distinct(tx.tokenize("_asked")))
+    beginnings = F.transform("_passages", lambda p: F.substring(p, 1, 300))
+    told = told.withColumn("_alike", fuzzy_ratios(F.col("_asked"), beginnings))
+
+    def fit(alike: Column, i: Column) -> Column:
+        words = F.array_distinct(tx.tokenize(F.get("_passages", i)))
+        shared = F.size(F.array_intersect(words, F.col("_terms")))
+        overlap = F.when(F.size(words) > 0, shared / F.size(F.array_union(words, F.col("_terms")))).otherwise(0.0)
+        return F.struct((0.7 * overlap + 0.3 * alike).alias("score"), (-i).alias("place"))
+
+    best = F.get("_passages", -F.array_max(F.transform("_alike", fit))["place"])
+    picked = F.when((F.size("_passages") == 0) | (F.size("_terms") == 0), F.col("_body")).otherwise(best)
+    return told.withColumn(name, F.substring(picked, 1, limit)).drop("_body", "_asked", "_passages", "_terms", "_alike")
 
 
 def hydrate(candidates: DataFrame, summaries: DataFrame, keywords: DataFrame, query_texts: DataFrame) -> DataFrame:

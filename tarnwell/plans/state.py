@@ -10,11 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tarnwell.functions.jsonops import json_merge, json_object, safe_json_object, with_external_id
 from tarnwell.functions.phones import call_end_status, is_uuid, phone_if_sip
 from tarnwell.operators.ranking import latest_per_key
-from tarnwell.operators.skew import ordered_positions
+from tarnwell.operators.skew import running
 
 CALL_FIELDS = [
     "caller", "channel", "status", "ended_reason", "details_url", "ended_at", "called_at",
@@ -77,10 +78,15 @@ def upsert_calls(calls: DataFrame, updates: DataFrame, now: Column, order: str =
         with_external_id("call_ref", "call_data").alias("call_data"),
     )
     resolved = shaped.join(resolve_calls(shaped, calls), "call_ref")
-    # References of one unknown call are one insert; references of one known call one update.
-    keyed = resolved.withColumn("_key", F.coalesce("resolved_id", F.col("call_ref")))
-    folded = fold_updates(keyed, ["_key"], order, [*CALL_FIELDS, "resolved_id", "call_ref"], "call_data")
-    new = folded.select("_key", "resolved_id", "call_ref", *[F.col(f).alias(f"_n_{f}") for f in [*CALL_FIELDS, "call_data"]])
+    # References of one unknown call are one insert; references of one known call one update. An unknown call has two
+    # references when one update gives its id and names the other reference as interaction or external id.
+    named = resolved.where(F.col("resolved_id").isNull() & is_uuid("call_ref"))
+    other = F.explode(F.array(F.col("interaction_id"), F.get_json_object("call_data", "$.external_call_id"))).alias("_other")
+    aliases = named.select("call_ref", other).where(F.col("_other").isNotNull()).groupBy("_other").agg(F.min("call_ref").alias("_id"))
+    told = resolved.join(aliases, F.col("call_ref") == F.col("_other"), "left")
+    keyed = told.withColumn("_key", F.coalesce("resolved_id", "_id", "call_ref")).drop("_other", "_id")
+    folded = fold_updates(keyed, ["_key"], order, [*CALL_FIELDS, "resolved_id"], "call_data")
+    new = folded.select("_key", "resolved_id", F.col("_key").alias("call_ref"), *[F.col(f).alias(f"_n_{f}") for f in [*CALL_FIELDS, "call_data"]])
 
     known = new.where(F.col("resolved_id").isNotNull()).drop("call_ref", "_key")
     updated = calls.join(known, F.col("id") == F.col("resolved_id"), "left")
@@ -115,16 +121,20 @@ def patch_calls(calls: DataFrame, patches: DataFrame, now: Column, order: str =
 
 
 def next_sequence(events: DataFrame, existing: DataFrame, call: str = "call_id", ts: str = "created_at", event_id: str = "event_id") -> DataFrame:
-    """Number new events: a given number stays, the others count on from the call's largest.
+    """Number new events in their order: a given number stays, a missing one is the call's largest so far plus one.
 
-    Positions come from ``ordered_positions``, so a call with very many events is split.
+    With c missing numbers up to a row, the largest number is c plus the maximum of the stored one and of
+    (given number - missing numbers before it). Both are prefix folds, so a call with very many events is split.
     """
-    base = existing.groupBy(call).agg(F.max("sequence_number").alias("_base"))
+    base = existing.groupBy(F.col(call).alias("_call")).agg(F.max("sequence_number").cast("long").alias("_base"))
     value = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
-    placed = ordered_positions(events, [call], [F.col(ts), F.col(event_id)], value, "_pos")
-    told = placed.join(base, call, "left")
-    number = F.coalesce(F.col("sequence_number"), F.coalesce("_base", F.lit(0)) + F.col("_pos"))
-    return told.withColumn("sequence_number", number.cast("int")).drop("_base", "_pos")
+    order = [F.col(ts), F.col(event_id)]
+    given = F.col("sequence_number").cast("long")
+    counted = running(events, [call], order, value, {"_missing": ("sum", given.isNull().cast("long"))})
+    placed = running(counted, [call], order, value, {"_raised": ("max", given - F.col("_missing"))})
+    told = placed.join(base, placed[call].eqNullSafe(F.col("_call")), "left")
+    number = F.coalesce(given, F.greatest(F.coalesce("_base", F.lit(0)), "_raised") + F.col("_missing"))
+    return told.withColumn("sequence_number", number).drop("_base", "_call", "_missing", "_raised")
 
 
 def append_call_events(events: DataFrame, calls: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,10 +144,17 @@ def append_call_events(events: DataFrame, calls: DataFrame, existing: DataFrame)
     return next_sequence(good, existing), resolved.where(F.col("resolved_id").isNull()).drop("resolved_id")
 
 
-def replace_rows(current: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[Column], counts: Sequence[str] = ()) -> DataFrame:
-    """Last update per key replaces the row, nulls included; missing counts become 0."""
+def replace_rows(
+    current: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[Column], counts: Sequence[str] = (), stored_too: bool = False
+) -> DataFrame:
+    """Last update per key replaces the row, nulls included; missing counts become 0.
+
+    ``stored_too``: the table holds the order columns, and a stored row that comes later than the update stays.
+    """
     fresh = latest_per_key(updates, keys, order).select(*current.columns)
     fresh = fresh.na.fill(0, list(counts)) if counts else fresh
+    if stored_too:
+        return latest_per_key(current.unionByName(fresh), keys, order)
     return current.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
 
 
@@ -235,23 +252,24 @@ def state_event(rows: DataFrame, parent: str, event_type: Column, message: Colum
 def enqueue_requests(deployments: DataFrame, requests: DataFrame, now: Column, order: str = "arrived") -> tuple[DataFrame, DataFrame]:
     """(next deployments, events) of a batch of desired-state requests.
 
-    A request for the state that is already under way is a duplicate and only leaves an
-    event; otherwise the latest row of its key is reset to pending, or a row is inserted.
-    The last request per key in the batch decides, equal earlier ones are duplicates of it.
+    Requests of a key follow each other by ``order``. One for the state that is already under way, by the stored row
+    or by the request before it, is a duplicate and only leaves an event; every other one resets the latest row of
+    its key to pending, or inserts it. What the last of them sets is what stays.
     """
     latest = latest_per_key(deployments, DEPLOYMENT_KEY, newest_first()).select(
         *DEPLOYMENT_KEY, F.col("id").alias("_id"), F.col("desired_state").alias("_desired"), F.col("workflow_status").alias("_workflow"),
     )
-    deciding = requests.groupBy(*DEPLOYMENT_KEY).agg(F.max(order).alias("_deciding"))
-    told = (
-        requests.join(latest, DEPLOYMENT_KEY, "left").join(deciding, DEPLOYMENT_KEY)
-        .withColumn("_last", F.col(order) == F.col("_deciding"))
-    )
-    busy = F.col("_id").isNotNull() & (F.col("_desired") == F.col("desired_state")) & F.col("_workflow").isin(BUSY_STATES)
-    kind = F.when(busy | ~F.col("_last"), "request_deduplicated").otherwise("request_enqueued")
+    told = requests.join(latest, DEPLOYMENT_KEY, "left")
+    turn = W.partitionBy(*DEPLOYMENT_KEY).orderBy(F.col(order), F.col("desired_state"), F.col("requested_by"))
+    # After the first request of a key the row holds its state, pending, whether it was enqueued or a duplicate.
+    stored = F.when(F.col("_workflow").isin(BUSY_STATES), F.col("_desired"))
+    under_way = F.when(F.row_number().over(turn) == 1, stored).otherwise(F.lag("desired_state").over(turn))
+    kind = F.when(under_way.eqNullSafe(F.col("desired_state")) & under_way.isNotNull(), "request_deduplicated").otherwise("request_enqueued")
     judged = told.withColumn("event_type", kind).withColumn(
         "deployment_id", F.coalesce("_id", F.md5(F.concat_ws("/", *DEPLOYMENT_KEY).cast("binary")))
     )
+    changed = F.max((F.col("event_type") == "request_enqueued").cast("int")).over(turn.rowsBetween(W.unboundedPreceding, W.currentRow))
+    judged = judged.withColumn("_changed", changed == 1).withColumn("_turn", F.row_number().over(turn))
     payload = F.when(
         F.col("event_type") == "request_enqueued", F.to_json(F.struct("requested_by", "desired_state"))
     ).otherwise(F.to_json(F.struct("requested_by")))
@@ -261,10 +279,13 @@ def enqueue_requests(deployments: DataFrame, requests: DataFrame, now: Column, o
     ).otherwise(F.concat(F.lit("Duplicate "), F.col("desired_state"), F.lit(" request deduplicated.")))
     events = judged.select(
         "deployment_id", "event_type",
-        F.when(F.col("event_type") == "request_enqueued", "pending").otherwise(F.coalesce("_workflow", F.lit("pending"))).alias("workflow_status"),
+        F.when(F.col("_changed"), "pending").otherwise(F.coalesce("_workflow", F.lit("pending"))).alias("workflow_status"),
         message.alias("message"), payload.alias("payload"),
     )
-    accepted = judged.where(F.col("event_type") == "request_enqueued").withColumn("_payload", payload)
+    enqueued = judged.where(F.col("event_type") == "request_enqueued").withColumn("_payload", payload)
+    # The last one sets the row; a requester that it leaves out is the one before it.
+    by = enqueued.groupBy(*DEPLOYMENT_KEY).agg(F.max_by("requested_by", F.when(F.col("requested_by").isNotNull(), F.col("_turn"))).alias("_by"))
+    accepted = latest_per_key(enqueued, DEPLOYMENT_KEY, [F.desc("_turn")]).join(by, DEPLOYMENT_KEY).withColumn("requested_by", F.col("_by"))
     change = accepted.select(
         F.col("deployment_id").alias("_rid"), F.col("desired_state").alias("_r_desired"), F.col("requested_by").alias("_r_by"),
         F.col("image").alias("_r_image"), F.col("_payload"),

@@ -112,7 +112,7 @@ def latest_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "usable_articles",
-    f"WITH {SOURCE_SQL} SELECT {DOC_KEY_SQL} AS doc_key, md5(c) AS digest FROM (SELECT *, substr({clean_sql('content')}, 1, 100000) AS c FROM source) WHERE trim(c) <> ''",
+    f"WITH {SOURCE_SQL} SELECT {DOC_KEY_SQL} AS doc_key, md5(c) AS digest FROM (SELECT *, {clean_sql('content')} AS c FROM source) WHERE trim(c) <> ''",
 )
 def usable_articles(spark: SparkSession, sf: str) -> DataFrame:
     rows = source_documents(spark, sf).withColumn("doc_key", tx.doc_key("number", "name", "id"))

@@ -116,7 +116,7 @@ def numeric_totals(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("value") > 1).alias("flag"),
     ))
     rows = table(spark, sf, "events").select("event_type", payload.alias("payload"))
-    out = js.numeric_totals(rows, ["event_type"], "payload", depth=3)
+    out = js.numeric_totals(rows, ["event_type"], "payload")
     return out.select("event_type", "path", F.round("total", 2).alias("total"))
 
 

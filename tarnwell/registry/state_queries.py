@@ -92,19 +92,21 @@ def patch_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CALL_EVENTS_SQL = """
-ev AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN CAST(user_id % 7 AS INTEGER) END AS given, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+ev AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN user_id % 7 + event_id % 90 END AS given, ts FROM events),
+counted AS (SELECT *, count(*) FILTER (WHERE given IS NULL) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM ev),
+raised AS (SELECT *, max(given - c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS d FROM counted),
 base AS (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY conv_id)"""
 
 
 @query(
     "next_sequence",
-    f"WITH {_CALL_EVENTS_SQL} SELECT event_id, CAST(coalesce(given, coalesce(m, 0) + p) AS INTEGER) AS sequence_number FROM ev LEFT JOIN base ON base.conv_id = ev.user_id",
+    f"WITH {_CALL_EVENTS_SQL} SELECT event_id, CAST(coalesce(given, greatest(coalesce(m, 0), d) + c) AS BIGINT) AS sequence_number FROM raised LEFT JOIN base ON base.conv_id = raised.user_id",
 )
 def next_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """Events are numbered on from the conversation of the same number."""
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("call_id"), "event_id", F.col("ts").alias("created_at"),
-        F.when(F.col("event_type") == "error", (F.col("user_id") % 7).cast("int")).alias("sequence_number"),
+        F.when(F.col("event_type") == "error", F.col("user_id") % 7 + F.col("event_id") % 90).alias("sequence_number"),
     )
     old = table(spark, sf, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("sequence_number"))
     return st.next_sequence(e, old).select("event_id", "sequence_number")
@@ -114,14 +116,16 @@ def next_sequence(spark: SparkSession, sf: str) -> DataFrame:
     "append_call_events",
     f"""WITH {_CALLS_SQL}, e AS (SELECT event_id, ts, c.id FROM (SELECT *, {_REF_SQL.format(k='user_id')} AS call_ref FROM events) e JOIN calls c
       ON c.id = e.call_ref OR c.interaction_id = e.call_ref OR json_extract_string(c.call_data, '$.external_call_id') = e.call_ref)
-    SELECT event_id, id AS call_id, CAST(row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS INTEGER) AS sequence_number FROM e""",
+    SELECT event_id, id AS call_id, CAST(coalesce(m, 0) + row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS BIGINT) AS sequence_number
+      FROM e LEFT JOIN (SELECT md5('c' || conv_id) AS id, max(turn) AS m FROM conversations GROUP BY 1) USING (id)""",
 )
 def append_call_events(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(
         _ref(F.col("user_id")).alias("call_ref"), "event_id", F.col("ts").alias("created_at"), F.lit(None).cast("int").alias("sequence_number")
     )
-    none_yet = table(spark, sf, "conversations").where(F.lit(False)).select(F.col("role").alias("call_id"), F.col("turn").cast("int").alias("sequence_number"))
-    done, _ = st.append_call_events(e, _calls(spark, sf), none_yet)
+    conv = F.md5(F.concat(F.lit("c"), F.col("conv_id").cast("string")).cast("binary"))
+    already = table(spark, sf, "conversations").select(conv.alias("call_id"), F.col("turn").alias("sequence_number"))
+    done, _ = st.append_call_events(e, _calls(spark, sf), already)
     return done.select("event_id", "call_id", "sequence_number")
 
 

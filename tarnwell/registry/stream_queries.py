@@ -62,7 +62,7 @@ def call_state_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     def step(current: DataFrame, batch: DataFrame) -> DataFrame:
         # The last update per call wins, also over the stored row.
-        return st.replace_rows(current, batch, ["call_id"], [F.desc("seen")], ["user_turn_count"])
+        return st.replace_rows(current, batch, ["call_id"], [F.desc("seen")], ["user_turn_count"], stored_too=True)
 
     updates = _stream(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("call_id"), F.col("event_type").alias("disconnect_reason"), F.lit(None).cast("int").alias("user_turn_count"), F.col("event_id").alias("seen")

@@ -46,6 +46,9 @@ class RetrievalSettings:
     group_size: int = 5
     small_pool: int = 10
     snippet_chars: int = 800
+    # A paragraph over passage_chars gives passages of that length, one every passage_step characters.
+    passage_chars: int = 600
+    passage_step: int = 350
 
 
 @dataclass(frozen=True)

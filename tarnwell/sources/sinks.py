@@ -28,10 +28,21 @@ def _fs(spark: SparkSession, path: str):
 
 def current_version(spark: SparkSession, root: str) -> str | None:
     """Folder name the pointer names; null for a table that was never written."""
+    lines = _pointer_lines(spark, root)
+    return lines[0] if lines else None
+
+
+def current_note(spark: SparkSession, root: str) -> str | None:
+    """What the writer of the current version noted beside it."""
+    lines = _pointer_lines(spark, root)
+    return lines[1] if len(lines) > 1 else None
+
+
+def _pointer_lines(spark: SparkSession, root: str) -> list[str]:
     fs, path = _fs(spark, root)
     if not fs.exists(path(f"{root}/{_POINTER}")):
-        return None
-    return spark.read.text(f"{root}/{_POINTER}").first()[0]
+        return []
+    return spark.read.text(f"{root}/{_POINTER}", wholetext=True).first()[0].splitlines()
 
 
 def read_current(spark: SparkSession, root: str, schema) -> DataFrame:
@@ -41,8 +52,8 @@ def read_current(spark: SparkSession, root: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{version}")
 
 
-def replace_table(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Write the next version of a table and switch the pointer to it."""
+def replace_table(df: DataFrame, root: str, partition_by: list[str] | None = None, note: str | None = None) -> str:
+    """Write the next version of a table and switch the pointer, with an optional one-line note, to it."""
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
@@ -52,7 +63,7 @@ def replace_table(df: DataFrame, root: str, partition_by: list[str] | None = Non
     fs, path = _fs(spark, root)
     staged = path(f"{root}/{_POINTER}.{version}")
     out = fs.create(staged, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray((version if note is None else f"{version}\n{note}").encode()))
     out.close()
     # Local and HDFS file systems both offer an overwriting rename through FileContext.
     jvm = spark.sparkContext._jvm

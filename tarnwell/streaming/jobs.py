@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tarnwell.functions.jsonops import content_to_text
 from tarnwell.operators.sessions import LATENCY_METRICS
 from tarnwell.schemas import schema_of
-from tarnwell.sources.sinks import read_current, replace_table
+from tarnwell.sources.sinks import current_note, read_current, replace_table
 
 TRANSCRIPT_OUT = schema_of(
     "call_id string, sequence_number long, event_type string, speaker string, content_text string, item_id string"
@@ -96,19 +96,19 @@ def table_stream(
 ) -> DataStreamWriter:
     """Apply a batch job to a stored table for every micro-batch.
 
-    ``step(current, batch)`` gives the next table. The table remembers the last batch id it
-    holds, so a batch that is tried again after a failure is not applied twice.
+    ``step(current, batch)`` gives the next table. The pointer of the table names the run of the stream, which its
+    checkpoint identifies, and the last batch of it that the table holds. So a batch that is tried again after a failure
+    is not applied twice, also if it left the table empty, and a stream with a new checkpoint is read from its start:
+    its batches are applied whatever their numbers are, so after the loss of a checkpoint ``step`` must bear replays.
     """
-    stamped = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        held = read_current(spark, root, stamped)
-        done = held.agg(F.max("_batch")).first()[0]
-        if done is not None and done >= batch_id:
+        run = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        last = (current_note(spark, root) or "").rpartition(" ")
+        if last[0] == run and int(last[2]) >= batch_id:
             return
-        nxt = step(held.drop("_batch"), batch).withColumn("_batch", F.lit(batch_id).cast("long"))
-        replace_table(nxt, root, partition_by)
+        replace_table(step(read_current(spark, root, schema), batch), root, partition_by, note=f"{run} {batch_id}")
 
     return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 

@@ -104,7 +104,7 @@ def test_parse_items(spark):
 
 def test_numeric_totals(spark):
     df = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":2.5}]},"t":true,"s":"x","n":null}'), (1, '{"a":{"b":[4]}}')], "k int, j string")
-    got = {r["path"]: r["total"] for r in js.numeric_totals(df, ["k"], "j", 4).collect()}
+    got = {r["path"]: r["total"] for r in js.numeric_totals(df, ["k"], "j").collect()}
     assert got == {"a.b[0]": 5.0, "a.b[1].c": 2.5}
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -282,7 +283,7 @@ def test_patch_rejects(spark):
 def test_next_sequence_mixes_given_and_missing(spark):
     ev = spark.createDataFrame([("c", 1, "2024-01-01 00:00:02", None), ("c", 2, "2024-01-01 00:00:01", 40), ("d", 3, "2024-01-01 00:00:00", None)], "call_id string, event_id int, created_at string, sequence_number int")
     old = spark.createDataFrame([("c", 7)], "call_id string, sequence_number int")
-    assert rows(st.next_sequence(ev, old), "event_id", "sequence_number") == [(1, 9), (2, 40), (3, 1)]
+    assert rows(st.next_sequence(ev, old), "event_id", "sequence_number") == [(1, 41), (2, 40), (3, 1)]
 
 
 def test_hash_embedder_is_a_word_count():
@@ -292,3 +293,80 @@ def test_hash_embedder_is_a_word_count():
 
 def test_defaults_sum_to_one():
     assert math.isclose(RETRIEVAL.vector_weight + RETRIEVAL.keyword_weight + RETRIEVAL.summary_weight, 1.0)
+
+
+def test_snippets_are_the_best_passages(spark):
+    from tarnwell.functions.fuzzy import ratio
+    from tarnwell.plans.retrieval import best_snippets
+
+    long = " ".join(f"w{i}" for i in range(400))
+    cases = [
+        ("one two three\n\n  red green blue  \n\n\nfour", "green blue"), (long + "\n\nlast words here", "w390 w391"), ("", "x y"), (None, "x y"), ("abc def", None),
+        ("same text\n\nsame text", "same text"), ("a\n\nb", "!!"), (" \n\n ", "ab cd"),
+    ]
+    got = {r["k"]: r["snippet"] for r in best_snippets(spark.createDataFrame([(i, b, q) for i, (b, q) in enumerate(cases)], "k int, b string, q string"), "b", "q", 50).collect()}
+
+    def words(text):
+        return {w for w in re.findall("[a-z0-9]+", text.lower()) if len(w) > 1}
+
+    for i, (body, asked) in enumerate(cases):
+        body, asked = (body or "").strip(), (asked or "").strip()
+        parts = [p.strip() for p in re.split("\n{2,}", body)]
+        parts = [x for p in parts if p for x in ([p[k : k + 600] for k in range(0, len(p), 350)] if len(p) > 600 else [p])]
+        scored = [(0.7 * (len(words(p) & words(asked)) / len(words(p) | words(asked)) if words(p) else 0) + 0.3 * ratio(asked, p[:300]), -k) for k, p in enumerate(parts)]
+        assert got[i] == (parts[-max(scored)[1]] if scored and words(asked) else body)[:50], i
+
+
+def test_lines_do_not_drift(spark):
+    from tarnwell.operators import layout
+
+    steps = spark.createDataFrame([("p", float(i), 4.0 * i, f"w{i}") for i in range(6)], "page string, x double, y double, text string")
+    assert sorted(r["content"] for r in layout.words_to_lines(steps, ["page"]).collect()) == ["w0 w1", "w2 w3", "w4 w5"]
+
+
+def test_numbers_at_any_depth_and_null_keys(spark):
+    from tarnwell.functions import jsonops as js
+    from tarnwell.operators import skew
+
+    deep = '{"a":' * 9 + '{"n": 4, "s": "}{[\\"]"}' + "}" * 9
+    got = js.numeric_totals(spark.createDataFrame([("k", deep), ("k", '{"n": 1}'), ("k", None)], "k string, j string"), ["k"], "j").collect()
+    assert {(r["path"], r["total"]) for r in got} == {(".".join(["a"] * 9 + ["n"]), 4.0), ("n", 1.0)}
+    rows_ = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "k string, v int")
+    placed = skew.ordered_positions(rows_, ["k"], [F.asc("v")], F.col("v"))
+    assert sorted((str(r["k"]), r["v"], r["position"]) for r in placed.collect()) == [("None", 1, 1), ("None", 3, 2), ("a", 2, 1)]
+
+
+def test_numbers_after_a_given_one(spark):
+    ev = spark.createDataFrame([("c", 1, "2024-01-01 00:00:00", 3), ("c", 2, "2024-01-01 00:00:01", None), ("c", 3, "2024-01-01 00:00:02", None), (None, 4, "2024-01-01 00:00:02", None)], "call_id string, event_id int, created_at string, sequence_number int")
+    old = spark.createDataFrame([], "call_id string, sequence_number int")
+    assert rows(st.next_sequence(ev, old), "event_id", "sequence_number") == [(1, 3), (2, 4), (3, 5), (4, 1)]
+
+
+def test_requests_of_a_key_follow_each_other(spark):
+    from tarnwell import schemas
+    from tarnwell.schemas import align
+
+    stored = align(spark.createDataFrame([("d1", "a", "n", "main", "pending", "deployed")], "id string, agent_name string, namespace string, deployment_name string, workflow_status string, desired_state string"), schemas.DEPLOYMENTS)
+    asked = [(1, "a", "deployed", "u1"), (2, "a", "deleted", "u2"), (3, "a", "deleted", "u3"), (4, "a", "deployed", None), (5, "b", "deployed", "u5"), (6, "b", "deployed", "u6")]
+    req = spark.createDataFrame([(i, a, "n", "main", s, by, "img") for i, a, s, by in asked], "arrived int, agent_name string, namespace string, deployment_name string, desired_state string, requested_by string, image string")
+    nxt, events = st.enqueue_requests(stored, req, F.lit("2024-01-01").cast("timestamp"))
+    assert sorted((r["agent_name"], r["desired_state"], r["workflow_status"], r["requested_by"]) for r in nxt.collect()) == [("a", "deployed", "pending", "u2"), ("b", "deployed", "pending", "u5")]
+    kinds = [r["event_type"] for r in events.collect()]
+    assert kinds.count("request_enqueued") == 3 and kinds.count("request_deduplicated") == 3
+
+
+def test_two_references_of_one_unknown_call_are_one_insert(spark):
+    from tarnwell import schemas
+    from tarnwell.schemas import align
+
+    calls = align(spark.createDataFrame([], "id string"), schemas.CALLS)
+    u = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    up = spark.createDataFrame([(u, 1, "int-1", None), ("int-1", 2, None, "ended")], "call_ref string, arrived int, interaction_id string, status string").withColumn("call_data", F.lit(None).cast("string"))
+    got = st.upsert_calls(calls, up, F.lit("2024-01-01").cast("timestamp")).collect()
+    assert [(r["id"], r["interaction_id"], r["status"]) for r in got] == [(u, "int-1", "ended")]
+
+
+def test_stored_rows_that_are_newer_stay(spark):
+    now, new = (spark.createDataFrame(x, "k string, v string, seen int") for x in ([("a", "old", 9), ("b", "old", 1)], [("a", "new", 1), ("b", "new", 2)]))
+    got = st.replace_rows(now, new, ["k"], [F.desc("seen")], stored_too=True).collect()
+    assert sorted((r["k"], r["v"]) for r in got) == [("a", "old"), ("b", "new")]
