@@ -1,0 +1,80 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tarnwell.llm import automaton, secrets
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+
+def brute(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def random_texts(n, seed):
+    rng = random.Random(seed)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abcdef", "AKIA", "0123456789abcdef", "ZZZZ9999", "é", "x", "secretoken", "-", "."]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(n)]
+
+
+def test_random_texts_and_any_number_of_lanes():
+    texts = [*random_texts(6000, 2), "", "a" * 100_000, "password" + " " * 5000 + "=" + "k" * 5000]
+    scanner, data = secrets.Scanner(secrets.BASE_RULES), [t.encode() for t in texts]
+    assert [secrets._in_characters(t, f) for t, f in zip(data, scanner.matches(data))] == [brute(t) for t in texts]
+    raw = np.frombuffer(b"\xff".join(data), np.uint8)
+    one = scanner.automaton.scan(raw, lanes=1)
+    assert all(np.array_equal(one, scanner.automaton.scan(raw, lanes=n)) for n in (2, 7, 300))
+
+
+def test_automaton_is_minimal():
+    a = automaton.Automaton([automaton.parse("(ax|cx)[xy]+")])
+    table, accepts = a.table.reshape(a.states, a.width) // a.width, a.accepts[:: a.width]
+    for i in range(a.states):  # two different states differ on some text of at most four bytes
+        for j in range(i):
+            todo, differ = [(i, j)], accepts[i] != accepts[j]
+            for _ in range(4):
+                todo = [(table[x, c], table[y, c]) for x, y in todo for c in range(a.width)]
+                differ = differ or any(accepts[x] != accepts[y] for x, y in todo)
+            assert differ
+
+
+@pytest.mark.parametrize("pattern", ["a*", "a(b", "a{2}", r"\d", "a|b*", "[0-9]"])
+def test_rules_that_one_pass_cannot_follow_are_refused(pattern):
+    with pytest.raises(ValueError):
+        automaton.Automaton([automaton.parse(pattern)])
+
+
+def test_hard_rows(make_docs, hard_pairs):
+    pairs = [*hard_pairs, (40, "ünï " + "TOKEN: 'abc/def+ghi=jkl' 中 deadbeefdeadbeef00")]
+    got = secrets.find_secrets(make_docs(pairs)).collect()
+    kinds = [r.kind for r in secrets.BASE_RULES]
+    want = sorted(str((i, [(kinds[k], a, b) for a, k, b in brute(t or "")])) for i, t in pairs)
+    assert sorted(str((r.doc_id, [(s.kind, s.start, s.end) for s in r.spans])) for r in got) == want
+    assert secrets.find_secrets(make_docs([])).count() == 0
+
+
+def test_redact_keeps_everything_else(make_docs, hard_pairs):
+    docs = make_docs(hard_pairs)
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    before = {str(r.doc_id) + str(r.n_chars): r for r in docs.collect()}
+    texts = sorted(str(r.text) for r in out.collect())
+    want = []
+    for r in before.values():
+        pass
+    for _, t in hard_pairs:
+        spans, done, parts = brute(t or ""), 0, []
+        for a, k, b in spans:
+            if b > done:
+                if a >= done:
+                    parts += [t[done:a], f"<{secrets.BASE_RULES[k].kind}>"]
+                done = b
+        want.append("".join([*parts, t[done:]]) if spans else t)
+    assert texts == sorted(map(str, want))
+    assert all(r.n_chars == len(r.text) for r in out.collect() if r.text is not None)
