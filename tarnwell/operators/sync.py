@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,23 @@ from tarnwell.functions.vectors import epoch_default_utc
 from tarnwell.operators.ranking import latest_per_key, top_n
 
 
-def latest_source(source: DataFrame) -> DataFrame:
+Keys = str | Sequence[str]
+
+
+def _listed(keys: Keys) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
+
+
+def latest_source(source: DataFrame, key: Keys = "doc_key") -> DataFrame:
     """Newest row per document key; the higher id wins equal times."""
-    return latest_per_key(source, ["doc_key"], [F.desc("updated_at"), F.desc("id")])
+    return latest_per_key(source, _listed(key), [F.desc("updated_at"), F.desc("id")])
 
 
-def snapshot_diff(source: DataFrame, index: DataFrame, key: str = "doc_key", ts: str = "updated_at") -> DataFrame:
+def snapshot_diff(source: DataFrame, index: DataFrame, key: Keys = "doc_key", ts: str = "updated_at") -> DataFrame:
     """Label of every key of either side: new, updated (strictly newer), deleted or unchanged."""
-    left = source.select(key, epoch_default_utc(ts).alias("source_ts"))
-    right = index.select(key, epoch_default_utc(ts).alias("index_ts"))
+    key = _listed(key)
+    left = source.select(*key, epoch_default_utc(ts).alias("source_ts"))
+    right = index.select(*key, epoch_default_utc(ts).alias("index_ts"))
     label = (
         F.when(F.col("index_ts").isNull(), "new").when(F.col("source_ts").isNull(), "deleted")
         .when(F.col("source_ts") > F.col("index_ts"), "updated").otherwise("unchanged")
@@ -44,9 +54,10 @@ def preview(diff: DataFrame, n: int, key: str = "doc_key") -> DataFrame:
     return top_n(diff, ["label"], [F.asc(key)], n, "place")
 
 
-def existing_keys(batch: DataFrame, index: DataFrame, key: str = "doc_key") -> DataFrame:
+def existing_keys(batch: DataFrame, index: DataFrame, key: Keys = "doc_key") -> DataFrame:
     """Every batch key with whether it is indexed and in which shard."""
-    known = index.select(key, F.col("shard_id").alias("existing_shard_id"))
+    key = _listed(key)
+    known = index.select(*key, F.col("shard_id").alias("existing_shard_id"))
     return batch.join(known, key, "left").withColumn("exists", F.col("existing_shard_id").isNotNull())
 
 

@@ -196,38 +196,48 @@ def sync_job(
 ) -> SyncResult:
     """Bring an index in step with its source; returns the new tables for one staged swap.
 
+    A document is named by its collection and its key, so collections may use the same keys; a null collection counts
+    as blank.
     ``source``: id, number, name, content, updated_at, is_deleted, collection and org;
     ``summaries`` holds doc_id, kb_collection_id, shard_id, updated_at and the article fields.
     """
-    docs = sync.latest_source(keyed_source(source))
+    name = ["kb_collection_id", "doc_key"]
+    blank = F.coalesce("kb_collection_id", F.lit("")).alias("kb_collection_id")
+    docs = keyed_source(source).withColumn("kb_collection_id", blank)
+    docs = sync.latest_source(docs, name)
     if sample is not None:
         docs = sample_n(docs, "doc_key", sample, seed)
-    state = summaries.where(F.trim("doc_id") != "").select(F.col("doc_id").alias("doc_key"), "updated_at", "shard_id", "kb_collection_id")
-    diff = materialise(sync.purge_guard(sync.snapshot_diff(docs, state), state, sample is not None), "diff")
+    state = summaries.where(F.trim("doc_id") != "").select(F.col("doc_id").alias("doc_key"), "updated_at", "shard_id", blank)
+    diff = materialise(sync.purge_guard(sync.snapshot_diff(docs, state, name), state, sample is not None), "diff")
 
-    changed = diff.where(F.col("label").isin("new", "updated")).select("doc_key", "label")
-    batch = sync.existing_keys(docs.join(changed, "doc_key"), state)
+    changed = diff.where(F.col("label").isin("new", "updated")).select(*name, "label")
+    batch = sync.existing_keys(docs.join(changed, name), state, name)
     ready = sync.usable_articles(batch)
     enriched = materialise(enrich_documents(ready, extract), "enriched")
     outcomes = sync.article_outcome(
-        batch.join(enriched.select("doc_key", "stage", "error", F.col("content").alias("_clean")), "doc_key", "left")
+        batch.join(enriched.select(*name, "stage", "error", F.col("content").alias("_clean")), name, "left")
         .withColumn("content", F.coalesce("_clean", F.lit(""))).drop("_clean")
-    ).select("doc_key", "outcome", "reason", "stage")
+    ).select(*name, "outcome", "reason", "stage")
 
     good = enriched.where(F.col("error").isNull())
-    gone = diff.where(F.col("label") == "deleted").select("doc_key").unionByName(good.where("exists").select("doc_key"))
-    removed = state.join(gone, "doc_key", "left_semi")
+    gone = diff.where(F.col("label") == "deleted").select(*name).unionByName(good.where("exists").select(*name))
+    removed = state.join(gone, name, "left_semi")
     freed = shards.release_slots(registry, removed)
     numbered = F.xxhash64("doc_key").cast("double")
     placed = shards.assign_shards(good.drop("shard_id"), freed, "doc_key", numbered, settings.shard_size)
     placed = materialise(placed, "placed")
 
     rows = keyword_rows(placed, embed)
-    notes = summary_rows(placed).join(placed.select(F.col("doc_key").alias("doc_id"), "updated_at"), "doc_id")
-    keys = gone.select(F.col("doc_key").alias("kbid"))
+    notes = summary_rows(placed).join(placed.select("kb_collection_id", F.col("doc_key").alias("doc_id"), "updated_at"), ["kb_collection_id", "doc_id"])
+    keys = gone.select(F.col("kb_collection_id").alias("_collection"), F.col("doc_key").alias("_key"))
+
+    def without_gone(table: DataFrame, key: str) -> DataFrame:
+        same = (F.coalesce(table["kb_collection_id"], F.lit("")) == F.col("_collection")) & (table[key] == F.col("_key"))
+        return table.join(keys, same, "left_anti")
+
     return SyncResult(
-        keywords.join(keys, "kbid", "left_anti").unionByName(rows, allowMissingColumns=True),
-        summaries.join(keys.withColumnRenamed("kbid", "doc_id"), "doc_id", "left_anti").unionByName(notes, allowMissingColumns=True),
+        without_gone(keywords, "kbid").unionByName(rows, allowMissingColumns=True),
+        without_gone(summaries, "doc_id").unionByName(notes, allowMissingColumns=True),
         shards.update_registry(freed, placed, settings.shard_size),
         outcomes,
         diff,

@@ -370,3 +370,20 @@ def test_stored_rows_that_are_newer_stay(spark):
     now, new = (spark.createDataFrame(x, "k string, v string, seen int") for x in ([("a", "old", 9), ("b", "old", 1)], [("a", "new", 1), ("b", "new", 2)]))
     got = st.replace_rows(now, new, ["k"], [F.desc("seen")], stored_too=True).collect()
     assert sorted((r["k"], r["v"]) for r in got) == [("a", "old"), ("b", "new")]
+
+
+def test_collections_may_use_the_same_keys(spark):
+    def articles(rows_):
+        made = spark.createDataFrame(rows_, "id string, number string, content string, knowledgebase_collection_id string, s int")
+        return made.select("*", F.lit("plain").alias("name"), F.timestamp_seconds("s").alias("updated_at"), F.lit(False).alias("is_deleted"), F.lit("o").alias("org_id"))
+
+    none = [spark.createDataFrame([], s) for s in (schemas.KB_KEYWORDS, schemas.KB_SUMMARIES)]
+    registry = spark.createDataFrame([], "kb_collection_id string, shard_id int, doc_count int, max_shard_size int")
+    body = "Printer Setup needs the Network Driver to be installed first."
+    first = ix.sync_job(articles([("1", "KB1", body, "c1", 1), ("2", "KB1", body + " Twice.", "c2", 1), ("3", "KB2", body, None, 1)]), *none, registry)
+    assert rows(first.summaries, "kb_collection_id", "doc_id") == [("", "KB2"), ("c1", "KB1"), ("c2", "KB1")]
+    assert rows(first.outcomes, "kb_collection_id", "outcome") == [("", "inserted"), ("c1", "inserted"), ("c2", "inserted")]
+    again = ix.sync_job(articles([("1", "KB1", body, "c1", 1), ("3", "KB2", body, None, 2)]), first.keywords, first.summaries, first.registry)
+    assert rows(again.summaries, "kb_collection_id", "doc_id") == [("", "KB2"), ("c1", "KB1")]
+    assert rows(again.diff, "kb_collection_id", "label") == [("", "updated"), ("c1", "unchanged"), ("c2", "deleted")]
+    assert {r["kb_collection_id"] for r in again.keywords.select("kb_collection_id").distinct().collect()} == {"", "c1"}
