@@ -144,8 +144,10 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memory = _encoder(vocabulary), worker_cache(f"memory {vocabulary}", pieces.Memory)
         for batch in batches:
-            ids = encode_texts(batch.column("text").to_pylist(), bpe, memory)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            texts = batch.column("text").to_pylist()
+            for lo, hi in pieces.portions(texts):
+                ids = encode_texts(texts[lo:hi], bpe, memory)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -154,7 +156,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Add ``decoded``, the bytes of ``ids``, to (doc_id, ids). No ids give no bytes; a null gives a null."""
 
     def table():
-        by = _encoder(vocabulary).bytes_of
+        by = {rank: token for token, rank in read_ranks(vocabulary).items()}
         tokens = [by.get(i, b"") for i in range(max(by) + 1)]
         lengths = np.array([len(t) for t in tokens], np.int64)
         return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths

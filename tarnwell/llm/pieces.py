@@ -14,9 +14,9 @@ from tarnwell.llm.common import _piece_hashes, mixed, worker_cache
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Characters that are cut at once; one longer text is cut whole.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 #: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Endings that a single apostrophe starts (fixed values of the pattern).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
