@@ -13,8 +13,10 @@ becomes a component with as many pairs as it has members.
 *R-tree.* What is left are members of a block in different components. The shingles of a set are hashed into groups, the
 numbers in the groups are a point, and the points of a block are packed into an R-tree. For two sets the summed minima of
 their coordinates bound the overlap from above, and so they do for a set and a node, with the node's largest
-coordinates. Pairs that survive the bound are verified on the whole sets. Blocks beyond a size are cut into parts
-that meet pairwise, so a task holds two parts at most.
+coordinates. Pairs that survive the bound are verified on the whole sets. Each member first tries the few candidates with the
+highest bounds; most components meet that way. Then all survivors of what is still apart are tried. Members of a block's
+largest component are only searched, never search, so what leaves a block grows with the few that stand outside. Blocks
+beyond a size are cut into parts that meet pairwise, so a task holds two parts at most.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from tarnwell.llm.census import BLOB, Layout, answer, by_segment, grouped_totals
 from tarnwell.llm.common import BASES, LOWER, free_name, materialise, mixed, sizes, text_bytes, text_column, window_hashes, words
 
-#: Groups of the count vector.
-GROUPS = 64
+#: Groups of the count vector, and how many of them an R-tree coordinate sums up.
+GROUPS, FOLD = 256, 4
+#: Candidates of a document in a block that are tried before all others.
+FIRST_TRIES = 4
 #: Members of a block that meet in one task; a larger block is cut into parts of this size.
 BLOCK_ROWS = 2_048
 #: Children of a node of the R-tree.
@@ -193,44 +197,67 @@ class RTree:
             bound = np.minimum(top[open_], point).sum(axis=1, dtype=np.int64)
             bound = np.minimum(bound, np.minimum(high[open_], n))
             # The union is smallest where the node's sizes are; the overlap is at most the bound.
-            fits = threshold.links(bound, np.maximum(low[open_], bound), n)
-            open_ = open_[fits]
+            open_ = open_[threshold.links(bound, np.maximum(low[open_], bound), n)]
             if level:
                 open_ = (open_[:, None] * self.fanout + np.arange(self.fanout)).ravel()
                 open_ = open_[open_ < len(self.levels[level - 1][0])]
         return self.order[open_]
 
 
-def _tree_pairs(threshold: Threshold):
-    """Pairs of members in different components that the bound lets through; the largest component is only searched, as it needs no pair in itself."""
+def folded(vectors: np.ndarray) -> np.ndarray:
+    """Coordinates of the R-tree: neighbouring groups of the count vectors summed up, which leaves bounds valid."""
+    return vectors.reshape(len(vectors), -1, FOLD).sum(axis=2)
+
+
+def _tree_candidates(threshold: Threshold, most: int | None):
+    """(doc_id, candidates) of the members outside the block's main component: others in different components that the bound lets through, at most ``most``."""
 
     def run(key, table):
-        ids, n, comp, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n_shingles", "component", "part"))
-        points = np.stack([np.frombuffer(v.as_py(), np.uint32) for v in table.column("vector")])
+        ids, n, comp, part, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n_shingles", "component", "part", "main"))
+        vectors = np.stack([np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("vector").combine_chunks()])
+        points = folded(vectors)
         i, j = key[1].as_py(), key[2].as_py()
-        tree_rows = np.flatnonzero(side == j)
-        left_rows = np.flatnonzero(side == i)
-        a, b = [], []
-        if len(tree_rows) and len(left_rows):
-            if i == j:
-                names, sizes_ = np.unique(comp, return_counts=True)
-                left_rows = left_rows[comp[left_rows] != names[np.argmax(sizes_)]]
-            elif len(left_rows) > len(tree_rows):
-                left_rows, tree_rows = tree_rows, left_rows
+        who, found_by = [], []
+        for asking, searched in {(i, j), (j, i)}:
+            tree_rows, left_rows = np.flatnonzero(part == searched), np.flatnonzero((part == asking) & ~main)
+            if not len(tree_rows) or not len(left_rows):
+                continue
             tree = RTree(points[tree_rows], n[tree_rows])
             for q in left_rows:
                 found = tree_rows[tree.survivors(points[q], int(n[q]), threshold)]
                 found = found[comp[found] != comp[q]]
-                a.append(np.minimum(ids[found], ids[q]))
-                b.append(np.maximum(ids[found], ids[q]))
-        none = np.zeros(0, np.int64)
-        a, b = (np.concatenate(x) if x else none for x in (a, b))
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+                bound = np.minimum(np.minimum(vectors[found], vectors[q]).sum(axis=1, dtype=np.int64), n[found])
+                fits = threshold.links(bound, n[found], int(n[q]))
+                found, bound = found[fits], bound[fits]
+                if most is not None and len(found) > most:
+                    found = found[np.lexsort((ids[found], -bound / (n[found] + n[q] - bound)))[:most]]
+                if len(found):
+                    who.append(int(ids[q]))
+                    found_by.append(ids[found].tolist())
+        return pa.table({"doc_id": pa.array(who, pa.int64()), "candidates": pa.array(found_by, pa.list_(pa.int64()))})
 
     return run
 
 
+def _candidate_pairs(blocks: DataFrame, sets: DataFrame, of: DataFrame, threshold: Threshold, most: int | None) -> DataFrame:
+    """Pairs (a, b) of members of a block in different components (node, component) that the bound of the count vectors lets through."""
+    named = sets.join(of, sets["doc_id"] == of["node"], "left").select("doc_id", "n_shingles", "vector", F.coalesce("component", "doc_id").alias("component"))
+    members = blocks.join(named.select("doc_id", "component"), "doc_id")
+    shares = members.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_blocks = shares.groupBy("block").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
+    parts = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
+    left = members.join(open_blocks.select("block", "largest", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
+    # A member meets each part once: (i, j) with i <= j.
+    met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    main = (F.col("component") == F.col("largest")).alias("main")
+    met = met.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", main, "doc_id", "component")
+    met = met.join(named.select("doc_id", "n_shingles", "vector"), "doc_id")
+    found = met.groupBy("block", "i", "j").applyInArrow(_tree_candidates(threshold, most), "doc_id long, candidates array<long>")
+    # The blocks that two documents share give the same candidates; they are put together before they become pairs.
+    each = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("candidates"))).alias("candidates")).select("doc_id", F.explode("candidates").alias("other"))
+    return each.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
 # --- verification and components --------------------------------------------------------------
 
 
@@ -263,17 +290,14 @@ def components(links: DataFrame) -> DataFrame:
     are combined before each shuffle, and nothing but the number of changes reaches the driver.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    # Done when no node is both below and above others: all edges then end at the smallest node of a component.
+    while not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() or not edges.groupBy("a").count().where("count > 1").isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        same = edges.count() == after.count() and edges.exceptAll(after).isEmpty()
-        edges = after
-        if same:
-            break
+        edges = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
@@ -310,20 +334,12 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     near = materialise(_verify(pairs, sets, threshold), "links")
 
     of = materialise(components(near), "components")
-    named = sets.join(of, sets["doc_id"] == of["node"], "left").select("doc_id", "n_shingles", "vector", F.coalesce("component", "doc_id").alias("component"))
-    members = blocks.join(named.select("doc_id", "component"), "doc_id")
-    open_blocks = members.groupBy("block").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("members")).where("c1 <> c2")
-    parts = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    left = members.join(open_blocks.select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
-    # A member meets each part once: (i, j) with i <= j.
-    met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component")
-    met = met.join(named.select("doc_id", "n_shingles", "vector"), "doc_id")
-    candidates = met.groupBy("block", "i", "j").applyInArrow(_tree_pairs(threshold), "a long, b long").distinct()
-    more = _verify(candidates, sets, threshold)
+    tried = materialise(_verify(_candidate_pairs(blocks, sets, of, threshold, FIRST_TRIES), sets, threshold), "links")
+    of = materialise(components(near.unionByName(tried)), "components")
+    more = _verify(_candidate_pairs(blocks, sets, of, threshold, None), sets, threshold)
 
     same_text = copies.select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    final = components(near.unionByName(more).unionByName(same_text))
+    final = components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(same_text))
     empty = F.col("n_shingles") == 0
     nodes = found.select("doc_id", "n_shingles")
     return nodes.join(final, nodes["doc_id"] == final["node"], "left").select(
