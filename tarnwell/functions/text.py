@@ -106,7 +106,7 @@ def is_scenario_title(name: ColumnLike) -> Column:
 
 def normalize_kb_number(value: ColumnLike) -> Column:
     compact = F.replace(F.upper(F.trim(col(value))), F.lit(" "), F.lit(""))
-    digits = F.regexp_replace(F.substring(compact, 3, 1_000_000), r"\D+", "")
+    digits = F.regexp_replace(F.substring(compact, F.lit(3), F.char_length(compact)), r"\D+", "")
     return F.when(F.startswith(compact, F.lit("KB")) & (digits != ""), F.concat(F.lit("KB"), digits))
 
 

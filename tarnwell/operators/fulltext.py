@@ -1,8 +1,7 @@
 """Weighted full-text matching of a query table against a document table.
 
 A query text is read as web search syntax: words must all occur, a quoted phrase must be
-contiguous, ``or`` separates alternatives, ``-`` excludes. Matching never shuffles the
-postings of frequent words: every alternative is looked up by its rarest word only, and
+contiguous, ``or`` separates alternatives, ``-`` excludes. Every alternative is looked up by its rarest word only, and
 the remaining conditions are checked on the candidate documents.
 """
 
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from tarnwell.functions.text import ColumnLike, col, search_text
 from tarnwell.operators.skew import salted_join
+from tarnwell.session import materialise
 from tarnwell.settings import LABEL_WEIGHTS
 
 _ITEM = r'-?"[^"]*"|\S+'
@@ -98,10 +98,14 @@ def fts_match(
     Each alternative takes the one of its words found in fewest documents, joins that
     word's postings (spread over salts), and then reads the candidate documents to test
     every word, phrase and exclusion by containment.
+
+    The wanted words, their postings and the candidates are written tables, so Spark knows their sizes: words and
+    candidates that are small enough are broadcast, and then neither a posting that nobody asks for nor
+    the body of a document is shuffled. Documents are tokenised once.
     """
-    pairs = postings(doc, keys, name)
     wanted = clauses.select(query_id, "alternative", F.explode("terms").alias("token"))
-    found = pairs.join(wanted.select("token").distinct(), "token", "left_semi")
+    words = materialise(wanted.select("token").distinct(), "fts-words")
+    found = materialise(postings(doc, keys, name).join(words, "token", "left_semi"), "fts-postings")
     frequency = found.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     # A word no document holds rules its alternative out, hence the left join and the null check.
     rarest = (
@@ -114,9 +118,10 @@ def fts_match(
         .where(F.col("_absent") == 0)
         .drop("_absent")
     )
-    candidates = salted_join(rarest, pairs, ["token"], keys, salts).select(query_id, "alternative", *keys)
+    candidates = materialise(salted_join(rarest, found, ["token"], keys, salts).select(query_id, "alternative", *keys), "fts-candidates")
     with_terms = candidates.join(clauses, [query_id, "alternative"])
-    checked = with_terms.join(doc.select(*keys, f"{name}_text", f"{name}_fields", *carry), list(keys))
+    bodies = doc.join(candidates.select(*keys).distinct(), list(keys), "left_semi")
+    checked = with_terms.join(bodies.select(*keys, f"{name}_text", f"{name}_fields", *carry), list(keys))
     text = F.col(f"{name}_text")
 
     def holds(p: Column) -> Column:

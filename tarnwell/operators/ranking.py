@@ -114,5 +114,6 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
-def restore_order(df: DataFrame, position: str, doc: str, unknown: int = 1_000_000_000) -> DataFrame:
-    return df.orderBy(F.coalesce(F.col(position), F.lit(unknown)), doc)
+def restore_order(df: DataFrame, position: str, doc: str) -> DataFrame:
+    """Rows by position; those without one come last."""
+    return df.orderBy(F.col(position).asc_nulls_last(), doc)

@@ -47,20 +47,16 @@ RAW_FIELDS = T.StructType(
 
 def hash_embedder(dim: int = INDEX.vector_dim) -> Embedder:
     """Feature hashing: a word adds one to the component its md5 names."""
-    known: dict[str, int] = {}
 
     def slot(word: str) -> int:
-        at = known.get(word)
-        if at is None:
-            at = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dim
-            if len(known) < 500_000:
-                known[word] = at
-        return at
+        return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dim
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, text in enumerate(texts):
-            slots = [slot(w) for w in _WORD.findall(text.lower())]
+        found = [_WORD.findall(text.lower()) for text in texts]
+        known = {word: slot(word) for words in found for word in set(words)}  # of one batch
+        for i, words in enumerate(found):
+            slots = [known[w] for w in words]
             if slots:
                 out[i] = np.bincount(slots, minlength=dim)
         return out

@@ -471,9 +471,8 @@ def two_level_select(
     retrieved = materialise(found, "retrieved")
     texts = queries.select("query_id", "raw_query")
 
-    per_shard = materialise(
-        hydrate(select_candidates(retrieved, ["query_id", "shard_id"], settings=settings), summaries, keywords, texts), "candidates"
-    )
+    chosen = materialise(select_candidates(retrieved, ["query_id", "shard_id"], settings=settings), "chosen")
+    per_shard = materialise(hydrate(chosen, summaries, keywords, texts), "candidates")
     shard_winners = rerank(per_shard, ["query_id", "shard_id"], strategy, scorer, settings)
 
     pool = best_per_doc(per_shard, ["query_id", "kbid"], "rrf_score", ["shard_id"], False)
@@ -482,26 +481,31 @@ def two_level_select(
     best_first = [F.desc("rrf_score"), F.asc("kbid")]
     pool = top_n(pool.drop("position"), ["query_id"], best_first, max(1, settings.rerank_window), "position")
     final = rerank(pool, ["query_id"], strategy, scorer, settings)
-    shape = per_shard.groupBy("query_id").agg(
+    # The pool counts every candidate, with a summary or not; without any summary its best candidate is taken.
+    shape = chosen.groupBy("query_id").agg(
         F.count_distinct("kbid").alias("pool_size"), F.count_distinct("shard_id").alias("shards")
     )
+    best = latest_per_key(chosen, ["query_id"], best_first).select("query_id", F.col("kbid").alias("_best"))
+    winners = best.join(final.select("query_id", F.col("kbid").alias("_reranked")), "query_id", "left")
+    told = winners.select("query_id", F.coalesce("_reranked", "_best").alias("kbid"), F.col("_reranked").isNull().alias("_fallback"))
     confidence = selection_confidence(
-        final, best_per_doc(retrieved, ["query_id", "kbid"], "rrf_score", ["shard_id"], False), ["query_id"]
+        told, best_per_doc(retrieved, ["query_id", "kbid"], "rrf_score", ["shard_id"], False), ["query_id"]
     )
     mode = (
         F.when(F.col("pool_size").isNull(), "no_winners").when(F.col("pool_size") == 1, "single_candidate")
-        .when(F.col("shards") == 1, "single_shard").otherwise("two_level_rerank")
+        .when(F.col("_fallback"), "score_fallback").when(F.col("shards") == 1, "single_shard").otherwise("two_level_rerank")
     )
     selected = (
         texts.join(confidence, "query_id", "left").join(shape, "query_id", "left")
+        .join(told.select("query_id", "_fallback"), "query_id", "left")
         .withColumn("mode", mode)
         .withColumn(
             "selected_via",
-            F.when(F.col("mode") == "no_winners", "none").when(F.col("mode") == "single_candidate", "retrieval").otherwise("rerank"),
+            F.when(F.col("mode") == "no_winners", "none").when(F.col("mode").isin("single_candidate", "score_fallback"), "retrieval").otherwise("rerank"),
         )
         .withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
         .withColumn("confidence_label", F.coalesce("confidence_label", F.lit("none")))
-        .withColumnRenamed("winner", "selected_kb")
+        .withColumnRenamed("winner", "selected_kb").drop("_fallback")
     )
     return {"selected": selected, "shard_winners": shard_winners, "retrieved": retrieved}
 

@@ -474,8 +474,8 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     extracted = F.to_json(F.struct(
         F.lit("software").alias("category"),
         F.struct(
-            F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)), 1, 8).alias("specific"),
-            F.slice(F.regexp_extract_all("text", F.lit("[a-z]{8,}"), F.lit(0)), 1, 8).alias("generic"),
+            F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)).alias("specific"),
+            F.regexp_extract_all("text", F.lit("[a-z]{8,}"), F.lit(0)).alias("generic"),
         ).alias("keywords"),
         F.split(F.lower("text"), r"[.\n]+").alias("usecase"),
     ))
