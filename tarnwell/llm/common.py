@@ -5,16 +5,16 @@ from __future__ import annotations
 import math
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.session import materialise
-
-__all__ = ["materialise"]
+from tarnwell.session import materialise  # noqa: F401  the operators import it from here
 
 #: A key counts as hot above this share of all rows, so there are at most a thousand hot keys.
 HOT_SHARE = 1_000
@@ -76,6 +76,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def portions_of(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``limit`` bytes in the string column ``name``, one row at least: arrays over bytes stay small."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that all bits depend on all bits."""
     x = x ^ (x >> np.uint64(30))

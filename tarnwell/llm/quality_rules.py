@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import IS_SPACE, free_name, materialise, text_bytes, text_column, words
+from tarnwell.llm.common import IS_SPACE, free_name, materialise, portions_of, text_bytes, text_column, words
 
 #: Labelled rows that the trees and weights are fitted to at most, the first by a hash of doc_id.
 FIT_ROWS = 20_000
@@ -94,7 +94,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions_of(whole, "text")):
             got = text_statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(got[:, k]) for k in range(got.shape[1]))], [*keep, *STATISTICS])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import BYTE_MIX, LOWER, materialise, mixed, sizes, text_bytes, text_column, words
+from tarnwell.llm.common import BYTE_MIX, LOWER, materialise, mixed, portions_of, sizes, text_bytes, text_column, words
 
 #: Labelled rows of each label that become examples at most, the first by a hash of doc_id.
 MOST_EXAMPLES = 2_000
@@ -230,7 +230,7 @@ def _chosen_terms(texts: DataFrame) -> np.ndarray:
     """The terms that depend on the label, by the chi-squared statistic of presence, at most MOST_TERMS."""
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions_of(whole, "text")):
             rows, terms, _ = term_counts(batch.column("text"))
             labels = batch.column("label").cast(pa.int64()).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(labels[rows])], ["term", "label"])
@@ -251,7 +251,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions_of(whole, "text")):
             total += np.bincount(known_counts(batch.column(0), terms)[1], minlength=len(terms))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     idf = np.log((total + 1) / (document_frequencies(docs, terms) + 0.5)).clip(min=1e-6)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions_of(whole, "text")):
             rows, found, counts = known_counts(batch.column("text"), terms)
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             lists = [pa.array([x[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int64())) for x in (found, counts)]
@@ -327,7 +327,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_o
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions_of(whole, "text")):
             scores, sims, best = model.score(batch.column("text"))
             evidence = [
                 [{"doc_id": int(model.index.ids[b]), "similarity": float(s), "label": int(model.index.labels[b])} for s, b in zip(ss, bb, strict=True) if b >= 0]
