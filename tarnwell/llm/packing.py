@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import unicodedata
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -265,7 +264,3 @@ def packed_documents(docs: DataFrame, tokenizer_file: str, length: int = 2_048)
     """
     parts = token_pieces(docs, tokenizer_file, length).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialise(parts, "pieces"), length)
-
-
-def crc32_of(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())

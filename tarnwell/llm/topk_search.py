@@ -78,7 +78,7 @@ class BallTree:
 class _Best:
     """The k best (score, smaller id first among equals) of each query so far."""
 
-    def __init__(self, queries: int, k: int, kth: np.ndarray, kind):
+    def __init__(self, queries: int, k: int, kth: np.ndarray):
         self.k, self.low = k, np.iinfo(np.int64).min
         self.scores = np.full((queries, k), self.low, np.int64)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max, np.int64)
@@ -105,7 +105,7 @@ def search(query_ids, queries, kth, ids, vectors, k: int, only_first_leaf: bool,
     exact = top < 2**53  # products and sums are then exact in doubles, else they are taken in 64-bit numbers
     norms = np.sqrt((asked**2).sum(axis=1))
     tree = BallTree(points, leaf_rows)
-    best = _Best(len(asked), k, kth, None)
+    best = _Best(len(asked), k, kth)
     bounds = tree.bounds(asked, norms, best.kth)
     by_bound = np.argsort(-bounds, axis=1, kind="stable")
     everyone = np.arange(len(asked))
