@@ -1,9 +1,11 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine, found with block-max inverted indexes.
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
 
-Labelled texts are the examples. Terms are the words whose presence depends on the label; their document frequencies are
-counted over all documents. Examples are put into blocks of similar ones, and an inverted index holds, for each term
-and block, the postings and the largest weight. For a text, the blocks are taken in the order of the upper bounds that
-these largest weights give, until no block can hold a nearer example than the k-th so far; so the k nearest are exact.
+Labelled texts are the examples. Every word of a text is a term, and so is every stem; document frequencies are counted over
+all documents. The postings of the rarer terms of a text are added up over all examples. The frequent ones are held by blocks
+of similar examples with the largest weight in each block; their products are taken only in blocks that can, by these bounds,
+still hold one of the k nearest. So the k nearest are exact.
+
+Terms that no example has only make a text longer. They are counted by Spark and joined to the texts that have them.
 
 The votes of the nearest examples, weighted by their similarity, are calibrated on the examples themselves, each
 searched without itself. The examples that voted are returned as evidence.
@@ -19,18 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import BYTE_MIX, LOWER, materialise, mixed, portions_of, sizes, text_bytes, text_column, words
+from tarnwell.llm.common import BYTE_MIX, HOT_SHARE, LOWER, materialise, mixed, portions_of, sizes, text_bytes, text_column, words
 
 #: Labelled rows of each label that become examples at most, the first by a hash of doc_id.
 MOST_EXAMPLES = 2_000
-#: Terms at most, those that depend most on the label; least chi-squared statistic of a term.
-MOST_TERMS, LEAST_CHI = 4_096, 20.0
-#: Least number of examples with a term, also as a share of the examples of the rarer label, so that one group of near copies makes no term.
-LEAST_EXAMPLES, LEAST_SHARE = 5, 0.02
 #: Bytes of a word's beginning that are a term too, for words that are longer.
 STEM = 5
-#: Examples in a block of the index.
-BLOCK = 64
+#: Examples in a block of the index; texts that are searched at once.
+BLOCK, QUERIES = 64, 64
+#: Terms in at least so many examples are held by blocks, the most frequent ones up to a number; the others as postings.
+FREQUENT, MOST_FREQUENT = 64, 1_024
 
 GAPS = np.ones(256, bool)
 GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -68,14 +68,12 @@ def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[at], hashes[at].view(np.int64), np.diff(np.append(at, len(rows)))
 
 
-def known_counts(column: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for the sorted ``terms`` alone, as their numbers."""
-    rows, found, counts = term_counts(column)
+def numbers_of(found: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The places of terms among the sorted ``terms``, -1 for others."""
     if not len(terms):
-        return rows[:0], rows[:0], counts[:0]
+        return np.full(len(found), -1)
     at = np.minimum(np.searchsorted(terms, found), len(terms) - 1)
-    keep = terms[at] == found
-    return rows[keep], at[keep], counts[keep]
+    return np.where(terms[at] == found, at, -1)
 
 
 def _weights(rows, terms, counts, idf: np.ndarray, n: int) -> np.ndarray:
@@ -87,17 +85,20 @@ def _weights(rows, terms, counts, idf: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Examples as postings by term and block, with the largest weight of each."""
+    """Examples as postings of the rarer terms, and of the frequent ones as blocks with the largest weight of each term."""
 
     ids: np.ndarray
     labels: np.ndarray
-    largest: np.ndarray  # terms x blocks
-    starts: np.ndarray  # terms x blocks + 1: where postings begin
+    column: np.ndarray  # of each term in the blocks, -1 for those with postings
+    dense: np.ndarray  # blocks x frequent terms x BLOCK
+    largest: np.ndarray  # frequent terms x blocks
+    lengths: np.ndarray  # of the frequent part of each example
+    starts: np.ndarray  # terms + 1: where postings begin
     postings: np.ndarray  # example numbers
     weights: np.ndarray
 
     @staticmethod
-    def build(ids, labels, rows, terms, weights, n_terms: int) -> BlockMaxIndex:
+    def build(ids, labels, rows, terms, weights, n_terms: int, frequent: int = FREQUENT) -> BlockMaxIndex:
         """Examples are ordered by their heaviest term, so that a block holds similar ones."""
         n = len(ids)
         heaviest = np.full(n, n_terms)
@@ -109,60 +110,66 @@ class BlockMaxIndex:
         number[place] = np.arange(n)
         blocks = max(1, -(-n // BLOCK))
         example = number[rows]
-        cell = terms * blocks + example // BLOCK
-        order = np.lexsort((example, cell))
-        cell = cell[order]
-        largest = np.zeros(n_terms * blocks)
-        np.maximum.at(largest, cell, weights[order])
-        starts = np.searchsorted(cell, np.arange(n_terms * blocks + 1))
-        return BlockMaxIndex(ids[place], labels[place], largest.reshape(n_terms, blocks), starts, example[order], weights[order])
+        counts = np.bincount(terms, minlength=n_terms)
+        most = np.argsort(-counts, kind="stable")[:MOST_FREQUENT]
+        most = most[counts[most] >= frequent]
+        column = np.full(n_terms, -1)
+        column[most] = np.arange(len(most))
+        held = column[terms] >= 0
+        dense = np.zeros((blocks, len(most), BLOCK))
+        dense[example[held] // BLOCK, column[terms[held]], example[held] % BLOCK] = weights[held]
+        rare = np.flatnonzero(~held)
+        rare = rare[np.lexsort((example[rare], terms[rare]))]
+        starts = np.searchsorted(terms[rare], np.arange(n_terms + 1))
+        lengths = np.sqrt((dense * dense).sum(axis=1)).ravel()
+        return BlockMaxIndex(ids[place], labels[place], column, dense, dense.max(axis=2).T.copy(), lengths, starts, example[rare].astype(np.int32), weights[rare])
 
     def nearest(self, rows, terms, weights, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(similarity, example) of the k nearest examples with a similarity above zero; -1 where there are fewer.
 
-        ``without``: an example number for each row that is not to be found. Ties go to the lower example number.
+        ``without``: an example number for each row that is not to be found. Ties, to twelve digits, go to the lower example number.
         """
         sims, best = np.zeros((n, k)), np.full((n, k), -1)
-        blocks = self.largest.shape[1]
-        bounds = np.zeros((n, blocks))
-        np.add.at(bounds, rows, weights[:, None] * self.largest[terms])
-        bounds *= 1 + 1e-9  # rounding must not lower a bound
-        by_bound = np.argsort(-bounds, axis=1, kind="stable")
         begin = np.searchsorted(rows, np.arange(n + 1))
-        open_ = np.flatnonzero(np.diff(begin))
-        for turn in range(blocks):
-            block = by_bound[open_, turn]
-            reach = bounds[open_, block]
-            alive = (reach > 0) & (reach >= sims[open_, -1])
-            open_, block = open_[alive], block[alive]
-            if not len(open_):
-                break
-            scores = self._block_scores(begin, open_, block, terms, weights)
-            if without is not None:
-                own = without[open_] - block * BLOCK
-                inside = np.flatnonzero((own >= 0) & (own < BLOCK))
-                scores[inside, own[inside]] = 0
-            candidates = block[:, None] * BLOCK + np.arange(BLOCK)
-            candidates = np.where(scores > 0, candidates, -1)
-            all_sims = np.concatenate([sims[open_], scores], axis=1)
-            all_best = np.concatenate([best[open_], candidates], axis=1)
-            order = np.lexsort((np.where(all_best < 0, 1 << 60, all_best), -all_sims), axis=1)[:, :k]
-            sims[open_] = np.take_along_axis(all_sims, order, axis=1)
-            best[open_] = np.take_along_axis(all_best, order, axis=1)
+        for lo in range(0, n, QUERIES):
+            hi = min(n, lo + QUERIES)
+            a, b = begin[lo], begin[hi]
+            if a < b:
+                scores = self._scores(rows[a:b] - lo, terms[a:b], weights[a:b], hi - lo, k, None if without is None else without[lo:hi])
+                least = np.partition(scores, -min(k, scores.shape[1]), axis=1)[:, -min(k, scores.shape[1])]
+                row, example = np.nonzero((scores >= least[:, None]) & (scores > 0))
+                order = np.lexsort((example, -scores[row, example], row))
+                row, example = row[order], example[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, example, rank = row[rank < k], example[rank < k], rank[rank < k]
+                sims[lo + row, rank], best[lo + row, rank] = scores[row, example], example
         return sims, best
 
-    def _block_scores(self, begin, open_, block, terms, weights) -> np.ndarray:
-        """Similarity of each open row with all examples of its block, from the postings."""
-        blocks = self.largest.shape[1]
-        n = begin[open_ + 1] - begin[open_]
-        pair = np.repeat(np.arange(len(open_)), n)
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[open_], n)
-        cell = terms[at] * blocks + block[pair]
-        low, length = self.starts[cell], self.starts[cell + 1] - self.starts[cell]
-        which = np.repeat(np.arange(len(at)), length)
-        posting = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(low, length)
-        slot = pair[which] * BLOCK + self.postings[posting] % BLOCK
-        return np.bincount(slot, self.weights[posting] * weights[at][which], minlength=len(open_) * BLOCK).reshape(-1, BLOCK)
+    def _scores(self, rows, terms, weights, n: int, k: int, without: np.ndarray | None) -> np.ndarray:
+        """Similarity of each row with all examples; -1 in blocks that cannot hold one of its k nearest."""
+        blocks, width = len(self.dense), len(self.dense) * BLOCK
+        column = self.column[terms]
+        held = column >= 0
+        asked = np.zeros((n, self.dense.shape[1]))
+        asked[rows[held], column[held]] = weights[held]
+        rows, terms, weights = rows[~held], terms[~held], weights[~held]
+        low, length = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        posting = np.arange(int(length.sum())) + np.repeat(low - np.cumsum(length) + length, length)
+        slot = np.repeat(rows * width, length) + self.postings[posting]
+        part = np.bincount(slot, self.weights[posting] * np.repeat(weights, length), minlength=n * width).reshape(n, width)
+        if without is not None:
+            part[np.arange(n), without] = -np.inf
+        # The k-th best of the parts is a floor. The rest is at most what the largest weights of a block give, and at most the product of lengths.
+        floor = np.partition(part, -min(k, width), axis=1)[:, -min(k, width)]
+        by_block = part.reshape(n, blocks, BLOCK)
+        rest = np.minimum((asked @ self.largest)[:, :, None], np.linalg.norm(asked, axis=1)[:, None, None] * self.lengths.reshape(1, blocks, BLOCK))
+        reach = (by_block + rest).max(axis=2) * (1 + 1e-9) + 1e-11  # rounding must not lower a bound
+        scores = np.full((n, blocks, BLOCK), -1.0)
+        for block in range(blocks):
+            open_ = np.flatnonzero(reach[:, block] >= floor)
+            if len(open_):
+                scores[open_, block] = by_block[open_, block] + asked[open_] @ self.dense[block]
+        return np.round(scores.reshape(n, width), 12)
 
 
 def _steps(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,10 +189,11 @@ def _steps(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
 
 @dataclass
 class ToxicityModel:
-    """Terms, their idf, the index, and the calibration; ``base`` is the score of a text without a neighbour."""
+    """Terms of the examples, their idf, the documents, the index, and the calibration; ``base`` is the score of a text without a neighbour."""
 
     terms: np.ndarray
     idf: np.ndarray
+    total: int
     index: BlockMaxIndex
     k: int
     label_weights: np.ndarray
@@ -198,19 +206,24 @@ class ToxicityModel:
         w = sims * self.label_weights[labels.astype(int)]
         return (w * labels).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-12)
 
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(score, similarities, examples) of each text."""
+    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(score, similarities, examples, square of the length) of each text as far as examples have its terms, and (row, term, count) of all others."""
         n = len(column)
-        rows, terms, counts = known_counts(column, self.terms)
+        rows, found, counts = term_counts(column)
+        number = numbers_of(found, self.terms)
+        known = number >= 0
+        others = rows[~known], found[~known], counts[~known]
+        rows, terms, counts = rows[known], number[known], counts[known]
+        w = (1 + np.log(counts)) * self.idf[terms]
         sims, best = self.index.nearest(rows, terms, _weights(rows, terms, counts, self.idf, n), n, self.k)
-        scores = np.interp(self.votes(sims, best), *self.calibration)
-        return np.where(sims[:, 0] > 0, scores, self.base), sims, best
+        scores = np.interp(self.votes(sims, best), *self.calibration)  # the length of the text does not change its votes
+        return np.where(sims[:, 0] > 0, scores, self.base), sims, best, np.bincount(rows, w * w, minlength=n), others
 
 
 def _constant(base: float, k: int) -> ToxicityModel:
     none = np.zeros(0, np.int64)
     index = BlockMaxIndex.build(none, none, none, none, np.zeros(0), 0)
-    return ToxicityModel(none, np.zeros(0), index, k, np.ones(2), base, (np.array([0.0, 1.0]), np.array([base, base])))
+    return ToxicityModel(none, np.zeros(0), 0, index, k, np.ones(2), base, (np.array([0.0, 1.0]), np.array([base, base])))
 
 
 def examples(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int) -> tuple[DataFrame, dict[int, int]]:
@@ -226,78 +239,63 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_
     return picked.dropDuplicates(["text", "label"]), known
 
 
-def _chosen_terms(texts: DataFrame) -> np.ndarray:
-    """The terms that depend on the label, by the chi-squared statistic of presence, at most MOST_TERMS."""
-
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in portions_of(whole, "text")):
-            rows, terms, _ = term_counts(batch.column("text"))
-            labels = batch.column("label").cast(pa.int64()).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(labels[rows])], ["term", "label"])
-
-    totals = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
-    n, p = float(totals["n"]), float(totals["p"])
-    seen = texts.select("text", F.col("label").cast("long").alias("label")).mapInArrow(present, "term long, label long")
-    counts = seen.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("t"), F.sum("label").cast("double").alias("x")).where(F.col("t") >= max(LEAST_EXAMPLES, LEAST_SHARE * min(p, n - p)))
-    t, x = F.col("t"), F.col("x")
-    difference = x * (n - p) - (t - x) * p
-    chi = F.when(t < n, F.lit(n) * difference * difference / (F.lit(p) * F.lit(n - p) * t * (F.lit(n) - t)))
-    best = counts.withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "term").limit(MOST_TERMS)
-    return np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64))
-
-
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     """In how many of all documents each term occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
         for batch in (part for whole in batches for part in portions_of(whole, "text")):
-            total += np.bincount(known_counts(batch.column(0), terms)[1], minlength=len(terms))
+            number = numbers_of(term_counts(batch.column(0))[1], terms)
+            total += np.bincount(number[number >= 0], minlength=len(terms))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     found = docs.select(text_column(docs).alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = found.toArrow()  # one row a term of the examples at most
     out = np.zeros(len(terms), np.int64)
-    for r in found.collect():  # one row a term at most
-        out[r["term"]] = r["n"]
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
+def inverse_frequency(total: int, n):
+    """The idf of terms in ``n`` of ``total`` documents."""
+    return np.log((total + 1) / (n + 0.5)).clip(min=1e-6)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, k: int = 15, most: int = MOST_EXAMPLES) -> ToxicityModel:
-    """Build the index and calibrate it. With one label only, or no term that depends on it, every score is the smoothed share of label 1."""
+    """Build the index and calibrate it. With one label only, or examples without a word, every score is the smoothed share of label 1."""
     chosen, known = examples(docs, labels, label, modulus, held_out, most)
     base = (known.get(1, 0) + 0.5) / (sum(known.values()) + 1)
     if len(known) < 2:
         return _constant(base, k)
     texts = materialise(chosen, "toxicity-examples")
-    terms = _chosen_terms(texts)
-    if not len(terms):
-        return _constant(base, k)
-    total, _ = sizes(docs, F.lit(""))
-    idf = np.log((total + 1) / (document_frequencies(docs, terms) + 0.5)).clip(min=1e-6)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions_of(whole, "text")):
-            rows, found, counts = known_counts(batch.column("text"), terms)
+            rows, found, counts = term_counts(batch.column("text"))
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            lists = [pa.array([x[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int64())) for x in (found, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "terms", "counts"])
+            packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (found, counts.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *packed], ["doc_id", "label", "terms", "counts"])
 
-    shape = "doc_id long, label int, terms array<long>, counts array<long>"
+    shape = "doc_id long, label int, terms binary, counts binary"
     rows_ = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").mapInArrow(vectors, shape).collect()  # 2 * most rows
     rows_.sort(key=lambda r: (r["doc_id"], r["terms"]))
     n = len(rows_)
     ids, marks = np.array([r["doc_id"] for r in rows_], np.int64), np.array([r["label"] for r in rows_], np.int64)
-    rows = np.repeat(np.arange(n), [len(r["terms"]) for r in rows_])
-    found = np.array([t for r in rows_ for t in r["terms"]], np.int64)
-    counts = np.array([c for r in rows_ for c in r["counts"]], np.int64)
+    rows = np.repeat(np.arange(n), [len(r["terms"]) // 8 for r in rows_])
+    terms, found = np.unique(np.frombuffer(b"".join(r["terms"] for r in rows_), np.int64), return_inverse=True)
+    counts = np.frombuffer(b"".join(r["counts"] for r in rows_), np.int32)
+    if not len(terms):
+        return _constant(base, k)
+    total, _ = sizes(docs, F.lit(""))
+    idf = inverse_frequency(total, document_frequencies(docs, terms))
     weights = _weights(rows, found, counts, idf, n)
     index = BlockMaxIndex.build(ids, marks, rows, found, weights, len(terms))
     sampled = np.bincount(marks, minlength=2)
     if not sampled.all():
         return _constant(base, k)
     label_weights = np.array([known[y] / sampled[y] for y in (0, 1)])
-    model = ToxicityModel(terms, idf, index, k, label_weights, base, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    model = ToxicityModel(terms, idf, total, index, k, label_weights, base, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
     number = np.empty(n, np.int64)  # where build() has put each example
     where = {int(i): [] for i in ids}
@@ -315,27 +313,54 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     return model
 
 
+def _squares_of_others(found: DataFrame, total: int) -> DataFrame:
+    """(key, more): what terms outside the examples add to the square of a text's length beyond ``alone``, which takes each as of one document."""
+    pairs = found.select("key", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("key", F.col("p.terms").alias("term"), F.col("p.counts").alias("n"))
+    repeated = materialise(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "toxicity-terms")
+    idf = F.greatest(F.log(F.lit(float(total + 1)) / (F.col("df") + 0.5)), F.lit(1e-6))
+    changed = repeated.select("term", "df", (idf * idf - float(inverse_frequency(total, np.float64(1))) ** 2).alias("change"))
+    # Each occurrence counts as one of a thousand at most, so the frequent terms are few; their pairs are not shuffled by term.
+    limit = max(10_000, int(repeated.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]) // HOT_SHARE)
+    hot, others = F.broadcast(changed.where(F.col("df") > limit)), changed.where(F.col("df") <= limit)
+    joined = pairs.join(hot, "term").unionByName(pairs.join(hot.select("term"), "term", "left_anti").join(others, "term"))
+    tf = 1 + F.log(F.col("n").cast("double"))
+    return joined.groupBy("key").agg(F.sum(tf * tf * F.col("change")).alias("more"))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, k: int = 15) -> DataFrame:
     """Score of every document: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted``, ``evidence`` (nearest examples, nearest first).
 
-    The search reads text alone. Gives one row per input row; a null or empty text, and one without any of the terms, has
+    The search reads text alone. Gives one row per input row; a null or empty text, and one that shares no term with an example, has
     no neighbour and the score of such examples. ``held_out`` is null for a null doc_id, which no label reaches. Rows
     that repeat are scored alike. Without labels every score is 0.5. An empty table gives no rows. Other columns
     are not read.
     """
     model = fit(docs, labels, "toxic", modulus, held_out, k)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
+    once = float(inverse_frequency(model.total, np.float64(1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions_of(whole, "text")):
-            scores, sims, best = model.score(batch.column("text"))
+            scores, sims, best, known, (rows, terms, counts) = model.score(batch.column("text"))
             evidence = [
                 [{"doc_id": int(model.index.ids[b]), "similarity": float(s), "label": int(model.index.labels[b])} for s, b in zip(ss, bb, strict=True) if b >= 0]
                 for ss, bb in zip(sims, best, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+            alone = np.bincount(rows, ((1 + np.log(counts)) * once) ** 2, minlength=batch.num_rows)
+            cuts = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in (terms, counts)]
+            columns = [batch.column("doc_id"), pa.array(scores), pa.array(evidence, kind), pa.array(known, pa.float64()), pa.array(alone, pa.float64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence", "known", "alone", "terms", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, label: int>>")
+    shape = "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, label: int>>, known double, alone double, terms array<long>, counts array<long>"
+    found = rows.mapInArrow(run, shape)
+    if len(model.terms):
+        found = materialise(found.withColumn("key", F.monotonically_increasing_id()), "toxicity-scores")
+        more = _squares_of_others(found, model.total)
+        square = F.greatest(F.col("known") + F.col("alone") + F.coalesce("more", F.lit(0.0)), F.col("known"))
+        share = F.when(square > 0, F.sqrt(F.col("known") / square)).otherwise(0.0)
+        whole = F.transform("evidence", lambda e: e.withField("similarity", e["similarity"] * F.col("share")))
+        found = found.drop("terms", "counts").join(more, "key", "left").withColumn("share", share).withColumn("evidence", whole)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out
-    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return found.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -111,3 +111,46 @@ def test_calibration_rises():
 def test_terms_are_words_and_stems():
     rows, terms, counts = tx.term_counts(pa.array(["Loweischaft, loweiig! a", "b", None]))
     assert rows.tolist().count(0) == 4 and rows.tolist().count(1) == 1 and sorted(counts.tolist()) == [1, 1, 1, 1, 2]
+
+
+def test_frequent_terms_held_by_blocks_change_nothing():
+    rng = np.random.default_rng(4)
+    n, terms = 500, 60
+    dense = rng.random((n, terms)) * (rng.random((n, terms)) < rng.random(terms))
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    r, t = np.nonzero(dense)
+    for frequent in (1, 200, n + 1):
+        index = tx.BlockMaxIndex.build(np.arange(n), np.zeros(n, int), r, t, dense[r, t], terms, frequent)
+        sims, best = index.nearest(r, t, dense[r, t], n, 7)
+        full = np.round(dense @ dense[index.ids].T, 12)
+        assert np.allclose(sims, -np.sort(-full, axis=1)[:, :7], atol=1e-11) and np.allclose(np.take_along_axis(full, best, 1), sims, atol=1e-11)
+
+
+def test_whole_query_is_brute_force_cosine_over_all_terms(spark):
+    """Words that do not depend on the label, rare ones and words of no example count, and no example is left without a neighbour."""
+    rng = np.random.default_rng(11)
+    common, rare = [f"w{i}" for i in range(40)], [f"seldom{i}" for i in range(300)]
+    texts = [" ".join([*rng.choice(common, 12), *rng.choice(rare, 3), *(["fresh%d" % (i % 9)] * (i % 3) if i % 5 == 1 else [])]) for i in range(150)] + ["", "nothingelse"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    marks = {i: int(i % 4 == 0) for i in range(150) if i % 5 != 1}
+    labels = spark.createDataFrame([(i, y) for i, y in marks.items()], "doc_id long, toxic int")
+    bags = []
+    for t in texts:
+        bag = {}
+        for word in t.split():
+            for term in [word, *(["/" + word[:5]] if len(word) > 5 else [])]:
+                bag[term] = bag.get(term, 0) + 1
+        bags.append(bag)
+    df = {}
+    for bag in bags:
+        for term in bag:
+            df[term] = df.get(term, 0) + 1
+    vectors = [{term: (1 + np.log(c)) * max(np.log((len(texts) + 1) / (df[term] + 0.5)), 1e-6) for term, c in bag.items()} for bag in bags]
+    norms = [np.sqrt(sum(w * w for w in v.values())) for v in vectors]
+    chosen = [i for i in marks if zlib.crc32(str(i).encode()) % 5 != 0]
+    got = {r.doc_id: r.evidence for r in tx.toxicity_scores(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for i, v in enumerate(vectors):
+        full = {j: sum(w * vectors[j].get(term, 0) for term, w in v.items()) / max(norms[i] * norms[j], 1e-12) for j in chosen}
+        want = sorted((s for s in full.values() if s > 0), reverse=True)[:15]
+        assert np.allclose([e.similarity for e in got[i]], want) and all(np.isclose(full[e.doc_id], e.similarity) and e.label == marks[e.doc_id] for e in got[i])
