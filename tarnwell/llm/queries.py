@@ -125,14 +125,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_secrets")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.ALL_RULES)
 
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    # Every rule of this query is a base rule, so all spans are base spans.
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined.cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
 
 
 @query("op9_byte_bpe")
