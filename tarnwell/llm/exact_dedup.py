@@ -151,3 +151,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(digest)).distinct()
     own = F.sha2(text_column(docs).cast("binary"), 256)
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(doc)) & (own == F.col(digest)), "left_anti")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """As ``keep_one``, and of kept rows that repeat doc_id and text, null doc_ids included, a single one stays.
+
+    Repeated rows are combined before the shuffle, so a hot class is a row a task. Without any, nothing more is shuffled.
+    """
+    kept = keep_one(docs)
+    digest, doc = free_name(docs, "dedup_digest"), free_name(docs, "dedup_doc")
+    own = F.sha2(text_column(docs).cast("binary"), 256)
+    classes = docs.groupBy(docs["doc_id"].alias(doc), own.alias(digest)).agg(F.count(F.lit(1)).alias("n"))
+    if classes.where("n > 1").isEmpty():
+        return kept
+    whole = kept.groupBy(kept["doc_id"].alias(doc), F.sha2(text_column(kept).cast("binary"), 256).alias(digest)).agg(F.first(F.struct(*[kept[c] for c in docs.columns])).alias("row"))
+    return whole.select("row.*")

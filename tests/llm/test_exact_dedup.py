@@ -62,3 +62,16 @@ def brute_of(pairs, pair):
     own = [i for i, t in pairs if (t or "") == (pair[1] or "")]
     keep = max((x for x in own if x is not None), default=None)
     return [pair[0] == keep]
+
+
+def test_stage_keeps_one_row_of_each_text(spark, make_docs, hard_pairs):
+    import corpus_pipeline
+
+    pairs = [*hard_pairs, *[(None, "nameless")] * 40, (50, "nameless too"), *[(51, "twice")] * 40, (None, None)]
+    docs = make_docs(pairs)
+    out = corpus_pipeline.exact_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    best = {}
+    for i, t in pairs:
+        best[t or ""] = max((x for x in (i, best.get(t or "")) if x is not None), default=None)
+    assert sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str) == sorted(((i, t) for t, i in best.items()), key=str)
