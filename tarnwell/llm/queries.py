@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, exact_dedup, jaccard_join, packing, quality_rules, secrets, sharding, substring_dedup, topk_search, toxicity
+from tarnwell.llm import bpe, exact_dedup, jaccard_join, mixing, packing, quality_rules, secrets, sharding, substring_dedup, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -152,3 +152,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.bounded_ring_shards(table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    "op11_mixing",
+    rf"""
+    WITH r AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS size,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS key
+      FROM documents),
+    s AS (
+      SELECT source, CAST(sum(size) AS HUGEINT) AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+      FROM r GROUP BY source),
+    f AS (
+      SELECT a.source, a.n, a.w, sum(least(b.w * 3 * a.n, 3 * b.n * a.w)) <= sum(b.n) * a.w AS is_full, sum(b.n) AS total
+      FROM s a, s b GROUP BY a.source, a.n, a.w),
+    rest AS (SELECT max(total) - 3 * coalesce(sum(n) FILTER (WHERE is_full), 0) AS words, coalesce(sum(w) FILTER (WHERE NOT is_full), 1) AS w FROM f),
+    t AS (
+      SELECT source, CAST(n AS BIGINT) AS n, CASE WHEN is_full THEN CAST(3 * n AS DOUBLE) ELSE CAST(rest.words AS DOUBLE) * f.w / CAST(rest.w AS DOUBLE) END AS target
+      FROM f, rest),
+    p AS (
+      SELECT doc_id, source, size,
+        coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM r),
+    b AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS budget FROM t)
+    SELECT doc_id, size, n AS source_size, target,
+      CAST(CASE WHEN n = 0 THEN 0 ELSE budget // n * size + greatest(0, least(size, budget % n - before)) END AS BIGINT) AS taken
+    FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
