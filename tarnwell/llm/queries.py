@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, exact_dedup, jaccard_join, mixing, packing, quality_rules, secrets, sharding, substring_dedup, topk_search, toxicity
+from tarnwell.llm import bpe, exact_dedup, jaccard_join, mixing, packing, quality_rules, secrets, sharding, spelling, substring_dedup, topk_search, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,3 +183,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1_024)
+    each = rows.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error"
+    )
+
+
+@query(
+    "op13_spelling",
+    r"""
+    WITH RECURSIVE crc AS (
+      SELECT list(c ORDER BY i) AS t
+      FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+    runs AS (
+      SELECT doc_id, run, count(*) AS times
+      FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+      GROUP BY doc_id, run),
+    hexed AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs WHERE length(run) >= 6),
+    hashed AS (
+      SELECT run, times, xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS h
+      FROM hexed, crc),
+    w AS MATERIALIZED (
+      SELECT word, CAST(sum(times) AS BIGINT) AS n
+      FROM (SELECT times, CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+    holes AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS hole FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    near AS (
+      SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM holes a JOIN w b ON a.hole = b.word
+      UNION SELECT b.word, a.word, a.n FROM holes a JOIN w b ON a.hole = b.word),
+    best AS (SELECT word, count(*) AS n_near, min({'less': -m, 'other': other}) AS best FROM near GROUP BY word),
+    f AS MATERIALIZED (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * w.n THEN best.other END AS form, CASE WHEN -best.less >= 5 * w.n THEN -best.less END AS form_n
+      FROM w LEFT JOIN best ON w.word = best.word),
+    walk AS (
+      SELECT word, word AS here, 0 AS steps FROM f
+      UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON walk.here = f.word WHERE f.form IS NOT NULL),
+    roots AS (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN roots ON f.word = roots.word
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
