@@ -58,11 +58,11 @@ def postings(doc: DataFrame, keys: Sequence[str], name: str = "fts") -> DataFram
     return doc.select(*keys, F.explode(tokens).alias("token")).where(F.col("token") != "")
 
 
-def search_clauses(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+def search_clauses(queries: DataFrame, query_id: str, text: str, exclude_only: bool = False) -> DataFrame:
     """One row per alternative of a query: required words and phrases, excluded ones.
 
-    A word with inner punctuation is a phrase of its parts. An alternative that only
-    excludes has nothing to look up and selects nothing.
+    A word with inner punctuation is a phrase of its parts. An alternative that only excludes is kept if wanted: an index
+    can answer it, ``fts_match`` has nothing to look up for it.
     """
     alternatives = queries.select(
         query_id, F.posexplode(F.split(F.trim(F.col(text)), _OR_OUTSIDE_QUOTES)).alias("alternative", "_clause")
@@ -76,7 +76,7 @@ def search_clauses(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 
     return (
         alternatives.select(query_id, "alternative", forms(positive).alias("required"), forms(negated).alias("excluded"))
-        .where(F.size("required") > 0)
+        .where((F.size("required") > 0) | (F.lit(exclude_only) & (F.size("excluded") > 0)))
         .withColumn(
             "terms",
             F.array_distinct(F.flatten(F.transform(F.col("required"), lambda p: F.split(p, " ")))),

@@ -14,6 +14,7 @@ answered by one plan.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import Window as W
 from tarnwell.functions import text as tx
 from tarnwell.functions import vectors as vx
 from tarnwell.functions.fuzzy import fuzzy_ratio, fuzzy_ratios
-from tarnwell.operators.fulltext import RANKERS, fts_match, search_clauses, search_document
+from tarnwell.operators.fulltext import search_clauses
 from tarnwell.operators.fusion import fuse_signals, select_candidates
 from tarnwell.operators.knn import knn_join
 from tarnwell.operators.ranking import (
@@ -35,7 +36,8 @@ from tarnwell.operators.ranking import (
     top_n,
     winner_gap,
 )
-from tarnwell.session import materialise
+from tarnwell.operators.textindex import INDEX_RANKERS, TextIndex, build_index, match_index
+from tarnwell.session import materialise, work_dir
 from tarnwell.settings import KEYWORD_LABELS, RETRIEVAL, SUMMARY_LABELS, TOPIC_LABEL, RetrievalSettings
 
 # Text column and vector column of every keyword kind.
@@ -123,40 +125,73 @@ def merge_shards(found: DataFrame, value: str, smallest: bool, top_k: int | None
     return top_n(best, ["unit_id"], order, top_k) if top_k else best
 
 
+#: Labels of the searched columns of a keyword row, in the order in which their words are numbered.
+KEYWORD_FIELDS = {
+    "specific_keyword": KEYWORD_LABELS["specific"],
+    "generic_keyword": KEYWORD_LABELS["generic"],
+    "usecase": KEYWORD_LABELS["usecase"],
+    "primary_topic": TOPIC_LABEL,
+    "acronym": KEYWORD_LABELS["acronym"],
+    "secondary_entity": KEYWORD_LABELS["entity"],
+}
+
+
+def _keyed_rows(keywords: DataFrame) -> DataFrame:
+    """Keyword rows with ``_row``, a hash of what they say; rows that say the same of an article are one."""
+    columns = [c for c, _ in KIND_COLUMNS.values()]
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in columns] + [F.col(c).isNotNull() for c in columns]
+    return keywords.withColumn("_row", F.xxhash64("kbid", *parts))
+
+
+def keyword_index(keywords: DataFrame, root: str) -> TextIndex:
+    """A stored full-text index over keyword rows."""
+    return build_index(_keyed_rows(keywords), root, ["kbid", "_row"], KEYWORD_FIELDS, ["shard_id", *_ATTRIBUTES])
+
+
+def summary_index(summaries: DataFrame, root: str) -> TextIndex:
+    """A stored full-text index over summaries."""
+    return build_index(summaries.withColumnRenamed("doc_id", "kbid"), root, ["kbid"], SUMMARY_LABELS, ["shard_id"])
+
+
+def _ranked(units: DataFrame, index: TextIndex, ranker: str) -> DataFrame:
+    """Every match of a unit with its rank, without positions; written, as the cut and the flags both read it."""
+    clauses = search_clauses(units, "unit_id", "query_text", exclude_only=True)
+    matched = match_index(index, clauses, "unit_id").withColumn("_rank", INDEX_RANKERS[ranker]("hits", "terms"))
+    return materialise(matched.drop("hits", "terms", "alternative", "doc"), "fts-ranked")
+
+
 def fts_keywords(
-    units: DataFrame, keywords: DataFrame, settings: RetrievalSettings = RETRIEVAL, ranker: str = "cover"
+    units: DataFrame, keywords: DataFrame, settings: RetrievalSettings = RETRIEVAL, ranker: str = "cover", index: TextIndex | None = None
 ) -> DataFrame:
-    """Full-text rank over keyword rows, best row per document, top k per (unit, shard)."""
-    labels = {
-        "specific_keyword": KEYWORD_LABELS["specific"],
-        "generic_keyword": KEYWORD_LABELS["generic"],
-        "usecase": KEYWORD_LABELS["usecase"],
-        "primary_topic": TOPIC_LABEL,
-        "acronym": KEYWORD_LABELS["acronym"],
-        "secondary_entity": KEYWORD_LABELS["entity"],
-    }
-    rows = keywords.withColumn("_row", F.xxhash64("kbid", *[F.coalesce(F.col(c), F.lit("")) for c, _ in KIND_COLUMNS.values()],
-                                                  *[F.col(c).isNotNull() for c, _ in KIND_COLUMNS.values()]))
-    doc = search_document(rows, labels)
-    carry = ["shard_id", *_ATTRIBUTES, *[c for c, _ in KIND_COLUMNS.values()]]
-    matched = fts_match(search_clauses(units, "unit_id", "query_text"), doc, "unit_id", ["kbid", "_row"], carry)
-    told = matched.join(units.select("unit_id", "query_text", F.col("category").alias("wanted_category"), "top_k"), "unit_id")
+    """Full-text rank over keyword rows, best row per document, top k per (unit, shard).
+
+    ``index`` is the stored index of the rows; without one it is built for this call. Texts are read for the rows of fetched
+    documents only, to see exact and contained matches.
+    """
+    index = index or keyword_index(keywords, work_dir(units.sparkSession, "keyword-index"))
+    ranked = _ranked(units, index, ranker)
+    doc = ["unit_id", "shard_id", "kbid"]
+    told = ranked.join(units.select("unit_id", F.col("category").alias("wanted_category"), "top_k"), "unit_id")
+    per_doc = told.groupBy(*doc, "wanted_category", "top_k").agg(F.max("_rank").alias("fts_keywords_rank_raw"), *[F.max(a).alias(a) for a in _ATTRIBUTES])
+    fetched = materialise(
+        top_n(
+            per_doc.withColumn("_fetch", search_limit("top_k", "wanted_category", settings.oversample, settings.category_oversample)),
+            ["unit_id", "shard_id"], [F.desc("fts_keywords_rank_raw"), F.asc("kbid")], "_fetch",
+        ),
+        "fts-fetched",
+    )
+    columns = [c for c, _ in KIND_COLUMNS.values()]
+    wanted = materialise(ranked.select(*doc, "_row").distinct().join(fetched.select(*doc), doc, "left_semi"), "fts-flagged")
+    texts = _keyed_rows(keywords).select("kbid", "_row", "primary_topic", *columns)
     query = F.lower(F.trim("query_text"))
-    per_doc = (
-        told.withColumn("_rank", RANKERS[ranker]("fts_fields", "terms"))
-        .groupBy("unit_id", "shard_id", "kbid", "wanted_category", "top_k")
+    flags = (
+        texts.join(wanted, ["kbid", "_row"]).join(units.select("unit_id", "query_text"), "unit_id").groupBy(*doc)
         .agg(
-            F.max("_rank").alias("fts_keywords_rank_raw"),
-            *[F.max(a).alias(a) for a in _ATTRIBUTES],
             F.max(_exact(query, ["specific_keyword", "acronym", "primary_topic", "usecase"])).alias("fts_keywords_exact_match"),
-            F.max(_contains(query, [c for c, _ in KIND_COLUMNS.values()] + ["primary_topic"])).alias("fts_keywords_phrase_match"),
+            F.max(_contains(query, columns + ["primary_topic"])).alias("fts_keywords_phrase_match"),
         )
     )
-    fetched = top_n(
-        per_doc.withColumn("_fetch", search_limit("top_k", "wanted_category", settings.oversample, settings.category_oversample)),
-        ["unit_id", "shard_id"], [F.desc("fts_keywords_rank_raw"), F.asc("kbid")], "_fetch",
-    )
-    scored = fetched.withColumn(
+    scored = fetched.join(flags, doc).withColumn(
         "fts_keywords_rank",
         vx.bonus_rank(
             F.col("fts_keywords_rank_raw") * vx.rank_multiplier("wanted_category", "category", settings),
@@ -170,41 +205,46 @@ def fts_keywords(
 
 
 def fts_summaries(
-    units: DataFrame, summaries: DataFrame, settings: RetrievalSettings = RETRIEVAL, ranker: str = "cover"
+    units: DataFrame, summaries: DataFrame, settings: RetrievalSettings = RETRIEVAL, ranker: str = "cover", index: TextIndex | None = None
 ) -> DataFrame:
-    """Full-text rank over summaries; cut on the raw rank, bonuses added afterwards."""
-    doc = search_document(summaries.withColumnRenamed("doc_id", "kbid"), SUMMARY_LABELS)
-    carry = ["shard_id", "primary_intent", "query_triggers", "summary", "content"]
-    matched = fts_match(search_clauses(units, "unit_id", "query_text"), doc, "unit_id", ["kbid"], carry)
-    told = matched.join(units.select("unit_id", "query_text", "top_k"), "unit_id")
+    """Full-text rank over summaries; cut on the raw rank, bonuses added afterwards. ``index`` as in ``fts_keywords``."""
+    index = index or summary_index(summaries, work_dir(units.sparkSession, "summary-index"))
+    doc = ["unit_id", "shard_id", "kbid"]
+    best = _ranked(units, index, ranker).groupBy(*doc).agg(F.max("_rank").alias("fts_summaries_rank_raw"))
+    told = best.join(units.select("unit_id", "top_k"), "unit_id").withColumn("_fetch", F.col("top_k") * settings.oversample)
+    cut = materialise(top_n(told, ["unit_id", "shard_id"], [F.desc("fts_summaries_rank_raw"), F.asc("kbid")], "_fetch"), "fts-fetched")
     query = F.lower(F.trim("query_text"))
-    per_doc = (
-        told.withColumn("_rank", RANKERS[ranker]("fts_fields", "terms"))
-        .groupBy("unit_id", "shard_id", "kbid", "top_k")
-        .agg(
-            F.max("_rank").alias("fts_summaries_rank_raw"),
-            F.max(_exact(query, ["primary_intent", "query_triggers"])).alias("fts_summaries_exact_match"),
-            F.max(_contains(query, ["primary_intent", "query_triggers", "summary", "content"])).alias("fts_summaries_phrase_match"),
-        )
-        .withColumn("_fetch", F.col("top_k") * settings.oversample)
+    short, long = ["primary_intent", "query_triggers"], ["summary", "content"]
+    texts = summaries.select(F.col("doc_id").alias("kbid"), *short, *long)
+    flags = texts.join(cut.select(*doc), "kbid").join(units.select("unit_id", "query_text"), "unit_id").select(
+        *doc, _exact(query, short).alias("fts_summaries_exact_match"), _contains(query, [*short, *long]).alias("fts_summaries_phrase_match")
     )
-    cut = top_n(per_doc, ["unit_id", "shard_id"], [F.desc("fts_summaries_rank_raw"), F.asc("kbid")], "_fetch")
-    return cut.withColumn(
+    # A summary table that repeats an article gives its flags together.
+    flags = flags.groupBy(*doc).agg(*[F.max(c).alias(c) for c in ("fts_summaries_exact_match", "fts_summaries_phrase_match")])
+    return cut.join(flags, doc).withColumn(
         "fts_summaries_rank",
         vx.bonus_rank("fts_summaries_rank_raw", "fts_summaries_exact_match", "fts_summaries_phrase_match",
                       settings.summary_exact_bonus, settings.summary_phrase_bonus),
     ).drop("top_k", "_fetch")
 
 
+@dataclass(frozen=True)
+class Indexes:
+    """Stored full-text indexes of the two tables; what is absent is built for each call."""
+
+    keywords: TextIndex | None = None
+    summaries: TextIndex | None = None
+
+
 def hybrid_search(
     units: DataFrame, keywords: DataFrame, summaries: DataFrame,
-    settings: RetrievalSettings = RETRIEVAL, ranker: str = "cover",
+    settings: RetrievalSettings = RETRIEVAL, ranker: str = "cover", indexes: Indexes = Indexes(),
 ) -> DataFrame:
     """Fused top k per (unit, shard)."""
     fused = fuse_signals(
         vector_search(units, keywords, settings),
-        fts_keywords(units, keywords, settings, ranker),
-        fts_summaries(units, summaries, settings, ranker),
+        fts_keywords(units, keywords, settings, ranker, indexes.keywords),
+        fts_summaries(units, summaries, settings, ranker, indexes.summaries),
         ["unit_id", "shard_id"], settings=settings,
     )
     told = fused.join(units.select("unit_id", "query_id", "term_group", "top_k"), "unit_id")
@@ -213,14 +253,14 @@ def hybrid_search(
 
 def hybrid_search_all(
     units: DataFrame, keywords: DataFrame, summaries: DataFrame,
-    settings: RetrievalSettings = RETRIEVAL, ranker: str = "cover",
+    settings: RetrievalSettings = RETRIEVAL, ranker: str = "cover", indexes: Indexes = Indexes(),
 ) -> DataFrame:
     """Fused top k per unit with the shards merged before the fusion."""
     k = settings.top_k
     fused = fuse_signals(
         merge_shards(vector_search(units, keywords, settings), "vector_distance", True, k),
-        merge_shards(fts_keywords(units, keywords, settings, ranker), "fts_keywords_rank", False, k),
-        merge_shards(fts_summaries(units, summaries, settings, ranker), "fts_summaries_rank", False, k),
+        merge_shards(fts_keywords(units, keywords, settings, ranker, indexes.keywords), "fts_keywords_rank", False, k),
+        merge_shards(fts_summaries(units, summaries, settings, ranker, indexes.summaries), "fts_summaries_rank", False, k),
         ["unit_id"], settings=settings,
     )
     return top_n(fused, ["unit_id"], [F.desc("rrf_score"), F.asc("kbid")], k, "rank")
@@ -459,7 +499,7 @@ def selection_confidence(winners: DataFrame, scores: DataFrame, within: Sequence
 def two_level_select(
     queries: DataFrame, keywords: DataFrame, summaries: DataFrame, embed: Callable[[DataFrame, str], DataFrame],
     strategy: str = "lexical", scorer: PairScorer = overlap_scorer, settings: RetrievalSettings = RETRIEVAL,
-    ranker: str = "cover",
+    ranker: str = "cover", indexes: Indexes = Indexes(),
 ) -> dict[str, DataFrame]:
     """Pick one document per query: candidates per shard, then one final rerank.
 
@@ -467,7 +507,7 @@ def two_level_select(
     ``shard_winners`` and ``retrieved``. The retrieved frame is written once and shared.
     """
     units = materialise(term_units(queries, embed, settings.per_shard_top_k), "units")
-    found = best_across_groups(hybrid_search(units, keywords, summaries, settings, ranker), settings.per_shard_top_k)
+    found = best_across_groups(hybrid_search(units, keywords, summaries, settings, ranker, indexes), settings.per_shard_top_k)
     retrieved = materialise(found, "retrieved")
     texts = queries.select("query_id", "raw_query")
 

@@ -5,11 +5,15 @@ Each frame has its SQL form beside it; the ``*_SQL`` texts are CTE bodies for th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as tx
+from tarnwell.operators.textindex import TextIndex, open_index
 from tarnwell.plans.models import embed_terms
+from tarnwell.session import work_dir
 from tarnwell.sources.readers import spread_small
 
 BASE_SECONDS = 1_704_067_200  # 2024-01-01 UTC
@@ -168,6 +172,21 @@ def summary_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- stored full-text indexes ------------------------------------------------------------------
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], TextIndex]) -> TextIndex:
+    """The index of a table folder, built by the first query of the application that asks for it and then read."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _STORED:
+        root = work_dir(spark, f"{name}-index")
+        build(root)
+        _STORED[at] = root
+    return open_index(spark, _STORED[at])
+
+
 # --- query units: every sentence of every benchmark passage -------------------------------------
 
 UNITS_SQL = r"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.operators.fulltext import search_clauses
+from tarnwell.operators.textindex import build_index, cover_density_of_hits, hit_weights, match_index
 from tarnwell.plans import retrieval as rt
 from tarnwell.registry import query
 from tarnwell.registry.inputs import (
@@ -13,6 +15,7 @@ from tarnwell.registry.inputs import (
     UNITS_SQL,
     fts_text_sql,
     keyword_frame,
+    stored_index,
     summary_frame,
     table,
     unit_frame,
@@ -101,6 +104,11 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
     return unit_frame(spark, sf)
 
 
+def _indexes(spark: SparkSession, sf: str) -> rt.Indexes:
+    keywords = stored_index(spark, sf, "keyword", lambda root: rt.keyword_index(keyword_frame(spark, sf, False), root))
+    return rt.Indexes(keywords, stored_index(spark, sf, "summary", lambda root: rt.summary_index(summary_frame(spark, sf), root)))
+
+
 @query(
     "vector_search",
     f"""WITH {KEYWORDS_SQL}, {UNITS_SQL}, {VECTOR_ARM_SQL}
@@ -136,7 +144,7 @@ def merge_vector_shards(spark: SparkSession, sf: str) -> DataFrame:
 )
 def fts_keywords(spark: SparkSession, sf: str) -> DataFrame:
     units = unit_frame(spark, sf, False)
-    found = rt.fts_keywords(units, keyword_frame(spark, sf, False), ranker="hits")
+    found = rt.fts_keywords(units, keyword_frame(spark, sf, False), ranker="hits", index=_indexes(spark, sf).keywords)
     return found.select(
         "unit_id", "shard_id", "kbid", F.round("fts_keywords_rank_raw", 6).alias("fts_keywords_rank_raw"),
         F.round("fts_keywords_rank", 6).alias("fts_keywords_rank"), "fts_keywords_exact_match", "fts_keywords_phrase_match",
@@ -151,7 +159,7 @@ def fts_keywords(spark: SparkSession, sf: str) -> DataFrame:
 )
 def fts_summaries(spark: SparkSession, sf: str) -> DataFrame:
     units = unit_frame(spark, sf, False)
-    found = rt.fts_summaries(units, summary_frame(spark, sf), ranker="hits")
+    found = rt.fts_summaries(units, summary_frame(spark, sf), ranker="hits", index=_indexes(spark, sf).summaries)
     return found.select(
         "unit_id", "shard_id", "kbid", F.round("fts_summaries_rank_raw", 6).alias("fts_summaries_rank_raw"),
         F.round("fts_summaries_rank", 6).alias("fts_summaries_rank"), "fts_summaries_exact_match", "fts_summaries_phrase_match",
@@ -181,7 +189,7 @@ ARMS_SQL = f"{KEYWORDS_SQL}, {SUMMARIES_SQL}, {UNITS_SQL}, {VECTOR_ARM_SQL}, {KE
 
 
 def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.hybrid_search(_units(spark, sf), keyword_frame(spark, sf), summary_frame(spark, sf), ranker="hits")
+    return rt.hybrid_search(_units(spark, sf), keyword_frame(spark, sf), summary_frame(spark, sf), ranker="hits", indexes=_indexes(spark, sf))
 
 
 @query(
@@ -377,17 +385,12 @@ def dataset_params(spark: SparkSession, sf: str) -> DataFrame:
 _DOC_TEXT_SQL = f"dt AS (SELECT doc_id, ' ' || {fts_text_sql('text')} || ' ' AS t FROM documents)"
 
 
-def _doc_text(spark: SparkSession, sf: str) -> DataFrame:
-    from tarnwell.operators.fulltext import search_document
-
-    return search_document(table(spark, sf, "documents").select("doc_id", "text"), {"text": "B"})
-
-
 def _match(spark: SparkSession, sf: str, text) -> DataFrame:
-    from tarnwell.operators.fulltext import fts_match, search_clauses
-
+    """Matches of the passages, written as queries, in the stored index of all documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = stored_index(spark, sf, "document", lambda root: build_index(docs, root, ["doc_id"], {"text": "B"}))
     asked = table(spark, sf, "benchmark").select("item_id", text.alias("asked"))
-    return fts_match(search_clauses(asked, "item_id", "asked"), _doc_text(spark, sf), "item_id", ["doc_id"])
+    return match_index(index, search_clauses(asked, "item_id", "asked", exclude_only=True), "item_id")
 
 
 @query(
@@ -435,20 +438,48 @@ def fts_not_or(spark: SparkSession, sf: str) -> DataFrame:
     SELECT item_id, doc_id, round(s::DOUBLE, 6) AS score, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS r FROM hit) WHERE r <= 10""",
 )
 def fts_weighted_topk(spark: SparkSession, sf: str) -> DataFrame:
-    from tarnwell.operators.fulltext import weighted_hits
     from tarnwell.operators.ranking import top_n
 
-    hits = _match(spark, sf, F.col("text")).withColumn("score", F.round(weighted_hits("fts_fields", "terms"), 6))
+    hits = _match(spark, sf, F.col("text")).withColumn("score", F.round(hit_weights("hits"), 6))
     best = top_n(hits, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10, "place")
     return best.select("item_id", "doc_id", "score", F.col("place").cast("long").alias("place"))
 
 
-@query("cover_density")
-def cover_density(spark: SparkSession, sf: str) -> DataFrame:
-    from tarnwell.operators.fulltext import cover_density_rank
+@query(
+    "fts_exclude_only",
+    f"""WITH {_DOC_TEXT_SQL}, {_WORDS_SQL}
+    SELECT item_id, doc_id FROM bw JOIN dt ON NOT contains(t, ' ' || w[1] || ' ') AND NOT contains(t, ' ' || coalesce(w[2] || ' ' || w[3], w[1]) || ' ')""",
+)
+def fts_exclude_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without the first word of a passage and without the next two side by side."""
+    from tarnwell.functions.text import search_tokens
+
+    w = F.array_distinct(search_tokens("text"))
+    pair = F.concat(F.lit('-"'), F.get(w, F.lit(1)), F.lit(" "), F.get(w, F.lit(2)), F.lit('"'))
+    return _match(spark, sf, F.concat_ws(" ", F.concat(F.lit("-"), F.get(w, F.lit(0))), pair)).select("item_id", "doc_id")
+
 
+@query(
+    "cover_density",
+    f"""WITH {_DOC_TEXT_SQL}, bt AS (SELECT item_id, list_distinct(string_split({fts_text_sql('text')}, ' ')) AS q FROM benchmark),
+    pair AS (SELECT item_id, doc_id, q, string_split(trim(t), ' ') AS a FROM bt JOIN dt ON len(list_filter(q, lambda x: NOT contains(t, ' ' || x || ' '))) = 0),
+    occ AS (SELECT item_id, doc_id, len(q) AS terms, unnest(a) AS term, unnest(range(len(a))) AS pos, q FROM pair),
+    hit AS (
+      SELECT item_id, doc_id, terms, term, pos, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY pos) - 1 AS i
+      FROM occ WHERE list_contains(q, term)),
+    recent AS (
+      SELECT x.item_id, x.doc_id, x.terms, x.i, y.term, max(y.i) AS j
+      FROM hit x JOIN hit y ON x.item_id = y.item_id AND x.doc_id = y.doc_id AND y.i <= x.i GROUP BY ALL),
+    stretch AS (
+      SELECT item_id, doc_id, min(i) AS i, j FROM (
+        SELECT item_id, doc_id, i, min(j) AS j FROM recent GROUP BY item_id, doc_id, i, terms HAVING count(*) = terms) GROUP BY item_id, doc_id, j)
+    SELECT s.item_id, s.doc_id, round(sum(0.4::DOUBLE / (1 + (e.pos - b.pos) - (s.i - s.j))), 6) AS score
+    FROM stretch s JOIN hit b ON b.item_id = s.item_id AND b.doc_id = s.doc_id AND b.i = s.j
+      JOIN hit e ON e.item_id = s.item_id AND e.doc_id = s.doc_id AND e.i = s.i GROUP BY s.item_id, s.doc_id""",
+)
+def cover_density(spark: SparkSession, sf: str) -> DataFrame:
     hits = _match(spark, sf, F.col("text"))
-    return hits.select("item_id", "doc_id", F.round(cover_density_rank("fts_fields", "terms"), 6).alias("score"))
+    return hits.select("item_id", "doc_id", F.round(cover_density_of_hits("hits", "terms"), 6).alias("score"))
 
 
 @query(
@@ -493,7 +524,7 @@ def _selection(spark: SparkSession, sf: str, strategy: str) -> dict[str, DataFra
     from tarnwell.session import materialise
 
     keywords = materialise(keyword_frame(spark, sf), "keywords")
-    return rt.two_level_select(_questions(spark, sf), keywords, summary_frame(spark, sf), _embed, strategy)
+    return rt.two_level_select(_questions(spark, sf), keywords, summary_frame(spark, sf), _embed, strategy, indexes=_indexes(spark, sf))
 
 
 @query("two_level_select")
