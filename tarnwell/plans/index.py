@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell import schemas
 from tarnwell.functions import text as tx
 from tarnwell.operators import shards, sync
 from tarnwell.operators.ranking import sample_n
@@ -14,6 +15,7 @@ from tarnwell.plans.models import Embedder, Extractor, embed_terms, local_extrac
 from tarnwell.plans.retrieval import KIND_COLUMNS
 from tarnwell.session import materialise
 from tarnwell.settings import INDEX, IndexSettings
+from tarnwell.sources.store import Affected, Change, Store, TableSpec
 
 _TITLE_TOKEN = r"[A-Za-z0-9][A-Za-z0-9\-\._]{2,}"
 
@@ -174,6 +176,18 @@ def keyed_source(source: DataFrame, collection: str | None = None, org: str | No
     )
 
 
+@dataclass(frozen=True)
+class SyncChanges:
+    """What a sync does: owners that go (collection and key), rows that come, the next registry, and how every article fared."""
+
+    gone: DataFrame
+    keywords: DataFrame
+    summaries: DataFrame
+    registry: DataFrame
+    outcomes: DataFrame
+    diff: DataFrame
+
+
 @dataclass(frozen=True)
 class SyncResult:
     keywords: DataFrame
@@ -183,64 +197,138 @@ class SyncResult:
     diff: DataFrame
 
 
-def sync_job(
-    source: DataFrame,
-    keywords: DataFrame,
-    summaries: DataFrame,
-    registry: DataFrame,
-    extract: Extractor = local_extractor,
-    embed: Embedder | None = None,
-    sample: int | None = None,
-    seed: int = 7,
-    settings: IndexSettings = INDEX,
-) -> SyncResult:
-    """Bring an index in step with its source; returns the new tables for one staged swap.
+_ARTICLE = ["kb_collection_id", "doc_key"]
+
 
-    A document is named by its collection and its key, so collections may use the same keys; a null collection counts
-    as blank.
-    ``source``: id, number, name, content, updated_at, is_deleted, collection and org;
-    ``summaries`` holds doc_id, kb_collection_id, shard_id, updated_at and the article fields.
+def sync_changes(
+    source: DataFrame, state: DataFrame, registry: DataFrame, extract: Extractor = local_extractor, embed: Embedder | None = None,
+    sample: int | None = None, seed: int = 7, settings: IndexSettings = INDEX, partial: bool = False,
+) -> SyncChanges:
+    """What brings an index in step with its source, from the keys and times of both; texts are read for changed articles only.
+
+    A document is named by its collection and its key, so collections may use the same keys; a null collection counts as blank.
+    ``source``: id, number, name, content, updated_at, is_deleted, collection and org; ``state``: doc_key, kb_collection_id,
+    shard_id, updated_at of what is indexed. A ``partial`` source has changed rows only: articles that it does not name stay, and
+    those that it marks as deleted go.
     """
-    name = ["kb_collection_id", "doc_key"]
     blank = F.coalesce("kb_collection_id", F.lit("")).alias("kb_collection_id")
+    state = state.where(F.trim("doc_key") != "").select("doc_key", "updated_at", "shard_id", blank)
     docs = keyed_source(source).withColumn("kb_collection_id", blank)
-    docs = sync.latest_source(docs, name)
+    narrow = sync.latest_source(docs.select(*_ARTICLE, "updated_at", "id"), _ARTICLE)
     if sample is not None:
-        docs = sample_n(docs, "doc_key", sample, seed)
-    state = summaries.where(F.trim("doc_id") != "").select(F.col("doc_id").alias("doc_key"), "updated_at", "shard_id", blank)
-    diff = materialise(sync.purge_guard(sync.snapshot_diff(docs, state, name), state, sample is not None), "diff")
-
-    changed = diff.where(F.col("label").isin("new", "updated")).select(*name, "label")
-    batch = sync.existing_keys(docs.join(changed, name), state, name)
+        narrow = sample_n(narrow, "doc_key", sample, seed)
+    if partial:
+        named = keyed_source(source.withColumn("is_deleted", F.lit(False))).withColumn("kb_collection_id", blank).select(*_ARTICLE).distinct()
+        diff = sync.snapshot_diff(narrow, state.join(named, _ARTICLE, "left_semi"), _ARTICLE)
+    else:
+        diff = sync.purge_guard(sync.snapshot_diff(narrow, state, _ARTICLE), state, sample is not None)
+    diff = materialise(diff, "diff")
+
+    changed = diff.where(F.col("label").isin("new", "updated")).select(*_ARTICLE, "label").join(narrow, _ARTICLE)
+    changed = changed.select(*[F.col(c).alias(f"_{c}") for c in _ARTICLE], F.col("updated_at").alias("_at"), F.col("id").alias("_id"), "label")
+    same = [F.col(c) == F.col(f"_{c}") for c in _ARTICLE] + [F.col("updated_at").eqNullSafe(F.col("_at")), F.col("id").eqNullSafe(F.col("_id"))]
+    taken = docs.join(changed, same).select(*docs.columns, "label").dropDuplicates(_ARTICLE)
+    batch = materialise(sync.existing_keys(taken, state, _ARTICLE), "sync-batch")
     ready = sync.usable_articles(batch)
     enriched = materialise(enrich_documents(ready, extract), "enriched")
     outcomes = sync.article_outcome(
-        batch.join(enriched.select(*name, "stage", "error", F.col("content").alias("_clean")), name, "left")
+        batch.join(enriched.select(*_ARTICLE, "stage", "error", F.col("content").alias("_clean")), _ARTICLE, "left")
         .withColumn("content", F.coalesce("_clean", F.lit(""))).drop("_clean")
-    ).select(*name, "outcome", "reason", "stage")
+    ).select(*_ARTICLE, "outcome", "reason", "stage")
 
     good = enriched.where(F.col("error").isNull())
-    gone = diff.where(F.col("label") == "deleted").select(*name).unionByName(good.where("exists").select(*name))
-    removed = state.join(gone, name, "left_semi")
-    freed = shards.release_slots(registry, removed)
+    gone = diff.where(F.col("label") == "deleted").select(*_ARTICLE).unionByName(good.where("exists").select(*_ARTICLE))
+    gone = materialise(gone, "sync-gone")
+    freed = shards.release_slots(registry, state.join(gone, _ARTICLE, "left_semi"))
     numbered = F.xxhash64("doc_key").cast("double")
     placed = shards.assign_shards(good.drop("shard_id"), freed, "doc_key", numbered, settings.shard_size)
     placed = materialise(placed, "placed")
-
-    rows = keyword_rows(placed, embed)
     notes = summary_rows(placed).join(placed.select("kb_collection_id", F.col("doc_key").alias("doc_id"), "updated_at"), ["kb_collection_id", "doc_id"])
-    keys = gone.select(F.col("kb_collection_id").alias("_collection"), F.col("doc_key").alias("_key"))
+    return SyncChanges(gone, keyword_rows(placed, embed), notes, shards.update_registry(freed, placed, settings.shard_size), outcomes, diff)
+
+
+def sync_job(
+    source: DataFrame,
+    keywords: DataFrame,
+    summaries: DataFrame,
+    registry: DataFrame,
+    extract: Extractor = local_extractor,
+    embed: Embedder | None = None,
+    sample: int | None = None,
+    seed: int = 7,
+    settings: IndexSettings = INDEX,
+) -> SyncResult:
+    """``sync_changes`` applied to whole frames; ``run_sync`` commits them to a store instead."""
+    state = summaries.select(F.col("doc_id").alias("doc_key"), "kb_collection_id", "shard_id", "updated_at")
+    done = sync_changes(source, state, registry, extract, embed, sample, seed, settings)
+    keys = done.gone.select(F.col("kb_collection_id").alias("_collection"), F.col("doc_key").alias("_key"))
 
     def without_gone(table: DataFrame, key: str) -> DataFrame:
         same = (F.coalesce(table["kb_collection_id"], F.lit("")) == F.col("_collection")) & (table[key] == F.col("_key"))
         return table.join(keys, same, "left_anti")
 
     return SyncResult(
-        without_gone(keywords, "kbid").unionByName(rows, allowMissingColumns=True),
-        without_gone(summaries, "doc_id").unionByName(notes, allowMissingColumns=True),
-        shards.update_registry(freed, placed, settings.shard_size),
-        outcomes,
-        diff,
+        without_gone(keywords, "kbid").unionByName(done.keywords, allowMissingColumns=True),
+        without_gone(summaries, "doc_id").unionByName(done.summaries, allowMissingColumns=True),
+        done.registry, done.outcomes, done.diff,
+    )
+
+
+#: The tables of an index: keyword rows and summaries belong to an article, the registry to a collection.
+INDEX_TABLES = {
+    "keywords": TableSpec(schemas.KB_KEYWORDS, ("kb_collection_id", "kbid")),
+    "summaries": TableSpec(schemas.KB_SUMMARIES, ("kb_collection_id", "doc_id")),
+    "registry": TableSpec(schemas.SHARD_REGISTRY, ("kb_collection_id",), 8),
+}
+
+
+@dataclass(frozen=True)
+class SyncReport:
+    """What a committed sync did: articles and rows of each table, outcomes, and the diff that it came from."""
+
+    affected: dict[str, Affected]
+    outcomes: DataFrame
+    diff: DataFrame
+    changes: SyncChanges
+
+
+def run_sync(
+    store: Store, source: DataFrame, now: Column, extract: Extractor = local_extractor, embed: Embedder | None = None,
+    sample: int | None = None, seed: int = 7, settings: IndexSettings = INDEX, partial: bool = False, note: str | None = None,
+) -> SyncReport:
+    """Sync a stored index with its source: keywords, summaries and registry change in one commit, in touched buckets only.
+
+    Rows that come get ``now`` as creation time. A sync without changes commits nothing but its note.
+    """
+    before = store.snapshot()
+    state = before.read("summaries").select(F.col("doc_id").alias("doc_key"), "kb_collection_id", "shard_id", "updated_at")
+    registry = before.read("registry")
+    done = sync_changes(source, state, registry, extract, embed, sample, seed, settings, partial)
+    fresh = materialise(done.registry.join(registry.select("kb_collection_id", "shard_id", "created_at"), ["kb_collection_id", "shard_id"], "left").withColumn("created_at", F.coalesce("created_at", now)), "sync-registry")
+    # Of the registry only collections that changed are written.
+    same = fresh.join(registry, fresh.columns, "left_semi") if registry.columns else fresh.limit(0)
+    moved = fresh.join(same.select("kb_collection_id", "shard_id"), ["kb_collection_id", "shard_id"], "left_anti").select("kb_collection_id").distinct()
+    changes = {
+        "keywords": Change(done.keywords.withColumn("created_at", now).withColumn("updated_at", now), done.gone.withColumnRenamed("doc_key", "kbid")),
+        "summaries": Change(done.summaries.withColumn("created_at", now), done.gone.withColumnRenamed("doc_key", "doc_id")),
+        "registry": Change(fresh.join(moved, "kb_collection_id", "left_semi")),
+    }
+    return SyncReport(store.commit(changes, before, note), done.outcomes, done.diff, done)
+
+
+def delete_articles(store: Store, articles: DataFrame, note: str | None = None) -> dict[str, Affected]:
+    """Remove articles (kb_collection_id, doc_key) from keywords and summaries and give their slots back, in one commit.
+
+    Gives what was done to each table; articles that are not there count nowhere.
+    """
+    before = store.snapshot()
+    keys = materialise(articles.select(F.coalesce("kb_collection_id", F.lit("")).alias("kb_collection_id"), "doc_key").distinct(), "delete-articles")
+    held = before.read("summaries").select(F.coalesce("kb_collection_id", F.lit("")).alias("kb_collection_id"), F.col("doc_id").alias("doc_key"), "shard_id")
+    removed = materialise(held.join(keys, _ARTICLE, "left_semi"), "delete-held")
+    registry = before.read("registry")
+    freed = shards.release_slots(registry.join(removed.select("kb_collection_id").distinct(), "kb_collection_id", "left_semi"), removed)
+    return store.commit(
+        {"keywords": Change(gone=keys.withColumnRenamed("doc_key", "kbid")), "summaries": Change(gone=keys.withColumnRenamed("doc_key", "doc_id")), "registry": Change(freed)}, before, note
     )
 
 
