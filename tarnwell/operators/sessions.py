@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.functions.vectors import duration_seconds
@@ -52,31 +52,48 @@ def usage_entries(snapshots: DataFrame, call: str = "call_id", usage: str = "usa
 
     ``usage`` is JSON text with ``model_usage`` (or ``modelUsage``).
     """
+    rows = snapshots.select(call, F.posexplode(_entries(usage)).alias("ord", "e"))
+    return rows.select(call, "ord", _entry(F.col("e")).alias("e")).select(call, "ord", "e.*")
+
+
+def _entries(usage: str) -> Column:
     parsed = F.try_parse_json(usage)
-    entries = F.coalesce(
+    return F.coalesce(
         F.try_variant_get(parsed, "$.model_usage", "array<map<string,variant>>"),
         F.try_variant_get(parsed, "$.modelUsage", "array<map<string,variant>>"),
     )
-    rows = snapshots.select(call, F.posexplode(entries).alias("ord", "e"))
+
+
+def _entry(e: Column) -> Column:
+    """Model, kinds and numbers of one entry (a map of variants) of a usage record."""
 
     def text(*keys: str):
-        return F.coalesce(*[F.nullif(F.try_variant_get(F.try_element_at("e", F.lit(k)), "$", "string"), F.lit("")) for k in keys])
+        return F.coalesce(*[F.nullif(F.try_variant_get(F.try_element_at(e, F.lit(k)), "$", "string"), F.lit("")) for k in keys])
 
     def has(*keys: str):
-        return F.greatest(*[F.map_contains_key("e", k) for k in keys])
+        return F.greatest(*[F.map_contains_key(e, k) for k in keys])
 
     kind = F.lower(F.coalesce(text("type", "usage_type", "kind"), F.lit("")))
     tts_marks = has("characters_count", "audio_duration")
     says_llm, says_tts = F.contains(kind, F.lit("llm")), F.contains(kind, F.lit("tts"))
-    return rows.select(
-        call, "ord",
+    return F.struct(
         F.concat_ws(":", F.coalesce(text("provider"), F.lit("unknown")), F.coalesce(text("model"), F.lit("unknown"))).alias("model_key"),
         (says_llm | (~says_tts & ~tts_marks & has("input_tokens", "output_tokens", "input_cached_tokens"))).alias("is_llm"),
         (says_tts | tts_marks | (~says_llm & has("input_audio_tokens", "output_audio_tokens"))).alias("is_tts"),
-        *[F.try_variant_get(F.try_element_at("e", F.lit(k)), "$", "double").alias(k) for k in USAGE_NUMBERS],
+        *[F.try_variant_get(F.try_element_at(e, F.lit(k)), "$", "double").alias(k) for k in USAGE_NUMBERS],
     )
 
 
+def token_usage(usage: str, kind: str) -> Column:
+    """Numbers by model of one usage record, as ``usage_by_model``, without rows of their own; null where the record is no usage."""
+    entries = F.transform(_entries(usage), _entry)
+    some = F.filter(entries, lambda e: e["is_llm" if kind == "llm" else "is_tts"] & F.coalesce(*[e[k] for k in USAGE_NUMBERS]).isNotNull())
+    numbers = F.transform(some, lambda e: F.struct(e["model_key"], F.struct(*[e[k].alias(k) for k in USAGE_NUMBERS]).alias("numbers")))
+    # Of a repeated model the last entry counts.
+    last = F.filter(numbers, lambda e, i: ~F.exists(F.slice(numbers, i + 2, F.size(numbers)), lambda o: o["model_key"] == e["model_key"]))
+    return F.map_from_entries(last)
+
+
 def _counted(entries: DataFrame, kind: str) -> DataFrame:
     some = F.coalesce(*[F.col(k) for k in USAGE_NUMBERS]).isNotNull()
     return entries.where(F.col("is_llm" if kind == "llm" else "is_tts") & some)

@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tarnwell import schemas
 from tarnwell.functions.jsonops import json_merge, json_object, safe_json_object, with_external_id
 from tarnwell.functions.phones import call_end_status, is_uuid, phone_if_sip
 from tarnwell.operators.ranking import latest_per_key
 from tarnwell.operators.skew import running
+from tarnwell.session import materialise
+from tarnwell.sources.store import Affected, Change, Store, TableSpec
 
 CALL_FIELDS = [
     "caller", "channel", "status", "ended_reason", "details_url", "ended_at", "called_at",
@@ -108,6 +111,30 @@ def upsert_calls(calls: DataFrame, updates: DataFrame, now: Column, order: str =
     return kept.unionByName(inserted)
 
 
+#: Calls, and every reference by which a call may be named; a reference may name several calls.
+CALL_TABLES = {
+    "calls": TableSpec(schemas.CALLS, ("id",)),
+    "call_refs": TableSpec(schemas.schema_of("ref string, id string"), ("ref", "id"), dealt_by=("ref",)),
+}
+
+
+def call_references(calls: DataFrame) -> DataFrame:
+    """(ref, id): the id, the interaction id and the outside id of every call."""
+    refs = F.array("id", "interaction_id", F.get_json_object("call_data", "$.external_call_id"))
+    return calls.select(F.explode(refs).alias("ref"), "id").where(F.coalesce("ref", F.lit("")) != "").distinct()
+
+
+def commit_call_updates(store: Store, updates: DataFrame, now: Column, order: str = "arrived", note: str | None = None) -> dict[str, Affected]:
+    """``upsert_calls`` on a store of ``CALL_TABLES``: the calls that the updates name are found by their references, and only they are written."""
+    before = store.snapshot()
+    updates = materialise(updates, "call-updates")
+    named = [F.col("call_ref")] + [F.col(c) for c in ("interaction_id",) if c in updates.columns] + [F.get_json_object(with_external_id("call_ref", "call_data"), "$.external_call_id")]
+    wanted = updates.select(F.explode(F.array(*named)).alias("ref")).where(F.coalesce("ref", F.lit("")) != "")
+    ids = before.rows_of("call_refs", wanted).select("id").distinct()
+    nxt = materialise(upsert_calls(before.rows_of("calls", ids), updates, now, order), "next-calls")
+    return store.commit({"calls": Change(nxt), "call_refs": Change(call_references(nxt))}, before, note)
+
+
 def patch_calls(calls: DataFrame, patches: DataFrame, now: Column, order: str = "arrived") -> tuple[DataFrame, DataFrame]:
     """(next calls, rejects): like an upsert, but unknown calls and empty patches are rejected."""
     fields = [f for f in CALL_FIELDS if f in patches.columns]

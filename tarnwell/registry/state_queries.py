@@ -30,7 +30,7 @@ calls AS (
     CASE WHEN c_custkey % 3 = 2 THEN '{{"external_call_id":"ext-' || c_custkey || '"}}' END AS call_data, c_custkey, c_mktsegment AS caller FROM customer)"""
 
 
-def _calls(spark: SparkSession, sf: str) -> DataFrame:
+def call_rows(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     c = table(spark, sf, "customer").select(
         F.md5(F.concat(F.lit("c"), key.cast("string")).cast("binary")).alias("id"), F.timestamp_seconds(F.lit(BASE_SECONDS) + key).alias("created_at"),
@@ -57,10 +57,10 @@ def _ref(key):
 def resolve_call(spark: SparkSession, sf: str) -> DataFrame:
     """References of twice the customer range: about half of them are unknown."""
     refs = table(spark, sf, "orders").select(_ref(F.col("o_custkey") * 2).alias("call_ref"))
-    return st.resolve_calls(refs, _calls(spark, sf))
+    return st.resolve_calls(refs, call_rows(spark, sf))
 
 
-def _updates(spark: SparkSession, sf: str) -> DataFrame:
+def call_updates(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     return o.select(
         _ref(F.col("o_custkey") * 2).alias("call_ref"), F.col("o_orderkey").alias("arrived"),
@@ -82,13 +82,13 @@ nxt AS (
 
 @query("upsert_calls", f"WITH {_FOLD_SQL} SELECT id, caller, status, ended_reason, interaction_id, CAST(n AS VARCHAR) AS n FROM nxt")
 def upsert_calls(spark: SparkSession, sf: str) -> DataFrame:
-    rows = st.upsert_calls(_calls(spark, sf), _updates(spark, sf), _now())
+    rows = st.upsert_calls(call_rows(spark, sf), call_updates(spark, sf), _now())
     return rows.select("id", "caller", "status", "ended_reason", "interaction_id", F.get_json_object("call_data", "$.n").alias("n"))
 
 
 @query("patch_rejects", f"WITH {_FOLD_SQL} SELECT u.call_ref, u.arrived, 'unknown call' AS reject_reason FROM ups u JOIN res r ON r.call_ref = u.call_ref WHERE r.id IS NULL")
 def patch_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    return st.patch_calls(_calls(spark, sf), _updates(spark, sf), _now())[1]
+    return st.patch_calls(call_rows(spark, sf), call_updates(spark, sf), _now())[1]
 
 
 _CALL_EVENTS_SQL = """
@@ -125,7 +125,7 @@ def append_call_events(spark: SparkSession, sf: str) -> DataFrame:
     )
     conv = F.md5(F.concat(F.lit("c"), F.col("conv_id").cast("string")).cast("binary"))
     already = table(spark, sf, "conversations").select(conv.alias("call_id"), F.col("turn").alias("sequence_number"))
-    done, _ = st.append_call_events(e, _calls(spark, sf), already)
+    done, _ = st.append_call_events(e, call_rows(spark, sf), already)
     return done.select("event_id", "call_id", "sequence_number")
 
 

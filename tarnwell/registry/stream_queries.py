@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tarnwell.plans import state as st
 from tarnwell.registry import query
 from tarnwell.registry.inputs import BASE_SECONDS, table
+from tarnwell.registry.state_queries import _FOLD_SQL, call_rows, call_updates
 from tarnwell.schemas import schema_of
 from tarnwell.session import work_dir
 from tarnwell.sources.sinks import read_current
-from tarnwell.streaming import jobs
+from tarnwell.sources.store import Change, Store
+from tarnwell.streaming import jobs, stateful
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,30 +28,88 @@ def _sink(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(events.schema).parquet(f"{out}/data")
 
 
+def _in_parts(spark: SparkSession, rows: DataFrame, order: str, name: str, parts: int = 4) -> DataFrame:
+    """A stream of ``rows`` in several micro-batches, in the order of a number: files are written part by part and read two at a time."""
+    bounds = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
+    src = f"{work_dir(spark, name)}/in"
+    edges = [None, *bounds, None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = rows if low is None else rows.where(F.col(order) > low)
+        (part if high is None else part.where(F.col(order) <= high)).repartition(2).write.mode("append").parquet(src)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(src)
+
+
 @query(
     "transcript_stream",
     """SELECT CAST(conv_id AS VARCHAR) AS call_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence_number, role AS speaker, md5(text) AS digest
     FROM conversations WHERE role IN ('user', 'assistant')""",
 )
 def transcript_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns arrive in several files, in the order of their turn; repeats of the first turns come with the last ones."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
-    items = _stream(spark, sf, "conversations").select(
-        F.col("conv_id").alias("call_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"), "turn", "role", F.col("text").alias("content")
+    turns = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("call_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"), "turn", "role", F.col("text").alias("content"),
+        F.timestamp_seconds(F.lit(BASE_SECONDS) + F.col("turn") * 60).alias("ts"), F.col("turn").cast("double").alias("_order"),
     )
-    done = _sink(spark, jobs.transcript_stream(items), "transcript")
+    again = turns.where("turn <= 1").withColumn("_order", F.lit(1e9)).withColumn("ts", F.timestamp_seconds(F.lit(BASE_SECONDS) + 3600))
+    items = _in_parts(spark, turns.unionByName(again), "_order", "transcript").drop("_order")
+    done = _sink(spark, stateful.timed_transcript_stream(items, lateness="1 day"), "transcript")
     return done.select("call_id", "sequence_number", "speaker", F.md5(F.col("content_text").cast("binary")).alias("digest"))
 
 
-@query("session_rollup_stream")
+@query(
+    "session_rollup_stream",
+    """WITH e AS (
+      SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e)
+    SELECT CAST(user_id AS VARCHAR) AS call_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, count(*) FILTER (event_type = 'view') AS user_turn_count,
+      count(*) FILTER (event_type <> 'view') AS assistant_turn_count, count(props) FILTER (event_type = 'click') AS usage_update_count,
+      round(avg(value) FILTER (event_type = 'view'), 6) AS avg_latency, arg_max(props, struct_pack(t := ts, i := event_id)) FILTER (event_type = 'click') AS usage
+    FROM s GROUP BY user_id, n""",
+)
 def session_rollup_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions closed by the watermark; the ones still open at the end of the data stay in state."""
+    """All sessions after several micro-batches, those still open included."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
     kind = F.col("event_type")
-    items = _stream(spark, sf, "events").select(
-        F.col("user_id").alias("call_id"), "ts", F.col("event_id").alias("seq"), F.when(kind == "view", "user").otherwise("assistant").alias("role"),
+    items = table(spark, sf, "events").select(
+        F.col("user_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.when(kind == "view", "user").otherwise("assistant").alias("role"),
         F.create_map(F.lit("e2e_latency"), F.when(kind == "view", F.col("value").cast("string"))).alias("metrics"), F.when(kind == "click", F.col("props")).alias("usage"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("_order"),
+    )
+    stream = _in_parts(spark, items, "_order", "sessions").drop("_order")
+    done = stateful.last_state(_sink(spark, stateful.session_stream(stream, 7200), "sessions"))
+    return done.select(
+        "call_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "user_turn_count", "assistant_turn_count", "usage_update_count",
+        F.round("e2e_latency_avg", 6).alias("avg_latency"), "usage",
+    )
+
+
+@query("request_lease_stream")
+def request_lease_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as requests, claims, renewals and reports of the queue of each user."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    kind, worker = F.col("event_type"), F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string"))
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+        F.when(kind == "view", "request").when(kind == "click", "claim").when(kind == "error", "renew").when(kind == "purchase", "done").otherwise("claim").alias("kind"),
+        F.col("event_id").cast("string").alias("request_id"), F.col("props").alias("desired"), worker.alias("worker"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("_order"),
     )
-    done = _sink(spark, jobs.session_rollup_stream(items, gap="2 hours"), "sessions")
-    return done.select("call_id", "started_at", "user_turn_count", "assistant_turn_count", "usage_update_count", F.round("e2e_latency_avg", 6).alias("avg_latency"))
+    stream = _in_parts(spark, rows, "_order", "leases").drop("_order")
+    return _sink(spark, stateful.request_queue(stream, 6 * 3600 * 1000, "1 hour"), "leases")
+
+
+@query(
+    "call_table_stream", f"WITH {_FOLD_SQL} SELECT id, caller, status, ended_reason, interaction_id, CAST(n AS VARCHAR) AS n FROM nxt",
+)
+def call_table_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Call updates in several micro-batches against the stored calls; only calls that are named are written."""
+    store = Store(spark, f"{work_dir(spark, 'call-tables')}/tables", st.CALL_TABLES)
+    calls = call_rows(spark, sf)
+    store.commit({"calls": Change(calls), "call_refs": Change(st.call_references(calls))})
+    rows = call_updates(spark, sf).withColumn("_order", F.col("arrived").cast("double"))
+    stream = _in_parts(spark, rows, "_order", "call-updates", 3).drop("_order")
+    jobs.run_available(jobs.call_update_stream(stream, store, F.timestamp_seconds(F.lit(BASE_SECONDS)), f"{work_dir(spark, 'call-progress')}/progress"))
+    return store.snapshot().read("calls").select("id", "caller", "status", "ended_reason", "interaction_id", F.get_json_object("call_data", "$.n").alias("n"))
 
 
 @query(

@@ -13,7 +13,7 @@ import math
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +28,17 @@ FILE_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class TableSpec:
-    """Columns, the columns that name the owner of a row, and how many buckets owners are dealt into."""
+    """Columns, the columns that name the owner of a row, how many buckets owners are dealt into, and by which of their columns."""
 
     schema: T.StructType
     owner: tuple[str, ...]
     buckets: int = 64
+    dealt_by: tuple[str, ...] = ()
+
+    def bucket(self) -> Column:
+        """The bucket of a row with columns ``_owner_0`` and on."""
+        dealt = [f"_owner_{i}" for i, c in enumerate(self.owner) if c in (self.dealt_by or self.owner)]
+        return F.pmod(F.xxhash64(*dealt), F.lit(self.buckets)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -80,6 +86,15 @@ class Snapshot:
             return spark.createDataFrame([], spec.schema)
         return spark.read.schema(spec.schema).parquet(*[f"{self.store.root}/{f}" for f in wanted])
 
+    def rows_of(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows that agree with one of the keys in the columns by which the table is dealt; other buckets are not opened."""
+        spec = self.store.specs[name]
+        dealt = list(spec.dealt_by or spec.owner)
+        named = materialise(keys.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_owner_{spec.owner.index(c)}") for c in dealt]).distinct(), f"{name}-wanted")
+        buckets = [r["b"] for r in named.select(spec.bucket().alias("b")).distinct().collect()]
+        rows = self.read(name, buckets)
+        return rows.select(*rows.columns, *self.store._owner(rows, name)).join(named, named.columns, "left_semi").select(*rows.columns)
+
 
 @dataclass(frozen=True)
 class Store:
@@ -101,11 +116,10 @@ class Store:
         keys = [f"_owner_{i}" for i in range(len(spec.owner))]
         rows = schemas.align(change.rows, spec.schema) if change.rows is not None else self.spark.createDataFrame([], spec.schema)
         rows = materialise(rows, f"{name}-rows")
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(spec.buckets)).cast("int")
         touched = rows.select(*self._owner(rows, name), F.lit(1).alias("comes"))
         if change.gone is not None:
             touched = touched.unionByName(change.gone.select(*self._owner(change.gone, name), F.lit(0).alias("comes")))
-        touched = materialise(touched.groupBy(*keys).agg(F.max("comes").alias("comes")).withColumn(_BUCKET, bucket), f"{name}-touched")
+        touched = materialise(touched.groupBy(*keys).agg(F.max("comes").alias("comes")).withColumn(_BUCKET, spec.bucket()), f"{name}-touched")
         buckets = [r[_BUCKET] for r in touched.select(_BUCKET).distinct().collect()]
         folders = current.folders(name)
         if not buckets:
@@ -118,11 +132,11 @@ class Store:
         comes = touched.where("comes = 1").count()
 
         after = stays.unionByName(rows)
-        after = after.withColumn(_BUCKET, F.pmod(F.xxhash64(*self._owner(after, name)), F.lit(spec.buckets)).cast("int"))
+        after = after.select(*after.columns, *self._owner(after, name)).withColumn(_BUCKET, spec.bucket())
         n = rows.count()
         kept_rows = sum(1 for b in buckets if b in folders)
         files = max(1, math.ceil((n + (stays.count() if kept_rows else 0)) / (FILE_ROWS * len(buckets))))
-        spread = after.withColumn("_file", F.pmod(F.xxhash64(*self._owner(after, name), F.lit(1)), F.lit(files)))
+        spread = after.withColumn("_file", F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(files))).drop(*keys)
         folder = f"{name}-{uuid.uuid4().hex}"
         spread.repartition(len(buckets) * files, _BUCKET, "_file").drop("_file").write.partitionBy(_BUCKET).parquet(f"{self.root}/{folder}")
         filled = {r[_BUCKET] for r in self.spark.read.schema(T.StructType([*spec.schema.fields, T.StructField(_BUCKET, T.IntegerType())])).parquet(f"{self.root}/{folder}").select(_BUCKET).distinct().collect()}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -13,8 +14,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tarnwell.functions.jsonops import content_to_text
 from tarnwell.operators.sessions import LATENCY_METRICS
+from tarnwell.plans.index import run_sync
+from tarnwell.plans.models import Extractor, local_extractor
+from tarnwell.plans.state import commit_call_updates
 from tarnwell.schemas import schema_of
 from tarnwell.sources.sinks import current_note, read_current, replace_table
+from tarnwell.sources.store import Store
 
 TRANSCRIPT_OUT = schema_of(
     "call_id string, sequence_number long, event_type string, speaker string, content_text string, item_id string"
@@ -113,6 +118,35 @@ def table_stream(
     return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
+def store_stream(updates: DataFrame, store: Store, step: Callable[[Store, DataFrame, str], object], checkpoint: str) -> DataStreamWriter:
+    """Apply a committing job to a store for every micro-batch; one stream writes a store.
+
+    ``step(store, batch, note)`` commits with the note given. The manifest so names the run of the stream and the last batch that
+    the tables hold, and a batch that is tried again after a failure is not applied twice.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        own = replace(store, spark=spark)
+        last = (own.snapshot().note or "").rpartition(" ")
+        if last[0] == run and int(last[2]) >= batch_id:
+            return
+        step(own, batch, f"{run} {batch_id}")
+
+    return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def call_update_stream(updates: DataFrame, store: Store, now: Column, checkpoint: str, order: str = "arrived") -> DataStreamWriter:
+    """Call updates into the stored calls, batch by batch."""
+    return store_stream(updates, store, lambda s, batch, note: commit_call_updates(s, batch, now, order, note), checkpoint)
+
+
+def source_sync_stream(changes: DataFrame, store: Store, now: Column, checkpoint: str, extract: Extractor = local_extractor) -> DataStreamWriter:
+    """A feed of changed and deleted source documents into the stored index, batch by batch."""
+    return store_stream(changes, store, lambda s, batch, note: run_sync(s, batch, now, extract, partial=True, note=note), checkpoint)
+
+
 def event_sink(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Append stream events to parquet files exactly once."""
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -19,12 +19,11 @@ NO_TWIN = {
     **dict.fromkeys(["html_text", "image_refs"], "HTML is parsed; cases in test_functions"),
     **dict.fromkeys(["json_compatible", "numeric_totals", "parse_items"], "nested JSON; cases in test_functions and test_operators"),
     "ivf_knn": "approximate; recall in test_operators",
-    "cover_density": "published ranking formula; brute force in test_operators",
     **dict.fromkeys(
         ["two_level_select", "evaluate", "tournament_rerank", "lexical_rerank", "normalize_query", "enrich_documents", "embed_terms", "sync_job", "build_catalogue", "document_assembly"],
         "composed of operators that have twins",
     ),
-    "sample_documents": "a sample by Spark's hash", "session_rollup_stream": "closed sessions depend on the watermark",
+    "sample_documents": "a sample by Spark's hash", "request_lease_stream": "a state machine; its model in test_stateful_streams",
     **{name: "see tests/llm" for name in ("op2_quality_rules", "op4_toxicity", "op6_packing", "op8_secrets", "op9_byte_bpe", "op10_sharding", "pipeline")},
 }
 
