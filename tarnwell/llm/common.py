@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 import types
@@ -141,28 +142,73 @@ def words(
     return first, [mixed(_piece_hashes(raw, starts, BASES[k], mix)) for k in range(kinds)]
 
 
-def window_hashes(word_hash: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
-    """Rabin-Karp hash of the ``width`` words from each word on, modulo 2^64; shorter at the end by width - 1."""
+def word_digests(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first word of each row (one bound more than rows), and two independent hashes of every word, modulo 2^61 - 1.
+
+    Words are as in ``words``. Different words are told apart by their bytes; each gets the halves of a BLAKE2 digest, so
+    that no purpose-made words collide either.
+    """
+    if not len(raw):
+        return np.zeros(len(bounds), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    inside = ~IS_SPACE[raw]
+    begins = inside & np.append(True, ~inside[:-1])
+    edges = bounds[(bounds > 0) & (bounds < len(raw))]
+    begins[edges] = inside[edges]
+    starts = np.flatnonzero(begins)
+    first = np.searchsorted(starts, bounds)
+    upto = np.append(np.int64(0), np.cumsum(inside))
+    offsets = np.append(upto[starts], upto[-1]) if len(starts) else np.zeros(1, np.int64)
+    array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[inside])])
+    coded = array.dictionary_encode()
+    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist())
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2) % MERSENNE
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    return first, halves[which, 0], halves[which, 1]
+
+
+#: The prime 2^61 - 1, modulo which windows are hashed, and a base for each of two hashes.
+MERSENNE = np.uint64(2**61 - 1)
+WINDOW_BASES = (0x0C3A6E1F52B98D47, 0x15D7F90A4E8B6321)
+
+
+def _times(x: np.ndarray, factor: int) -> np.ndarray:
+    """x * factor modulo 2^61 - 1, of numbers below it, in halves of 32 bits."""
+    low, half, few = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(29)
+    a, b = np.uint64(factor >> 32), np.uint64(factor & 0xFFFFFFFF)
+    high_x, low_x = x >> half, x & low
+    middle = high_x * b + low_x * a
+    last = low_x * b
+    total = (high_x * a << np.uint64(3)) + (middle >> few) + ((middle & np.uint64((1 << 29) - 1)) << half) + (last >> np.uint64(61)) + (last & MERSENNE)
+    return _reduced(total)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x >> np.uint64(61)) + (x & MERSENNE)
+    return np.where(x >= MERSENNE, x - MERSENNE, x)
+
+
+def window_hashes(word_hash: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Rabin-Karp hash of the ``width`` words from each word on, modulo 2^61 - 1; shorter at the end by width - 1.
+
+    Two windows whose words have different hashes share a hash for at most ``width`` of the 2^61 bases. Bits are mixed at the end.
+    """
     n = len(word_hash) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, done, power = None, 0, word_hash
-    step = 1
-    left = width
-    mult = int(base)
+    prime = int(MERSENNE)
+    out, done, stretch, step, left = None, 0, word_hash, 1, width
     while left:
         if left & 1:
             if out is None:
-                out, done = power, step
+                out, done = stretch, step
             else:  # the stretch of `step` words follows the `done` words already hashed
                 m = len(word_hash) - done - step + 1
-                out = out[:m] * np.uint64(pow(int(base), step, 1 << 64)) + power[done : done + m]
+                out = _reduced(_times(out[:m], pow(base, step, prime)) + stretch[done : done + m])
                 done += step
         left >>= 1
         if left:
-            power = power[: len(power) - step] * np.uint64(mult) + power[step:]
+            stretch = _reduced(_times(stretch[: len(stretch) - step], pow(base, step, prime)) + stretch[step:])
             step *= 2
-            mult = mult * mult % (1 << 64)
     return mixed(out[:n])
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.census import BLOB, Layout, answer, by_segment, grouped_totals
-from tarnwell.llm.common import BASES, LOWER, free_name, materialise, mixed, sizes, text_bytes, text_column, window_hashes, words
+from tarnwell.llm.common import LOWER, WINDOW_BASES, free_name, materialise, sizes, text_bytes, text_column, window_hashes, word_digests
 
 #: Groups of the count vector, and how many of them an R-tree coordinate sums up.
 GROUPS, FOLD = 256, 4
@@ -64,18 +64,18 @@ class _Shingles:
 
     def __init__(self, table: pa.Table, width: int):
         raw, bounds = text_bytes(table.column("text"))
-        first, (hashes,) = words(LOWER[raw], bounds)
+        first, hashes, _ = word_digests(LOWER[raw], bounds)
         n_words = np.diff(first)
-        windows = window_hashes(hashes, width, BASES[1])
+        windows = window_hashes(hashes, width, WINDOW_BASES[0])
         n = len(windows)
         row = np.searchsorted(first, np.arange(n), side="right") - 1
         inside = np.arange(n) + width <= first[row + 1] if n else np.zeros(0, bool)
         keep = np.flatnonzero(inside)
         rows, keys = [row[keep]], [windows[keep]]
         for i in np.flatnonzero((n_words > 0) & (n_words < width)):  # the whole sequence is the only shingle
-            part = np.append(hashes[first[i] : first[i + 1]], np.uint64(0x5851F42D4C957F2D) + np.uint64(n_words[i]))
+            part = np.append(hashes[first[i] : first[i + 1]], np.uint64(n_words[i]))
             rows.append(np.array([i]))
-            keys.append(mixed(window_hashes(part, len(part), BASES[0])))
+            keys.append(window_hashes(part, len(part), WINDOW_BASES[1]))
         rows, keys = np.concatenate(rows), np.concatenate(keys)
         order = np.lexsort((keys, rows))
         rows, keys = rows[order], keys[order]
@@ -309,7 +309,8 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     ``n_shingles``, ``component_id`` (smallest doc_id reachable by links, itself included). A null or empty text has no
     shingles and links with nothing; a text of fewer words than ``width`` has its whole sequence as its only shingle. A null
     doc_id links with nothing and has a null component. Rows that share a doc_id are one node. An empty table
-    gives no rows. Other columns are not read. Shingles are 64-bit hashes.
+    gives no rows. Other columns are not read. Shingles are 61-bit hashes over cryptographic digests of their words; two different
+    shingles of w words agree with a chance of 2w / 2^61 at most, whatever the words are.
     """
     threshold = Threshold(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))

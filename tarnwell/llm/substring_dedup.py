@@ -1,13 +1,17 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark, merged into removal intervals.
 
-A window is a fixed number of consecutive words of one document. Its hash is a Rabin-Karp polynomial over the hashes
-of its words. Two counts run over chunks of documents (see ``census``):
+A window is a fixed number of consecutive words of one document. Its hash is a Rabin-Karp polynomial modulo 2^61 - 1 over the
+digests of its words. Two counts run over chunks of documents (see ``census``):
 
 1. the hash, cut to a few bytes, of every window of every document; windows whose short hash no other document has are done;
 2. a hash of 96 bits and more, with the smallest doc_id of the chunk, of the windows that are left.
 
 The second answer says for each window whether a document with a smaller doc_id has it elsewhere; inside a chunk that is
 seen on the spot. Windows found this way are merged into maximal intervals of words, which are removed.
+
+Words are told apart by cryptographic digests. Two different windows of w words agree in the first hash with a chance of
+2w / 2^61 at most and in the 32 bits of the second, over another base and other digest bits, with 2^-32: for 13 words under
+2^-88, whatever the words are.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.census import BLOB, Layout, answer, by_segment, grouped_totals
-from tarnwell.llm.common import BASES, sizes, text_bytes, text_column, window_hashes, words
+from tarnwell.llm.common import WINDOW_BASES, sizes, text_bytes, text_column, window_hashes, word_digests
 
 NO_DOC = np.iinfo(np.int64).max
 
@@ -34,8 +38,8 @@ class _Windows:
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.doc_ids = ids.fill_null(NO_DOC).to_numpy(zero_copy_only=False)
         self.raw, self.bounds = raw, bounds
-        self.first, hashes = words(raw, bounds, 2)
-        self.a, self.b = (window_hashes(h, width, BASES[1 - k]) for k, h in enumerate(hashes))
+        self.first, *hashes = word_digests(raw, bounds)
+        self.a, self.b = (window_hashes(h, width, base) for h, base in zip(hashes, WINDOW_BASES, strict=True))
         n = len(self.a)
         row = np.searchsorted(self.first, np.arange(n), side="right") - 1
         inside = np.arange(n) + width <= self.first[row + 1] if n else np.zeros(0, bool)

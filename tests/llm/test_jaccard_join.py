@@ -109,3 +109,13 @@ def test_empty_table_and_stage(make_docs, hard_pairs):
     assert kept.columns == docs.columns
     gone = {i for i, _, c in brute(hard_pairs, 5, 80) if i is not None and c < i}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in hard_pairs if i not in gone)
+
+
+def test_purpose_made_words_do_not_collide(make_docs):
+    word = "a"
+    for _ in range(10):  # polynomials modulo 2^64 with an odd base cannot tell this word and its complement apart
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(4))
+    pairs = [(1, word), (2, other), (3, f"{word} {rest}"), (4, f"{other} {rest}"), (5, f"{word} {rest}"), (6, word.upper())]
+    assert rows(jj.linked_components(make_docs(pairs))) == brute(pairs, 5, 80)
