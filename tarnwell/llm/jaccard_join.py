@@ -16,7 +16,8 @@ their coordinates bound the overlap from above, and so they do for a set and a n
 coordinates. Pairs that survive the bound are verified on the whole sets. Each member first tries the few candidates with the
 highest bounds; most components meet that way. Then all survivors of what is still apart are tried. Members of a block's
 largest component are only searched, never search, so what leaves a block grows with the few that stand outside. Blocks
-beyond a size are cut into parts that meet pairwise, so a task holds two parts at most.
+beyond a size are cut into parts that are searched and slices of members that ask; a task holds one of each, and what is sent
+grows with the members times the slices of the few outside, not with the square of the members.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.census import BLOB, Layout, answer, by_segment, grouped_totals
-from tarnwell.llm.common import LOWER, WINDOW_BASES, free_name, materialise, sizes, text_bytes, text_column, window_hashes, word_digests
+from tarnwell.llm.common import LOWER, WINDOW_BASES, free_name, materialise, salts_of, sizes, text_bytes, text_column, window_hashes, word_digests
 
 #: Groups of the count vector, and how many of them an R-tree coordinate sums up.
 GROUPS, FOLD = 256, 4
@@ -37,6 +38,8 @@ GROUPS, FOLD = 256, 4
 FIRST_TRIES = 4
 #: Members of a block that meet in one task; a larger block is cut into parts of this size.
 BLOCK_ROWS = 2_048
+#: A block with more members than this, and than a thousandth of all, is dealt out by salts.
+HOT_BLOCK = 1_000
 #: Children of a node of the R-tree.
 FANOUT = 16
 
@@ -213,27 +216,23 @@ def _tree_candidates(threshold: Threshold, most: int | None):
     """(doc_id, candidates) of the members outside the block's main component: others in different components that the bound lets through, at most ``most``."""
 
     def run(key, table):
-        ids, n, comp, part, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n_shingles", "component", "part", "main"))
+        ids, n, comp, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n_shingles", "component", "asks"))
         vectors = np.stack([np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("vector").combine_chunks()])
         points = folded(vectors)
-        i, j = key[1].as_py(), key[2].as_py()
         who, found_by = [], []
-        for asking, searched in {(i, j), (j, i)}:
-            tree_rows, left_rows = np.flatnonzero(part == searched), np.flatnonzero((part == asking) & ~main)
-            if not len(tree_rows) or not len(left_rows):
-                continue
-            tree = RTree(points[tree_rows], n[tree_rows])
-            for q in left_rows:
-                found = tree_rows[tree.survivors(points[q], int(n[q]), threshold)]
-                found = found[comp[found] != comp[q]]
-                bound = np.minimum(np.minimum(vectors[found], vectors[q]).sum(axis=1, dtype=np.int64), n[found])
-                fits = threshold.links(bound, n[found], int(n[q]))
-                found, bound = found[fits], bound[fits]
-                if most is not None and len(found) > most:
-                    found = found[np.lexsort((ids[found], -bound / (n[found] + n[q] - bound)))[:most]]
-                if len(found):
-                    who.append(int(ids[q]))
-                    found_by.append(ids[found].tolist())
+        tree_rows = np.flatnonzero(~asks)
+        tree = RTree(points[tree_rows], n[tree_rows])
+        for q in np.flatnonzero(asks) if len(tree_rows) else ():
+            found = tree_rows[tree.survivors(points[q], int(n[q]), threshold)]
+            found = found[comp[found] != comp[q]]
+            bound = np.minimum(np.minimum(vectors[found], vectors[q]).sum(axis=1, dtype=np.int64), n[found])
+            fits = threshold.links(bound, n[found], int(n[q]))
+            found, bound = found[fits], bound[fits]
+            if most is not None and len(found) > most:
+                found = found[np.lexsort((ids[found], -bound / (n[found] + n[q] - bound)))[:most]]
+            if len(found):
+                who.append(int(ids[q]))
+                found_by.append(ids[found].tolist())
         return pa.table({"doc_id": pa.array(who, pa.int64()), "candidates": pa.array(found_by, pa.list_(pa.int64()))})
 
     return run
@@ -244,15 +243,15 @@ def _candidate_pairs(blocks: DataFrame, sets: DataFrame, of: DataFrame, threshol
     named = sets.join(of, sets["doc_id"] == of["node"], "left").select("doc_id", "n_shingles", "vector", F.coalesce("component", "doc_id").alias("component"))
     members = blocks.join(named.select("doc_id", "component"), "doc_id")
     shares = members.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_blocks = shares.groupBy("block").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
-    parts = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    left = members.join(open_blocks.select("block", "largest", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
-    # A member meets each part once: (i, j) with i <= j.
-    met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    main = (F.col("component") == F.col("largest")).alias("main")
-    met = met.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", main, "doc_id", "component")
-    met = met.join(named.select("doc_id", "n_shingles", "vector"), "doc_id")
-    found = met.groupBy("block", "i", "j").applyInArrow(_tree_candidates(threshold, most), "doc_id long, candidates array<long>")
+    open_blocks = shares.groupBy("block").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("inside")).where("parts > 1")
+    parts, slices = F.ceil(F.col("members") / BLOCK_ROWS).cast("int"), F.ceil((F.col("members") - F.col("inside")) / BLOCK_ROWS).cast("int")
+    left = members.join(open_blocks.select("block", "largest", parts.alias("parts"), slices.alias("slices")), "block")
+    outside = F.col("component") != F.col("largest")
+    # Every member is searched in its own part, once for each slice of those that ask; members outside the main component ask in all parts.
+    searched = left.select("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"), "doc_id", "component")
+    asking = left.where(outside).select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("slices")).cast("int").alias("slice"), F.lit(True).alias("asks"), "doc_id", "component")
+    met = searched.unionByName(asking).join(named.select("doc_id", "n_shingles", "vector"), "doc_id")
+    found = met.groupBy("block", "part", "slice").applyInArrow(_tree_candidates(threshold, most), "doc_id long, candidates array<long>")
     # The blocks that two documents share give the same candidates; they are put together before they become pairs.
     each = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("candidates"))).alias("candidates")).select("doc_id", F.explode("candidates").alias("other"))
     return each.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
@@ -330,7 +329,12 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     draw = F.min(F.struct(F.xxhash64("doc_id", "block").alias("h"), "doc_id"))
     centres = blocks.groupBy("block").agg(draw.alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    stars = blocks.join(centres.select("block", F.col("c.doc_id").alias("centre")), "block").where("doc_id <> centre")
+    centres = materialise(centres.select("block", F.col("c.doc_id").alias("centre"), "members"), "centres")
+    hot = F.broadcast(salts_of(centres, ["block"], "members", blocks.count(), HOT_BLOCK))
+    salts = F.coalesce("salts", F.lit(1))
+    members = blocks.join(hot, "block", "left").select("block", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(6)), salts).cast("int").alias("salt"))
+    spread = centres.join(hot, "block", "left").select("block", "centre", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    stars = members.join(spread, ["block", "salt"]).where("doc_id <> centre")
     pairs = stars.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     near = materialise(_verify(pairs, sets, threshold), "links")
 
