@@ -52,14 +52,14 @@ class WordTokenizer:
     """Ids of a public word-level BPE vocabulary that lower-cases and drops white space.
 
     Texts of plain characters are cut into words here, and the tokenizer sees every distinct word of a batch once. All
-    other texts go through the tokenizer whole.
+    other texts, and those that hold the string of an added token in any case of letters, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -88,8 +88,8 @@ class WordTokenizer:
         for lo, hi in pieces.portions(texts):
             _, points, bounds = pieces.joined(texts[lo:hi])
             bad = np.append(0, np.cumsum(~self.plain[points]))[bounds]
-            odd = np.flatnonzero(np.diff(bad)) + lo
-            fine = np.flatnonzero(np.diff(bad) == 0) + lo
+            whole = np.array([any(a in t for a in self.added) for t in map(str.lower, texts[lo:hi])]) | (np.diff(bad) > 0)
+            odd, fine = np.flatnonzero(whole) + lo, np.flatnonzero(~whole) + lo
             for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
                 out[i] = ids
             whole, points, bounds = pieces.joined([texts[i].lower() for i in fine])

@@ -14,7 +14,6 @@ FILE = P.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -44,6 +43,13 @@ def test_hard_rows(make_docs, hard_pairs, reference):
         check(packing.packed_documents(make_docs(pairs), FILE, length).collect(), pairs, reference, length)
 
 
+def test_strings_of_special_tokens_are_as_the_tokenizer_has_them(make_docs, reference):
+    texts = ["hello <|endoftext|> world", "x <|EndOfText|> y", "a<|startoftext|>b <|endoftext|>", "<| endoftext |>", "<|endoftext|>" * 700, "plain text", None]
+    pairs = list(enumerate(texts))
+    assert 49407 in reference(texts[0])
+    check(packing.packed_documents(make_docs(pairs), FILE, 64).collect(), pairs, reference, 64)
+
+
 def test_empty_table(make_docs):
     assert packing.packed_documents(make_docs([]), FILE, 2048).count() == 0
 
