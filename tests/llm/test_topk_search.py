@@ -10,11 +10,13 @@ SHAPE = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embe
 
 
 def brute(rows, k, every):
-    fine = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in fine:
+    for q, v in set(fine):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(v) == len(w))
+            others = list(fine)
+            others.remove((q, v))  # its own row, once
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in others if len(v) == len(w))
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -41,7 +43,11 @@ def test_against_brute_force(spark, monkeypatch, shard_rows):
 def test_few_rows_empty_table_repeated_rows(spark):
     data = [(0, [1.0, 1.0]), (50, [0.5, -0.5]), (7, [2.0, 0.1])]
     assert rows(tk.top_inner_products(frame(spark, data))) == brute(data, 5, 50)
-    assert rows(tk.top_inner_products(frame(spark, [*data, *data]))) == brute(data, 5, 50)
+    assert rows(tk.top_inner_products(frame(spark, [*data, *data]))) == brute([*data, *data], 5, 50)
+    several = [(0, [1.0, 1.0]), (7, [2.0, 0.1]), (7, [2.0, 0.1]), (8, [0.1, 0.1])]
+    assert [r[2] for r in rows(tk.top_inner_products(frame(spark, several)))] == [7, 7, 8]
+    many = [*data, *[(7, [2.0, 0.1])] * 30]
+    assert rows(tk.top_inner_products(frame(spark, many))) == brute(many, 5, 50)
     assert tk.top_inner_products(frame(spark, [])).count() == 0
 
 
@@ -61,3 +67,18 @@ def test_large_numbers_are_exact_and_nodes_are_skipped():
     kth = np.sort(points[:20] @ points.T, axis=1)[:, -4].astype(float)
     bounds = tree.bounds(points[:20].astype(float), np.sqrt((points[:20] ** 2).sum(axis=1)), kth)
     assert (bounds == -np.inf).mean() > 0.5
+
+
+def test_top_tree_bounds_hold_and_skip_shards():
+    rng = np.random.default_rng(9)
+    centres = rng.integers(-400, 400, (12, 8)).astype(float)
+    points = np.concatenate([c + rng.integers(-20, 20, (200, 8)) for c in centres])
+    tree = tk.TopTree(points[rng.permutation(len(points))[:512]], 16)
+    shard, distance = tree.shards_of(points)
+    radii = np.array([distance[shard == s].max(initial=-1.0) for s in range(len(tree.centres))])
+    bounds = tree.bounds(points[::50], radii)
+    scores = points[::50] @ points.T
+    for s in range(len(radii)):
+        assert (scores[:, shard == s] <= bounds[:, s][:, None]).all()
+    kth = np.sort(scores, axis=1)[:, -6]
+    assert (bounds < kth[:, None]).mean() > 0.3
