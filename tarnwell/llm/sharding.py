@@ -3,8 +3,9 @@
 The ring has a fixed number of slots. Each shard owns several virtual nodes; a row's slot is the hash of its doc_id,
 and its home is the owner of the first node clockwise. No shard takes more than its capacity. All rows are placed in
 rounds: in each round the rows without a place turn to the next other shard clockwise, and a shard with room for m
-more takes the m first of them in a fixed pseudo-random order of all rows. After as many rounds as there are shards
-every row has a place, since the capacities add up to the number of rows.
+more takes the m first of them in the order of a hash of each row. After as many rounds as there are shards
+every row has a place, since the capacities add up to the number of rows. The order of two rows never depends on other
+rows, so another row moves few: those that it displaces, one after another, and those of shards whose capacity changed by one.
 
 A round needs only one number per shard, the position up to which it accepts. These are found by counting in ever finer
 intervals, so the driver sees a few thousand counts for any number of rows.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import dense_ranks, materialise, text_column
+from tarnwell.llm.ordered import KEY_BITS, random_order_sums
 
 #: Intervals that are counted at once, per shard.
 INTERVALS = 1_024
@@ -38,7 +40,7 @@ def ring_table(shards: int, nodes: int) -> list[list[int]]:
     taken: dict[int, int] = {}
     for node in range(nodes):
         for shard in range(shards):
-            at = int.from_bytes(hashlib.sha256(f"{shard}/{node}".encode()).digest()[:8], "big") % slots
+            at = int.from_bytes(hashlib.sha256(f"{shard}/{node}".encode()).digest()[:8], "big") * slots >> 64
             while at in taken:
                 at = (at + 1) % slots
             taken[at] = shard
@@ -56,6 +58,16 @@ def ring_table(shards: int, nodes: int) -> list[list[int]]:
     return table
 
 
+def ring_slot(key: Column, slots: int) -> Column:
+    """The slot of a 64-bit key: its leading bits, so that a ring of more slots leaves keys at their place on the circle."""
+    return F.shiftrightunsigned(key, 64 - (slots.bit_length() - 1)).cast("int")
+
+
+def row_order() -> Column:
+    """The place of a row among all: a hash of its doc_id, size, text and number among equal rows, from 0 to 2^60."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "size", "text_crc32", "copy", F.lit("order")), 64 - KEY_BITS)
+
+
 def _placed(thresholds: list[list[int]]) -> Column:
     """The shard that has taken a row in the rounds so far; null if none has."""
     where = F.lit(None).cast("int")
@@ -84,15 +96,12 @@ def bounded_ring_shards(docs: DataFrame, shards: int = 8, nodes: int = 64) -> Da
     alike = materialise(alike, "ring-rows")
     total = int(alike.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"])
 
-    # A position for every row, 0 to n - 1, in the pseudo-random order of the keys.
-    buckets = max(1, math.ceil(total / RANK_ROWS))
-    order = F.xxhash64("doc_id", F.lit("order"))
+    # A position for every row, 0 to n - 1, in the order of a hash of the row alone.
     spread = alike.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    part = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "copy"), F.lit(buckets))
-    ranked = dense_ranks(spread, [], part, [order, F.col("size"), F.col("text_crc32"), F.col("copy")], "position")
+    spread = spread.withColumn("order", row_order())
+    ranked = random_order_sums(spread, [], ["order", "doc_id", "size", "text_crc32", "copy"], F.lit(1), total, "position")
     ring = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(table)), "array<array<int>>")).alias("ring_slot", "prefs"))
-    slot = F.pmod(F.col("key"), F.lit(len(table))).cast("int")
-    placed = ranked.withColumn("ring_slot", slot).join(F.broadcast(ring), "ring_slot")
+    placed = ranked.withColumn("ring_slot", ring_slot(F.col("key"), len(table))).join(F.broadcast(ring), "ring_slot")
     state = materialise(placed.select("doc_id", "size", "text_crc32", "position", "prefs"), "ring-positions")
 
     room = [total // shards + (s < total % shards) for s in range(shards)]

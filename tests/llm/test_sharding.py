@@ -53,16 +53,32 @@ def test_same_as_placing_row_by_row(spark, make_docs):
 
     n, shards, nodes = 1000, 5, 4
     table = sharding.ring_table(shards, nodes)
-    ids = spark.range(n).select("id", F.xxhash64("id").alias("k"), F.xxhash64("id", F.lit("order")).alias("o")).collect()
+    columns = [F.col("id").alias("doc_id"), F.lit(2).cast("long").alias("size"), F.crc32(F.lit("x").cast("binary")).alias("text_crc32"), F.lit(0).cast("long").alias("copy")]
+    ids = spark.range(n).select("id", *columns).select("id", sharding.ring_slot(F.xxhash64("id"), len(table)).alias("slot"), sharding.row_order().alias("o")).collect()
     rows = sharding.bounded_ring_shards(make_docs([(i, "x") for i in range(n)]), shards, nodes).collect()
     check(rows, [(i, "x") for i in range(n)], shards)
-    # One bucket of ranks: the order is that of the hash.
     room = [n // shards + (s < n % shards) for s in range(shards)]
     order = [r.id for r in sorted(ids, key=lambda r: r.o)]
-    want = sequential(order, table, room, {r.id: r.k % len(table) for r in ids})
+    want = sequential(order, table, room, {r.id: r.slot for r in ids})
     assert {r.doc_id: r.shard for r in rows} == want
 
 
+def test_another_row_or_shard_moves_few(spark, make_docs):
+    def shards_of(n, shards=8):
+        from pyspark.sql import functions as F
+
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+        return {r.doc_id: r.shard for r in sharding.bounded_ring_shards(rows, shards).collect()}
+
+    for n in (19_999, 20_000, 40_000):  # the number of parts that are ranked changes here
+        before, after = shards_of(n), shards_of(n + 1)
+        assert sum(before[i] != after[i] for i in before) <= 30
+    # Of nine shards each holds a ninth, so a ninth must move at least; the bounds move some more.
+    before, wider = shards_of(20_000), shards_of(20_000, 9)
+    moved = [i for i in before if before[i] != wider[i]]
+    assert 20_000 / 9 * 0.9 <= len(moved) <= 20_000 / 9 * 3
+
+
 def test_ring_table():
     table = sharding.ring_table(4, 16)
     assert all(sorted(x) == [0, 1, 2, 3] for x in table)
