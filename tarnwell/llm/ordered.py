@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm.common import free_name, log2_up, materialise
 
 #: Rows that are sorted in one window, on average.
-PART_ROWS = 20_000
+PART_ROWS = 4_000
 #: Sort keys are whole numbers of so many bits, from 0.
 KEY_BITS = 60
 
