@@ -37,6 +37,7 @@ from tarnwell.operators.ranking import (
     winner_gap,
 )
 from tarnwell.operators.textindex import INDEX_RANKERS, TextIndex, build_index, match_index
+from tarnwell.operators.vectorlists import VectorLists, build_lists, search_lists
 from tarnwell.session import materialise, work_dir
 from tarnwell.settings import KEYWORD_LABELS, RETRIEVAL, SUMMARY_LABELS, TOPIC_LABEL, RetrievalSettings
 
@@ -97,13 +98,27 @@ def vector_flags(query_text: str, fields: Sequence[str]) -> tuple[Column, Column
     return exact, phrase
 
 
-def vector_search(units: DataFrame, keywords: DataFrame, settings: RetrievalSettings = RETRIEVAL) -> DataFrame:
-    """Boosted distance of the nearest documents per (unit, shard)."""
+def keyword_lists(keywords: DataFrame, root: str) -> VectorLists:
+    """Stored inverted lists of the vectors of keyword rows."""
+    return build_lists(keyword_terms(keywords), root)
+
+
+def vector_search(
+    units: DataFrame, keywords: DataFrame, settings: RetrievalSettings = RETRIEVAL, lists: VectorLists | None = None, probes: int | None = None
+) -> DataFrame:
+    """Boosted distance of the nearest documents per (unit, shard).
+
+    With stored ``lists`` the nearest rows of a unit are taken over all shards together, so what comes out is bounded per unit
+    whatever the number of shards; ``probes`` lists are looked into at most (see ``search_lists``), all that can matter if not given.
+    """
     limited = units.select(
         "unit_id", "kind", "embedding",
         search_limit("top_k", "category", settings.oversample, settings.category_oversample).alias("fetch"),
     )
-    found = knn_join(limited, keyword_terms(keywords), "unit_id", ["kbid", "term"], "fetch", match=["kind"], cell="shard_id")
+    if lists is not None:
+        found = search_lists(lists, limited, "unit_id", ["kbid", "term"], "fetch", probes, match=["kind"])
+    else:
+        found = knn_join(limited, keyword_terms(keywords), "unit_id", ["kbid", "term"], "fetch", match=["kind"], cell="shard_id")
     # The query texts are joined back afterwards: the kernel moves ids, not texts.
     near = found.join(units.select("unit_id", "query_text", F.col("category").alias("wanted_category")), "unit_id")
     exact, phrase = vector_flags("query_text", ["primary_topic", "term"])
@@ -230,10 +245,12 @@ def fts_summaries(
 
 @dataclass(frozen=True)
 class Indexes:
-    """Stored full-text indexes of the two tables; what is absent is built for each call."""
+    """Stored indexes. A full-text index that is absent is built for each call; without lists the vector arm searches every shard."""
 
     keywords: TextIndex | None = None
     summaries: TextIndex | None = None
+    lists: VectorLists | None = None
+    probes: int | None = None
 
 
 def hybrid_search(
@@ -242,7 +259,7 @@ def hybrid_search(
 ) -> DataFrame:
     """Fused top k per (unit, shard)."""
     fused = fuse_signals(
-        vector_search(units, keywords, settings),
+        vector_search(units, keywords, settings, indexes.lists, indexes.probes),
         fts_keywords(units, keywords, settings, ranker, indexes.keywords),
         fts_summaries(units, summaries, settings, ranker, indexes.summaries),
         ["unit_id", "shard_id"], settings=settings,
@@ -258,7 +275,7 @@ def hybrid_search_all(
     """Fused top k per unit with the shards merged before the fusion."""
     k = settings.top_k
     fused = fuse_signals(
-        merge_shards(vector_search(units, keywords, settings), "vector_distance", True, k),
+        merge_shards(vector_search(units, keywords, settings, indexes.lists, indexes.probes), "vector_distance", True, k),
         merge_shards(fts_keywords(units, keywords, settings, ranker, indexes.keywords), "fts_keywords_rank", False, k),
         merge_shards(fts_summaries(units, summaries, settings, ranker, indexes.summaries), "fts_summaries_rank", False, k),
         ["unit_id"], settings=settings,

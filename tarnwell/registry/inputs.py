@@ -177,14 +177,19 @@ def summary_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], TextIndex]) -> TextIndex:
-    """The index of a table folder, built by the first query of the application that asks for it and then read."""
+def stored_folder(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object]) -> str:
+    """A folder made of a table folder by the first query of the application that asks for it."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _STORED:
-        root = work_dir(spark, f"{name}-index")
+        root = work_dir(spark, name)
         build(root)
         _STORED[at] = root
-    return open_index(spark, _STORED[at])
+    return _STORED[at]
+
+
+def stored_index(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], TextIndex]) -> TextIndex:
+    """A stored full-text index of a table folder."""
+    return open_index(spark, stored_folder(spark, sf_dir, f"{name}-index", build))
 
 
 # --- query units: every sentence of every benchmark passage -------------------------------------

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.operators.fulltext import search_clauses
 from tarnwell.operators.textindex import build_index, cover_density_of_hits, hit_weights, match_index
+from tarnwell.operators.vectorlists import VectorLists, build_lists, open_lists, search_lists
 from tarnwell.plans import retrieval as rt
 from tarnwell.registry import query
 from tarnwell.registry.inputs import (
@@ -15,12 +18,14 @@ from tarnwell.registry.inputs import (
     UNITS_SQL,
     fts_text_sql,
     keyword_frame,
+    stored_folder,
     stored_index,
     summary_frame,
     table,
     unit_frame,
     vectors_sql,
 )
+from tarnwell.settings import INDEX
 
 # Twin of the vector arm: distances of every unit to every use case row, best rows per shard.
 VECTOR_ARM_SQL = (
@@ -205,6 +210,35 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _merged_sql(name: str, arm: str, value: str, order: str) -> str:
+    """Best row of every (unit, document) over the shards, the first eight per unit, with one shard for all."""
+    return f"""
+{name} AS (
+  SELECT unit_id, 0 AS shard_id, kbid, {value}, ex, ph FROM (
+    SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY {value} {order}, kbid) AS place FROM (
+      SELECT *, row_number() OVER (PARTITION BY unit_id, kbid ORDER BY {value} {order}, shard_id) AS r3 FROM {arm}) WHERE r3 = 1) WHERE place <= 8)"""
+
+
+_ALL_SQL = ", ".join([
+    KEYWORDS_SQL, SUMMARIES_SQL, UNITS_SQL, VECTOR_ARM_SQL.replace("PARTITION BY q.unit_id, w.shard_id ORDER BY", "PARTITION BY q.unit_id ORDER BY"), KEYWORD_ARM_SQL, SUMMARY_ARM_SQL,
+    _merged_sql("vecm", "vec", "vector_distance", "ASC"), _merged_sql("kwm", "kws", "fts_keywords_rank", "DESC"), _merged_sql("smm", "sms", "fts_summaries_rank", "DESC"),
+    FUSE_SQL.replace("FROM vec v FULL JOIN kws k", "FROM vecm v FULL JOIN kwm k").replace("FULL JOIN sms s", "FULL JOIN smm s"),
+])
+
+
+@query(
+    "hybrid_all",
+    f"""WITH {_ALL_SQL}
+    SELECT unit_id, kbid, round(score::DOUBLE, 6) AS rrf_score, pos AS rank FROM top WHERE pos <= 8""",
+)
+def hybrid_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents of every question over all shards: eight rows a question, however many shards there are."""
+    root = stored_folder(spark, sf, "keyword-lists", lambda at: rt.keyword_lists(keyword_frame(spark, sf), at))
+    indexes = replace(_indexes(spark, sf), lists=open_lists(spark, root))
+    found = rt.hybrid_search_all(_units(spark, sf), keyword_frame(spark, sf, False), summary_frame(spark, sf), ranker="hits", indexes=indexes)
+    return found.select("unit_id", "kbid", F.round("rrf_score", 6).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
+
+
 _BEST_SQL = f"""{ARMS_SQL},
 found AS (SELECT split_part(unit_id, ':', 1)::BIGINT AS query_id, shard_id, kbid, max(score) AS score FROM top WHERE pos <= 8 GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kbid, shard_id) AS pos FROM found)"""
@@ -338,12 +372,23 @@ def knn_category_boost(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("query_id", "row_id", F.round("b", 6).alias("boosted"), F.col("place").cast("long").alias("place"))
 
 
-@query("ivf_knn")
+def _lists(spark: SparkSession, sf: str) -> VectorLists:
+    """Stored lists of the embeddings, built by the first query that asks for them."""
+    root = stored_folder(spark, sf, "embedding-lists", lambda at: build_lists(_vectors(spark, sf)[1], at))
+    return open_lists(spark, root)
+
+
+@query("ivf_knn", f"WITH {_KNN_SQL} SELECT query_id, row_id, round(distance, 6) AS distance, rank FROM knn WHERE rank <= 10")
 def ivf_knn(spark: SparkSession, sf: str) -> DataFrame:
-    from tarnwell.operators.knn import ivf_knn as search
+    """All lists allowed: lists that cannot improve a result are skipped, so it is exact."""
+    near = search_lists(_lists(spark, sf), _vectors(spark, sf)[0], "query_id", ["row_id"], 10)
+    return near.select("query_id", "row_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
-    q, v = _vectors(spark, sf)
-    near = search(q, v, "query_id", ["row_id"], 10, lists=16, probes=4)
+
+@query("ivf_knn_probed")
+def ivf_knn_probed(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest lists only, as many as the settings say."""
+    near = search_lists(_lists(spark, sf), _vectors(spark, sf)[0], "query_id", ["row_id"], 10, INDEX.ivf_probes)
     return near.select("query_id", "row_id", F.round("distance", 6).alias("distance"), "rank")
 
 
