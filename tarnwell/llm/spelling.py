@@ -28,7 +28,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letter groups, so many levels has the trie below the length.
 GROUPS = 16
 #: Words of one part of the trie at most, as long as there are counts left to split by.
-PART_WORDS = 20_000
+PART_WORDS = 4_000
 #: A leaf with more words is entered by halves of words.
 PLAIN_LEAF = 16
 
