@@ -28,58 +28,80 @@ def salted_join(
     return tagged.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
+#: Rows of a bucket, on average, and buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 1_024
+
+
+def bucketed(df: DataFrame, bucket_on: Column, buckets: int | None = None, name: str = "_bucket") -> tuple[DataFrame, bool]:
+    """Add a bucket that rises with a number, and whether there is more than one; nulls lie before all others.
+
+    Without a number of buckets there are as many as ``BUCKET_ROWS`` asks for. Their bounds are quantiles; equal numbers share a bucket.
+    """
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, -(-df.count() // BUCKET_ROWS))
+    if buckets <= 1:
+        return df.withColumn(name, F.lit(0)), False
+    value = bucket_on.cast("double")
+    numbered = df.withColumn("_order", value)
+    bounds = sorted(set(numbered.approxQuantile("_order", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
+    bucket = F.aggregate(
+        F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>"),
+        F.lit(0),
+        lambda acc, b: acc + (F.col("_order") > b).cast("int"),
+    )
+    return numbered.withColumn(name, F.when(F.col("_order").isNull(), -1).otherwise(bucket)).drop("_order"), True
+
+
+def same_keys(keys: Sequence[str]) -> tuple[list[Column], Column]:
+    """Keys and bucket under other names, and the null-safe condition that joins them."""
+    named = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)] + [F.col("_bucket").alias("_key_bucket")]
+    same = F.col("_bucket") == F.col("_key_bucket")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return named, same
+
+
 def ordered_positions(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     bucket_on: Column,
     name: str = "position",
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``row_number`` per key, computed without bringing a key into one task; null keys are a key too.
 
-    ``bucket_on`` is a number that rises with ``order`` (a time in seconds, an id). Its
-    quantiles become fixed bounds, rows are numbered inside (key, bucket), and the rows in
-    earlier buckets of the key are added. The counts table has at most ``buckets`` rows per key.
+    ``bucket_on`` is a number that rises with ``order`` (a time in seconds, an id). Rows are numbered inside (key, bucket), and
+    the rows in earlier buckets of the key are added. The counts table has a row per key and bucket.
     """
     return running(df, keys, order, bucket_on, {name: ("sum", F.lit(1).cast("long"))}, buckets)
 
 
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket_on: Column,
-    measures: dict[str, tuple[str, Column]], buckets: int = 64,
+    measures: dict[str, tuple[str, Column]], buckets: int | None = None,
 ) -> DataFrame:
     """Running sums and maxima per key up to and including each row, without bringing a key into one task.
 
     ``measures``: name -> ("sum" or "max", value). Rows are accumulated inside (key, bucket) and joined, null-safe,
     with what the earlier buckets of the key give.
     """
-    numbered = df.withColumn("_order", bucket_on.cast("double"))
-    bounds = sorted(set(numbered.approxQuantile("_order", [i / buckets for i in range(1, buckets)], 0.005)))
-    # Ties on a bound stay together, so the bucket rises with the order value.
-    bucket = F.aggregate(
-        F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>"),
-        F.lit(0),
-        lambda acc, b: acc + (F.col("_order") > b).cast("int"),
-    )
-    numbered = numbered.withColumn("_bucket", F.when(F.col("_order").isNull(), -1).otherwise(bucket))
+    numbered, several = bucketed(df, bucket_on, buckets)
     numbered = numbered.withColumns({f"_value_{n}": value for n, (_, value) in measures.items()})
     fold = {"sum": F.sum, "max": F.max}
-    totals = numbered.groupBy(*keys, "_bucket").agg(*[fold[how](f"_value_{n}").alias(f"_total_{n}") for n, (how, _) in measures.items()])
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_key_bucket"),
-        *[fold[how](f"_total_{n}").over(before).alias(f"_before_{n}") for n, (how, _) in measures.items()],
-    )
     span = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = numbered.withColumns({f"_inside_{n}": fold[how](f"_value_{n}").over(span) for n, (how, _) in measures.items()})
-    same = F.col("_bucket") == F.col("_key_bucket")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
-    joined = inside.join(offsets, same)
+    if several:
+        totals = numbered.groupBy(*keys, "_bucket").agg(*[fold[how](f"_value_{n}").alias(f"_total_{n}") for n, (how, _) in measures.items()])
+        before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        named, same = same_keys(keys)
+        offsets = totals.select(*named, *[fold[how](f"_total_{n}").over(before).alias(f"_before_{n}") for n, (how, _) in measures.items()])
+        inside = inside.join(offsets, same)
+    else:
+        inside = inside.withColumns({f"_before_{n}": F.lit(None) for n in measures})
     done = {
         n: F.coalesce(f"_before_{n}", F.lit(0)) + F.coalesce(f"_inside_{n}", F.lit(0)) if how == "sum"
-        else F.greatest(f"_before_{n}", f"_inside_{n}")
+        else F.greatest(f"_before_{n}", f"_inside_{n}") if several else F.col(f"_inside_{n}")
         for n, (how, _) in measures.items()
     }
-    return joined.withColumns(done).select(*df.columns, *measures)
+    return inside.withColumns(done).select(*df.columns, *measures)

@@ -16,7 +16,7 @@ from tarnwell import schemas
 from tarnwell.functions.jsonops import json_merge, json_object, safe_json_object, with_external_id
 from tarnwell.functions.phones import call_end_status, is_uuid, phone_if_sip
 from tarnwell.operators.ranking import latest_per_key
-from tarnwell.operators.skew import running
+from tarnwell.operators.skew import bucketed, same_keys
 from tarnwell.session import materialise
 from tarnwell.sources.store import Affected, Change, Store, TableSpec
 
@@ -147,21 +147,32 @@ def patch_calls(calls: DataFrame, patches: DataFrame, now: Column, order: str =
     return upsert_calls(calls, good, now, order), rejects
 
 
-def next_sequence(events: DataFrame, existing: DataFrame, call: str = "call_id", ts: str = "created_at", event_id: str = "event_id") -> DataFrame:
+def next_sequence(
+    events: DataFrame, existing: DataFrame, call: str = "call_id", ts: str = "created_at", event_id: str = "event_id", buckets: int | None = None
+) -> DataFrame:
     """Number new events in their order: a given number stays, a missing one is the call's largest so far plus one.
 
     With c missing numbers up to a row, the largest number is c plus the maximum of the stored one and of
-    (given number - missing numbers before it). Both are prefix folds, so a call with very many events is split.
+    (given number - missing numbers before it). Both are folded inside buckets of a call; a bucket takes over from the earlier
+    ones how many were missing, o, and the maximum of their (largest given - missing) less their own o.
     """
     base = existing.groupBy(F.col(call).alias("_call")).agg(F.max("sequence_number").cast("long").alias("_base"))
-    value = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
-    order = [F.col(ts), F.col(event_id)]
+    rows, several = bucketed(events, F.unix_micros(F.col(ts).cast("timestamp")).cast("double"), buckets)
     given = F.col("sequence_number").cast("long")
-    counted = running(events, [call], order, value, {"_missing": ("sum", given.isNull().cast("long"))})
-    placed = running(counted, [call], order, value, {"_raised": ("max", given - F.col("_missing"))})
-    told = placed.join(base, placed[call].eqNullSafe(F.col("_call")), "left")
-    number = F.coalesce(given, F.greatest(F.coalesce("_base", F.lit(0)), "_raised") + F.col("_missing"))
-    return told.withColumn("sequence_number", number).drop("_base", "_call", "_missing", "_raised")
+    span = W.partitionBy(call, "_bucket").orderBy(F.col(ts), F.col(event_id)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_missing", F.sum(given.isNull().cast("long")).over(span)).withColumn("_raised", F.max(given - F.col("_missing")).over(span))
+    if several:
+        totals = rows.groupBy(call, "_bucket").agg(F.max("_missing").alias("_m"), F.max("_raised").alias("_r"))
+        before = W.partitionBy(call).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        named, same = same_keys([call])
+        shifted = totals.withColumn("_o", F.coalesce(F.sum("_m").over(before), F.lit(0))).withColumn("_x", F.max(F.col("_r") - F.col("_o")).over(before))
+        rows = rows.join(shifted.select(*named, "_o", "_x"), same)
+    else:
+        rows = rows.withColumn("_o", F.lit(0).cast("long")).withColumn("_x", F.lit(None).cast("long"))
+    told = rows.join(base, rows[call].eqNullSafe(F.col("_call")), "left")
+    raised = F.greatest(F.coalesce("_base", F.lit(0)), F.col("_x"), F.col("_raised") - F.col("_o"))
+    number = F.coalesce(given, raised + F.col("_o") + F.col("_missing"))
+    return told.withColumn("sequence_number", number).select(*events.columns)
 
 
 def append_call_events(events: DataFrame, calls: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -276,7 +287,55 @@ def state_event(rows: DataFrame, parent: str, event_type: Column, message: Colum
     )
 
 
-def enqueue_requests(deployments: DataFrame, requests: DataFrame, now: Column, order: str = "arrived") -> tuple[DataFrame, DataFrame]:
+def _judge_requests(told: DataFrame, order: str, buckets: int | None) -> DataFrame:
+    """Event type of every request, its turn, and whether it or one before it changed its key (``_changed``).
+
+    A key is a machine whose state is the desired state under way: after a request it is that of the request. The requests of a
+    bucket are one function of the state that they meet: the first is a duplicate of it or not, the others and the state left
+    behind are fixed. These functions are composed along the buckets of a key, and each bucket is told the state that it meets.
+    """
+    rows, several = bucketed(told, F.col(order).cast("double"), buckets)
+    turn = W.partitionBy(*DEPLOYMENT_KEY, "_bucket").orderBy(F.col(order), F.col("desired_state"), F.col("requested_by"))
+    rows = rows.withColumn("_place", F.row_number().over(turn)).withColumn("_lag", F.lag("desired_state").over(turn))
+    inner = (F.col("_place") > 1) & ~(F.col("_lag").isNotNull() & (F.col("_lag").eqNullSafe(F.col("desired_state"))))
+    rows = rows.withColumn("_inner", F.max(inner.cast("int")).over(turn.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # After the first request of a key the row holds its state, pending, whether it was enqueued or a duplicate.
+    stored = F.when(F.col("_workflow").isin(BUSY_STATES), F.col("_desired"))
+    if several:
+        steps = rows.groupBy(*DEPLOYMENT_KEY, "_bucket").agg(
+            F.min_by(F.struct("desired_state"), "_place").alias("_first"), F.max_by(F.struct("desired_state"), "_place").alias("_last"), F.max("_inner").alias("_i"),
+            F.count(F.lit(1)).alias("_n"), F.max(F.struct(stored.alias("s"))).alias("_stored"),
+        )
+        along = W.partitionBy(*DEPLOYMENT_KEY).orderBy("_bucket")
+        earlier = along.rowsBetween(W.unboundedPreceding, -1)
+        met = F.when(F.row_number().over(along) == 1, F.col("_stored.s")).otherwise(F.lag("_last").over(along)["desired_state"])
+        steps = steps.withColumn("_met", met)
+        moved = F.greatest(F.coalesce("_i", F.lit(0)), (~_under_way("_met", "_first.desired_state")).cast("int"))
+        named, same = same_keys(DEPLOYMENT_KEY)
+        steps = steps.withColumn("_moved", moved).select(
+            *named, "_met", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_turns"), F.coalesce(F.max("_moved").over(earlier), F.lit(0)).alias("_before")
+        )
+        rows = rows.join(steps, same)
+    else:
+        rows = rows.withColumn("_met", stored).withColumn("_turns", F.lit(0)).withColumn("_before", F.lit(0))
+    under_way = F.when(F.col("_place") == 1, F.col("_met")).otherwise(F.col("_lag"))
+    first = W.partitionBy(*DEPLOYMENT_KEY, "_bucket").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_same", _under_way(under_way, "desired_state"))
+    opened = F.max(F.when(F.col("_place") == 1, (~F.col("_same")).cast("int")).otherwise(0)).over(first)
+    return rows.select(
+        *told.columns, F.when(F.col("_same"), "request_deduplicated").otherwise("request_enqueued").alias("event_type"),
+        (F.greatest(opened, "_inner", "_before") == 1).alias("_changed"), (F.col("_turns") + F.col("_place")).alias("_turn"),
+    )
+
+
+def _under_way(state: Column | str, desired: str) -> Column:
+    state = F.col(state) if isinstance(state, str) else state
+    return F.coalesce(state.eqNullSafe(F.col(desired)) & state.isNotNull(), F.lit(False))
+
+
+def enqueue_requests(
+    deployments: DataFrame, requests: DataFrame, now: Column, order: str = "arrived", buckets: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(next deployments, events) of a batch of desired-state requests.
 
     Requests of a key follow each other by ``order``. One for the state that is already under way, by the stored row
@@ -285,18 +344,12 @@ def enqueue_requests(deployments: DataFrame, requests: DataFrame, now: Column, o
     """
     latest = latest_per_key(deployments, DEPLOYMENT_KEY, newest_first()).select(
         *DEPLOYMENT_KEY, F.col("id").alias("_id"), F.col("desired_state").alias("_desired"), F.col("workflow_status").alias("_workflow"),
+        F.col("runtime_status").alias("_runtime"), F.col("health_status").alias("_health"),
     )
     told = requests.join(latest, DEPLOYMENT_KEY, "left")
-    turn = W.partitionBy(*DEPLOYMENT_KEY).orderBy(F.col(order), F.col("desired_state"), F.col("requested_by"))
-    # After the first request of a key the row holds its state, pending, whether it was enqueued or a duplicate.
-    stored = F.when(F.col("_workflow").isin(BUSY_STATES), F.col("_desired"))
-    under_way = F.when(F.row_number().over(turn) == 1, stored).otherwise(F.lag("desired_state").over(turn))
-    kind = F.when(under_way.eqNullSafe(F.col("desired_state")) & under_way.isNotNull(), "request_deduplicated").otherwise("request_enqueued")
-    judged = told.withColumn("event_type", kind).withColumn(
+    judged = _judge_requests(told, order, buckets).withColumn(
         "deployment_id", F.coalesce("_id", F.md5(F.concat_ws("/", *DEPLOYMENT_KEY).cast("binary")))
     )
-    changed = F.max((F.col("event_type") == "request_enqueued").cast("int")).over(turn.rowsBetween(W.unboundedPreceding, W.currentRow))
-    judged = judged.withColumn("_changed", changed == 1).withColumn("_turn", F.row_number().over(turn))
     payload = F.when(
         F.col("event_type") == "request_enqueued", F.to_json(F.struct("requested_by", "desired_state"))
     ).otherwise(F.to_json(F.struct("requested_by")))
@@ -304,11 +357,11 @@ def enqueue_requests(deployments: DataFrame, requests: DataFrame, now: Column, o
         F.col("event_type") == "request_enqueued",
         F.concat(F.col("desired_state"), F.lit(" request enqueued for "), F.col("agent_name"), F.lit(".")),
     ).otherwise(F.concat(F.lit("Duplicate "), F.col("desired_state"), F.lit(" request deduplicated.")))
-    events = judged.select(
-        "deployment_id", "event_type",
-        F.when(F.col("_changed"), "pending").otherwise(F.coalesce("_workflow", F.lit("pending"))).alias("workflow_status"),
-        message.alias("message"), payload.alias("payload"),
-    )
+    # A request that changed its row, or follows one that did, finds it pending, with runtime and health not known yet.
+    told_events = judged.withColumn("workflow_status", F.when(F.col("_changed"), "pending").otherwise(F.coalesce("_workflow", F.lit("pending"))))
+    for c in ("runtime", "health"):
+        told_events = told_events.withColumn(f"{c}_status", F.when(F.col("_changed"), "unknown").otherwise(F.col(f"_{c}")))
+    events = state_event(told_events.withColumn("id", F.col("deployment_id")), "deployment_id", F.col("event_type"), message, payload)
     enqueued = judged.where(F.col("event_type") == "request_enqueued").withColumn("_payload", payload)
     # The last one sets the row; a requester that it leaves out is the one before it.
     by = enqueued.groupBy(*DEPLOYMENT_KEY).agg(F.max_by("requested_by", F.when(F.col("requested_by").isNotNull(), F.col("_turn"))).alias("_by"))

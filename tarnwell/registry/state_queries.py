@@ -357,6 +357,35 @@ def request_events(spark: SparkSession, sf: str) -> DataFrame:
     return events.select("deployment_id", "event_type")
 
 
+_CHAIN_KEY = "CASE WHEN {k} % 3 = 0 THEN 'a1' ELSE 'a' || ({k} % 40) END"
+
+
+@query(
+    "request_chain",
+    f"""WITH {_DEP_SQL},
+    lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_name, namespace ORDER BY updated_s DESC, id DESC) AS r FROM dep) WHERE r = 1),
+    req AS (SELECT o_orderkey, {_CHAIN_KEY.format(k='o_custkey')} AS agent_name, CASE WHEN o_orderstatus = 'F' THEN 'deleted' ELSE 'deployed' END AS desired_state FROM orders),
+    told AS (
+      SELECT q.*, coalesce(l.id, md5(q.agent_name || '/urgent/main')) AS deployment_id, CASE WHEN row_number() OVER w = 1
+        THEN CASE WHEN l.workflow_status IN ('pending', 'applying', 'deleting', 'reconciling') THEN l.desired_state END ELSE lag(q.desired_state) OVER w END AS under_way
+      FROM req q LEFT JOIN lat l ON l.agent_name = q.agent_name AND l.namespace = 'urgent' WINDOW w AS (PARTITION BY q.agent_name ORDER BY q.o_orderkey))
+    SELECT deployment_id, count(*) FILTER (under_way IS DISTINCT FROM desired_state) AS enqueued, count(*) FILTER (under_way = desired_state) AS repeated,
+      arg_max(desired_state, o_orderkey) AS desired_state FROM told GROUP BY deployment_id""",
+)
+def request_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Very many requests of few deployments, one of which has a third of them."""
+    key = F.col("o_custkey")
+    requests = table(spark, sf, "orders").select(
+        F.when(key % 3 == 0, "a1").otherwise(F.concat(F.lit("a"), (key % 40).cast("string"))).alias("agent_name"), F.lit("urgent").alias("namespace"), F.lit("main").alias("deployment_name"),
+        F.when(F.col("o_orderstatus") == "F", "deleted").otherwise("deployed").alias("desired_state"), F.lit("me").alias("requested_by"), F.lit("img:1").alias("image"), F.col("o_orderkey").alias("arrived"),
+    )
+    nxt, events = st.enqueue_requests(_deployments(spark, sf), requests, _now(), buckets=16)
+    counts = events.groupBy("deployment_id").agg(
+        F.count_if(F.col("event_type") == "request_enqueued").alias("enqueued"), F.count_if(F.col("event_type") == "request_deduplicated").alias("repeated")
+    )
+    return counts.join(nxt.select(F.col("id").alias("deployment_id"), "desired_state"), "deployment_id")
+
+
 @query(
     "deployment_status",
     f"""WITH {_DEP_SQL}, lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_name, namespace ORDER BY updated_s DESC, id DESC) AS r FROM dep) WHERE r = 1),

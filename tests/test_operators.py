@@ -355,6 +355,46 @@ def test_requests_of_a_key_follow_each_other(spark):
     assert kinds.count("request_enqueued") == 3 and kinds.count("request_deduplicated") == 3
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_requests_over_buckets_equal_one_after_another(spark, buckets):
+    from tarnwell import schemas
+    from tarnwell.schemas import align
+
+    rnd = random.Random(buckets)
+    keys = ["hot", "hot", "hot", "a", "b", "c"]
+    stored = align(spark.createDataFrame([("d1", "hot", "n", "m", "pending", "on", "ready", "healthy"), ("d2", "a", "n", "m", "ready", "on", "ready", "healthy")], "id string, agent_name string, namespace string, deployment_name string, workflow_status string, desired_state string, runtime_status string, health_status string"), schemas.DEPLOYMENTS)
+    asked = [(i // 2, rnd.choice(keys), rnd.choice(["on", "on", "off"]), rnd.choice(["u1", "u2", None])) for i in range(300)]
+    req = spark.createDataFrame([(i, a, "n", "m", s, by, "img") for i, a, s, by in asked], "arrived int, agent_name string, namespace string, deployment_name string, desired_state string, requested_by string, image string")
+    nxt, events = st.enqueue_requests(stored, req, F.lit("2024-01-01").cast("timestamp"), buckets=buckets)
+    state, changed, by, want = {"hot": "on"}, set(), {}, []
+    for i, a, s, who in sorted(asked, key=lambda r: (r[0], r[2], r[3] is not None, r[3] or "")):
+        same = state.get(a) == s
+        state[a] = s
+        if not same:
+            changed.add(a)
+            by[a] = who or by.get(a)
+        before = {"hot": ("pending", "ready", "healthy"), "a": ("ready", "ready", "healthy")}.get(a, ("pending", None, None))
+        want.append((a, "request_deduplicated" if same else "request_enqueued", *(("pending", "unknown", "unknown") if a in changed else before)))
+    names = {"d1": "hot", "d2": "a"} | {r["id"]: r["agent_name"] for r in nxt.collect() if r["agent_name"] not in ("hot", "a")}
+    got = [(names[r["deployment_id"]], r["event_type"], r["workflow_status"], r["runtime_status"], r["health_status"]) for r in events.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {r["agent_name"]: (r["desired_state"], r["requested_by"]) for r in nxt.collect()} == {a: (state[a], by.get(a)) for a in state}
+
+
+@pytest.mark.parametrize("buckets", [1, 6])
+def test_numbers_over_buckets_equal_one_after_another(spark, buckets):
+    rnd = random.Random(buckets)
+    ev = [(rnd.choice(["hot", "hot", "b", None]), i, f"2024-01-01 00:{rnd.randrange(60):02d}:00", rnd.choice([None, None, rnd.randrange(80)])) for i in range(200)]
+    frame = spark.createDataFrame(ev, "call_id string, event_id int, created_at string, sequence_number int")
+    old = spark.createDataFrame([("hot", 7), ("hot", 3), (None, 2)], "call_id string, sequence_number int")
+    last, want = {"hot": 7, None: 2}, []
+    for c, i, _, n in sorted(ev, key=lambda r: (r[2], r[1])):
+        number = n if n is not None else last.get(c, 0) + 1
+        last[c] = max(last.get(c, 0), number)
+        want.append((i, number))
+    assert rows(st.next_sequence(frame, old, buckets=buckets), "event_id", "sequence_number") == sorted(want)
+
+
 def test_two_references_of_one_unknown_call_are_one_insert(spark):
     from tarnwell import schemas
     from tarnwell.schemas import align
