@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.functions.phones import is_uuid
 from tarnwell.functions.text import ColumnLike, bind, collapse_spaces, col
+from tarnwell.session import materialise
 
 _MAP = "map<string,variant>"
 
@@ -183,43 +186,33 @@ def tool_event_text(tool: ColumnLike, ok: ColumnLike, result: ColumnLike, error:
     )
 
 
-def json_depth(payload: ColumnLike) -> Column:
-    """How deep containers are nested in a JSON text, by its brackets outside of strings."""
-    bare = F.regexp_replace(F.regexp_replace(col(payload), r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
-    walk = F.aggregate(
-        F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda acc, c: F.when(c.isin("[", "{"), F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most")))
-        .when(c.isin("]", "}"), F.struct((acc["now"] - 1).alias("now"), acc["most"].alias("most"))).otherwise(acc),
-    )
-    return F.coalesce(walk["most"], F.lit(0))
-
-
 def numeric_leaves(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
-    """Rows (keys, path, value) of every number in nested JSON, under paths like ``a.b[0]``.
+    """Rows (keys, path, value) of every number in nested JSON, under paths like ``a.b[0]``; booleans, texts and nulls are skipped.
 
-    One explode per level, down to the deepest level of the table; booleans, texts and nulls are skipped.
-    Each level is a lateral join in the JVM over rows that still hold containers.
+    A walk over the rows that still hold containers: each step writes the children of the containers that the step before has
+    written, until none is left. So the input is read once, whatever the depth, and no depth is assumed.
     """
-    depth = df.agg(F.coalesce(F.max(json_depth(payload)), F.lit(0)).alias("depth")).first()["depth"]
-    level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(payload).alias("node"))
-    found = None
-    for _ in range(depth + 1):
-        number = F.when(F.schema_of_variant("node").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("node", "$", "double"))
-        leaves = level.where(number.isNotNull()).select(
-            *keys, F.when(F.col("path") == "", "value").otherwise(F.col("path")).alias("path"), number.alias("value")
-        )
-        found = leaves if found is None else found.unionByName(leaves)
-        view = level.where(F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)"))
-        children = view.lateralJoin(
-            df.sparkSession.tvf.variant_explode(F.col("node").outer()).select(
-                F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_child")
-            )
+    kind = F.schema_of_variant("node")
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("node", "$", "double"))
+    container = F.when(kind.rlike("^(OBJECT|ARRAY)"), F.col("node"))
+
+    def written(rows: DataFrame) -> DataFrame:
+        return materialise(rows.select(*keys, "path", number.alias("value"), container.alias("node")).where("value IS NOT NULL OR node IS NOT NULL"), "json-walk")
+
+    level = written(df.select(*keys, F.lit("").alias("path"), F.try_parse_json(payload).alias("node")))
+    found = []
+    while True:
+        found.append(level.where(F.col("value").isNotNull()).select(*keys, F.when(F.col("path") == "", "value").otherwise(F.col("path")).alias("path"), "value"))
+        open_ = level.where(F.col("node").isNotNull())
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        children = open_.drop("value").lateralJoin(
+            df.sparkSession.tvf.variant_explode(F.col("node").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_child"))
         )
         step = F.when(F.col("_key").isNull(), F.concat(F.col("path"), F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(
             F.when(F.col("path") == "", F.col("_key")).otherwise(F.concat(F.col("path"), F.lit("."), F.col("_key")))
         )
-        level = children.select(*keys, step.alias("path"), F.col("_child").alias("node"))
-    return found
+        level = written(children.select(*keys, step.alias("path"), F.col("_child").alias("node")))
 
 
 def numeric_totals(df: DataFrame, keys: list[str], payload: str) -> DataFrame:

@@ -103,12 +103,22 @@ def tool_event_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", js.tool_event_text("event_type", kind != "error", result, error).alias("line"))
 
 
-@query("json_compatible")
+@query(
+    "json_compatible",
+    """SELECT event_id, '{"event_type":' || to_json(event_type) || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","value":' || to_json(value) || '}' AS j FROM events""",
+)
 def json_compatible(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", js.to_json_compatible(F.struct("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")).alias("j"))
 
 
-@query("numeric_totals")
+@query(
+    "numeric_totals",
+    """WITH j AS (
+      SELECT event_type, json_object('usage', json_object('k', CAST(props ->> '$.k' AS INTEGER), 'value', value),
+        'parts', json_array(json_object('n', user_id), json_object('n', event_id)), 'flag', value > 1) AS doc FROM events),
+    leaf AS (SELECT event_type, t.fullkey[3:] AS path, CAST(t.atom AS DOUBLE) AS v FROM j, json_tree(j.doc) t WHERE t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE'))
+    SELECT event_type, path, round(sum(v), 2) AS total FROM leaf GROUP BY event_type, path""",
+)
 def numeric_totals(spark: SparkSession, sf: str) -> DataFrame:
     payload = F.to_json(F.struct(
         F.struct(_k().cast("int").alias("k"), "value").alias("usage"),
@@ -120,7 +130,12 @@ def numeric_totals(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_type", "path", F.round("total", 2).alias("total"))
 
 
-@query("parse_items")
+@query(
+    "parse_items",
+    r"""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 'invalid_json' ELSE 'success' END AS status,
+      CASE WHEN p_partkey % 5 < 4 THEN trim(regexp_replace(p_name, '\s+', ' ', 'g')) END AS item, CASE WHEN p_partkey % 5 < 4 THEN trim(p_type) END AS purpose,
+      CASE WHEN p_partkey % 5 < 4 THEN trim(p_brand) END AS method FROM part""",
+)
 def parse_items(spark: SparkSession, sf: str) -> DataFrame:
     one = F.struct(F.col("p_name").alias("item"), F.col("p_type").alias("purpose"), F.col("p_brand").alias("method"))
     k = F.col("p_partkey") % 5

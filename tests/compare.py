@@ -17,7 +17,6 @@ TABLES = (
 NO_TWIN = {
     **dict.fromkeys(["fuzzy_ratio", "snippet"], "sequence matching has no SQL form; brute force in test_operators"),
     **dict.fromkeys(["html_text", "image_refs"], "HTML is parsed; cases in test_functions"),
-    **dict.fromkeys(["json_compatible", "numeric_totals", "parse_items"], "nested JSON; cases in test_functions and test_operators"),
     "ivf_knn_probed": "approximate; recall in test_vectorlists",
     **dict.fromkeys(
         ["two_level_select", "evaluate", "tournament_rerank", "lexical_rerank", "normalize_query", "enrich_documents", "embed_terms", "sync_job", "build_catalogue", "document_assembly"],
