@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tarnwell.functions.text import ColumnLike, col
+from tarnwell.operators.skew import ordered_positions
 from tarnwell.settings import RETRIEVAL
 
 
@@ -117,3 +118,21 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def restore_order(df: DataFrame, position: str, doc: str) -> DataFrame:
     """Rows by position; those without one come last."""
     return df.orderBy(F.col(position).asc_nulls_last(), doc)
+
+
+def first_seen(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], bucket_on: Column, name: str = "place", buckets: int | None = None) -> DataFrame:
+    """Distinct values of each key as numbered rows (keys, value, order columns folded to their least, place), in the order first seen.
+
+    ``order`` are columns of ``df`` that rise; a key with very many values is numbered in buckets of ``bucket_on``.
+    """
+    least = df.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_first"))
+    names = [f.name for f in least.schema["_first"].dataType]
+    rows = least.select(*keys, value, *[F.col(f"_first.{n}").alias(n) for n in names])
+    return ordered_positions(rows, keys, [*[F.asc(n) for n in names], F.asc(value)], bucket_on, name, buckets)
+
+
+def distinct_shown(df: DataFrame, keys: Sequence[str], value: str, n: int) -> DataFrame:
+    """(keys, n, shown): how many distinct non-blank values a key has, and the first ``n`` of them joined by a comma."""
+    some = df.where(F.coalesce(F.col(value), F.lit("")) != "").select(*keys, value).distinct()
+    few = top_n(some, keys, [F.asc(value)], n).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), ", ").alias("shown"))
+    return some.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(few, list(keys))

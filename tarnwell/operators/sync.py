@@ -69,6 +69,16 @@ def usable_articles(docs: DataFrame, key: str = "doc_key", body: str = "content"
     return keyed.withColumn(body, clean_content(body, max_chars)).where(F.trim(F.col(body)) != "")
 
 
+def skipped_articles(docs: DataFrame, key: str = "doc_key", body: str = "content") -> DataFrame:
+    """(reason, n): how many documents ``usable_articles`` leaves out, for want of a key or of a body; the key is asked for first."""
+    from tarnwell.functions.text import clean_content
+
+    no_key = F.coalesce(F.trim(F.col(key)), F.lit("")) == ""
+    no_body = F.trim(F.coalesce(clean_content(body), F.lit(""))) == ""
+    reason = F.when(no_key, "key missing").when(no_body, "content missing")
+    return docs.select(reason.alias("reason")).where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def article_outcome(batch: DataFrame, update_if_exists: bool = True) -> DataFrame:
     """Outcome and reason of every article, from its key, body, existence and extraction state."""
     key_missing = F.coalesce(F.trim("doc_key"), F.lit("")) == ""

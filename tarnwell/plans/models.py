@@ -101,9 +101,9 @@ def embed_terms(
 
 
 def local_extractor(docs: DataFrame) -> DataFrame:
-    """Names, long words, acronyms, numbered models and sentences found in the whole body.
+    """Names, long words, acronyms, numbered models and sentences found in the whole body, all of them.
 
-    ``docs``: doc_key, title, content. Everything is an expression, so no Python runs.
+    How many are kept is for the normaliser to say. ``docs``: doc_key, title, content. Everything is an expression, so no Python runs.
     """
     body = F.coalesce(F.col("content"), F.lit(""))
 
@@ -116,17 +116,17 @@ def local_extractor(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("category"),
         F.lit(None).cast("string").alias("article_type"),
         tx.clean_phrase("title").alias("primary_topic"),
-        F.slice(found(r"\p{Lu}[\p{Ll}\p{Lu}0-9]*[\p{Lu}0-9][\p{L}0-9]*"), 1, 12).alias("primary_specific"),
-        F.slice(words, 1, 12).alias("primary_generic"),
-        F.slice(found(r"\p{Lu}\p{Ll}+[ -]\d+"), 1, 12).alias("secondary_entities"),
-        F.slice(found(tx.ACRONYM_PATTERN), 1, 12).alias("acronyms"),
-        F.slice(F.array_distinct(sentences), 1, 8).alias("usecase"),
+        found(r"\p{Lu}[\p{Ll}\p{Lu}0-9]*[\p{Lu}0-9][\p{L}0-9]*").alias("primary_specific"),
+        words.alias("primary_generic"),
+        found(r"\p{Lu}\p{Ll}+[ -]\d+").alias("secondary_entities"),
+        found(tx.ACRONYM_PATTERN).alias("acronyms"),
+        F.array_distinct(sentences).alias("usecase"),
         tx.clean_phrase("title").alias("article_title"),
         F.col("doc_key").alias("kb_id"),
         F.lit(None).cast("string").alias("primary_intent"),
         tx.clean_phrase(F.element_at(F.concat(sentences, F.array(F.lit(""))), 1)).alias("summary"),
-        F.slice(words, 1, 12).alias("query_triggers"),
-        F.slice(found(tx.ACRONYM_PATTERN), 1, 10).alias("secondary_mentions"),
+        words.alias("query_triggers"),
+        found(tx.ACRONYM_PATTERN).alias("secondary_mentions"),
     )
     return docs.select("*", raw.cast(RAW_FIELDS).alias("raw"), F.lit("completed").alias("stage"), F.lit(None).cast("string").alias("error"))
 

@@ -30,6 +30,7 @@ from tarnwell.operators.ranking import (
     best_per_doc,
     deal_groups,
     family_representatives,
+    first_seen,
     group_top_k,
     latest_per_key,
     search_limit,
@@ -600,16 +601,27 @@ def similarity_search(queries: DataFrame, passages: DataFrame) -> DataFrame:
     return best.withColumn("score", vx.round_score("similarity"))
 
 
-def evaluate(selected: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
+def evaluate(selected: DataFrame, cases: DataFrame, retrieved: DataFrame | None = None, shown: int = 5) -> dict[str, DataFrame]:
     """Compare the selected with the expected documents.
 
-    ``cases``: query_id, query_type, expected_kb. Returns the compared rows, accuracy
-    overall and by type, and the documents most often selected wrongly.
+    ``cases``: query_id, query_type, expected_kb. Returns the compared rows, accuracy overall and by type, and the documents most
+    often selected wrongly. With ``retrieved`` (query_id, kbid, rrf_score) there are also the distinct ids of each query with their
+    place, best first, and the compared rows have ``expected_place`` (null if the expected one was not retrieved),
+    ``retrieved_count`` and ``top_list``, the first ids.
     """
     compared = cases.join(selected.select("query_id", F.col("selected_kb").alias("top_kb")), "query_id", "left").withColumn(
         "match", F.coalesce(F.trim("top_kb"), F.lit("")) == F.trim("expected_kb")
     )
-    return {"cases": compared, "stats": validation_stats(compared), "false_positives": false_positives(compared)}
+    out = {"stats": validation_stats(compared), "false_positives": false_positives(compared)}
+    if retrieved is not None:
+        ids = materialise(first_seen(retrieved, ["query_id"], "kbid", [(-F.col("rrf_score")).alias("_worse")], F.col("_worse")).drop("_worse"), "retrieved-ids")
+        count = ids.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved_count"))
+        top = ids.where(F.col("place") <= shown).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "kbid"))), lambda x: x["kbid"]).alias("top_list"))
+        place = ids.select("query_id", F.col("kbid").alias("expected_kb"), F.col("place").alias("expected_place"))
+        compared = compared.join(place, ["query_id", "expected_kb"], "left").join(count, "query_id", "left").join(top, "query_id", "left")
+        compared = compared.withColumn("retrieved_count", F.coalesce("retrieved_count", F.lit(0)))
+        out["retrieved_ids"] = ids
+    return {"cases": compared, **out}
 
 
 def validation_stats(compared: DataFrame) -> DataFrame:

@@ -196,6 +196,25 @@ def replace_rows(
     return current.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
 
 
+def upsert_agents(agents: DataFrame, updates: DataFrame, order: Sequence[Column], now: Column) -> DataFrame:
+    """Next agents table: an agent is named by its phone number; a known one takes config, name and type and keeps all else.
+
+    Id and creation time of a known agent stay. A new one gets an id from its number and the time given. Of several updates for a
+    number the first in ``order`` counts; updates without a number are left out.
+    """
+    taken = ["config", "name", "agent_type"]
+    fresh = latest_per_key(updates.where(F.col("phone_number").isNotNull()), ["phone_number"], order)
+    fresh = fresh.select(F.col("phone_number").alias("_phone"), *[F.col(c).alias(f"_n_{c}") for c in taken])
+    joined = agents.join(fresh, F.col("phone_number") == F.col("_phone"), "full_outer")
+    hit = F.col("_phone").isNotNull()
+    values = {c: F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in taken}
+    values |= {
+        "phone_number": F.coalesce("phone_number", "_phone"), "id": F.coalesce("id", F.md5(F.col("_phone").cast("binary"))),
+        "created_at": F.when(F.col("id").isNull() & hit, now).otherwise(F.col("created_at")),
+    }
+    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in agents.columns])
+
+
 def upsert_keep_created(current: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[Column], now: Column) -> DataFrame:
     """Insert or replace per key; the creation time of a replaced row is kept."""
     fresh = latest_per_key(updates, keys, order).drop("created_at", "updated_at")

@@ -176,10 +176,7 @@ def final_pool(spark: SparkSession, sf: str) -> DataFrame:
 )
 def retrieved_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct ids in first-seen order, kept as numbered rows."""
-    from tarnwell.operators.skew import ordered_positions
-
-    first = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("f"))
-    rows = ordered_positions(first, ["l_suppkey"], [F.asc("f"), F.asc("l_partkey")], F.col("f"), "place")
+    rows = rk.first_seen(table(spark, sf, "lineitem"), ["l_suppkey"], "l_partkey", [F.col("l_orderkey").alias("f")], F.col("f"))
     return rows.select("l_suppkey", "l_partkey", F.col("place").cast("long").alias("place"))
 
 
@@ -188,9 +185,7 @@ def retrieved_ids(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT conv_id, count(DISTINCT role) AS n, array_to_string(list_sort(list_distinct(list(role)))[1:3], ', ') AS shown FROM conversations WHERE role <> '' GROUP BY conv_id",
 )
 def distinct_sources(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where("role <> ''").select("conv_id", "role").distinct()
-    shown = rk.top_n(c, ["conv_id"], [F.asc("role")], 3).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("role")), ", ").alias("shown"))
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).join(shown, "conv_id")
+    return rk.distinct_shown(table(spark, sf, "conversations"), ["conv_id"], "role", 3)
 
 
 # Labels are expected answers: the quality says what was expected, the toxic mark what was chosen.

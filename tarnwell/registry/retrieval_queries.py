@@ -591,6 +591,28 @@ def evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return rt.evaluate(picked, _planted_cases(spark, sf))["stats"]
 
 
+@query(
+    "evaluate_places",
+    f"""WITH {_BEST_SQL}, {_DOC_TEXT_SQL},
+    cases AS (SELECT item_id AS query_id, CAST(min(doc_id) AS VARCHAR) AS expected_kb FROM benchmark JOIN dt ON contains(t, ' ' || {fts_text_sql('benchmark.text')} || ' ') GROUP BY item_id),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kbid) AS place FROM (SELECT query_id, kbid, max(score) AS score FROM found GROUP BY ALL)),
+    per AS (SELECT query_id, count(*) AS n, string_agg(kbid, '|' ORDER BY place) FILTER (place <= 5) AS top_list, max(CASE WHEN place = 1 THEN kbid END) AS top_kb FROM placed GROUP BY query_id)
+    SELECT c.query_id, c.expected_kb, top_kb, coalesce(top_kb, '') = c.expected_kb AS match, p.place AS expected_place, coalesce(n, 0) AS retrieved_count, top_list
+    FROM cases c LEFT JOIN per USING (query_id) LEFT JOIN placed p ON p.query_id = c.query_id AND p.kbid = c.expected_kb""",
+)
+def evaluate_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the document that a passage was taken from stands among those retrieved for the passage."""
+    from tarnwell.operators.ranking import latest_per_key
+    from tarnwell.session import materialise
+
+    found = materialise(_found(spark, sf), "found")
+    best = latest_per_key(found, ["query_id"], [F.desc("rrf_score"), F.asc("kbid")]).select("query_id", F.col("kbid").alias("selected_kb"))
+    rows = rt.evaluate(best, _planted_cases(spark, sf), found)["cases"]
+    return rows.select(
+        "query_id", "expected_kb", "top_kb", "match", F.col("expected_place").cast("long").alias("expected_place"), "retrieved_count", F.array_join("top_list", "|").alias("top_list")
+    )
+
+
 @query("tournament_rerank")
 def tournament_rerank(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W

@@ -279,6 +279,27 @@ def upsert_agents(spark: SparkSession, sf: str) -> DataFrame:
     return st.replace_rows(old_a.unionByName(old_b), new, ["phone_number"], [F.desc("c_custkey")])
 
 
+@query(
+    "agent_rows",
+    f"""WITH old AS (SELECT 'n' || n_nationkey AS id, '+1' || n_nationkey AS phone_number, n_name AS name, 'org' AS org_id FROM nation),
+    new AS (SELECT '+1' || (c_nationkey * 2) AS phone_number, arg_max(c_name, c_custkey) AS name, arg_max(c_mktsegment, c_custkey) AS agent_type FROM customer GROUP BY 1)
+    SELECT coalesce(o.id, md5(n.phone_number)) AS id, coalesce(o.phone_number, n.phone_number) AS phone_number, CASE WHEN n.phone_number IS NULL THEN o.name ELSE n.name END AS name,
+      n.agent_type, o.org_id, CASE WHEN o.id IS NULL THEN {BASE_SECONDS} ELSE 1 END AS created FROM old o FULL JOIN new n ON o.phone_number = n.phone_number""",
+)
+def agent_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Known agents keep id, organisation and creation time, new ones get theirs."""
+    old = table(spark, sf, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("+1"), F.col("n_nationkey").cast("string")).alias("phone_number"),
+        F.col("n_name").alias("name"), F.lit("org").alias("org_id"), F.timestamp_seconds(F.lit(1)).alias("created_at"),
+    )
+    new = table(spark, sf, "customer").select(
+        F.concat(F.lit("+1"), (F.col("c_nationkey") * 2).cast("string")).alias("phone_number"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("agent_type"),
+        F.lit("{}").alias("config"), "c_custkey",
+    )
+    rows = st.upsert_agents(schemas.align(old, schemas.AGENTS), new, [F.desc("c_custkey")], F.timestamp_seconds(F.lit(BASE_SECONDS)))
+    return rows.select("id", "phone_number", "name", "agent_type", "org_id", F.unix_seconds("created_at").alias("created"))
+
+
 @query(
     "agent_configs",
     "SELECT c_custkey, c_nationkey AS top_k FROM customer WHERE c_mktsegment = 'MACHINERY'",
