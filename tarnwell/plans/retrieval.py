@@ -534,10 +534,13 @@ def two_level_select(
     shard_winners = rerank(per_shard, ["query_id", "shard_id"], strategy, scorer, settings)
 
     pool = best_per_doc(per_shard, ["query_id", "kbid"], "rrf_score", ["shard_id"], False)
-    # Only the best few of the pool are reranked; the literal bound cuts every partition before
-    # the shuffle, however many shards a query has candidates in.
+    # Only the best few of the pool are reranked, where the strategy does not itself deal them into groups; the literal bound
+    # cuts every partition before the shuffle, however many shards a query has candidates in.
     best_first = [F.desc("rrf_score"), F.asc("kbid")]
-    pool = top_n(pool.drop("position"), ["query_id"], best_first, max(1, settings.rerank_window), "position")
+    whole = (strategy or "").strip().lower() == "tournament"
+    window = W.partitionBy("query_id").orderBy(*best_first)
+    pool = pool.drop("position")
+    pool = pool.withColumn("position", F.row_number().over(window)) if whole else top_n(pool, ["query_id"], best_first, max(1, settings.rerank_window), "position")
     final = rerank(pool, ["query_id"], strategy, scorer, settings)
     # The pool counts every candidate, with a summary or not; without any summary its best candidate is taken.
     shape = chosen.groupBy("query_id").agg(
