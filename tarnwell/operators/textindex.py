@@ -139,16 +139,18 @@ def _switch(index: TextIndex, clean: bool = False) -> TextIndex:
 def _add_segment(index: TextIndex, docs: DataFrame) -> TextIndex:
     m = index.manifest
     keys, carry = index.keys, m["carry"]
-    narrow = materialise(docs.select(*keys, *carry).dropDuplicates(keys), "fts-documents")
-    blocks = max(1, math.ceil(narrow.count() / BLOCK_DOCS))
+    narrow = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct(F.lit(0).alias("_"), *carry)).alias("_carry"))
+    narrow = materialise(narrow.select(*keys, *[F.col(f"_carry.{c}").alias(c) for c in carry], "_rows"), "fts-documents")
+    size = narrow.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_rows"), F.lit(0)).alias("most")).first()
+    blocks = max(1, math.ceil(size["n"] / BLOCK_DOCS))
     block = F.lit(m["next_block"]).cast("long") + F.pmod(F.xxhash64(*keys, F.lit(3)), F.lit(blocks))
     slot = F.row_number().over(W.partitionBy("_block").orderBy(*keys)) - 1
     checked = F.when(F.col("_slot") < BLOCK_WIDTH, F.col("_slot")).otherwise(F.raise_error(F.lit("a block of documents is too full")))
-    numbered = narrow.withColumn("_block", block).withColumn("_slot", slot)
+    numbered = narrow.drop("_rows").withColumn("_block", block).withColumn("_slot", slot)
     numbered = materialise(numbered.withColumn("doc", F.col("_block") * BLOCK_WIDTH + checked).drop("_block", "_slot"), "fts-numbers")
 
     fields = {c: label for c, label in m["fields"].items()}
-    bodies = docs.dropDuplicates(keys) if docs.count() > numbered.count() else docs
+    bodies = docs.dropDuplicates(keys) if size["most"] > 1 else docs
     told = bodies.join(numbered.select(*keys, "doc"), [*keys])
     labelled = F.flatten(F.transform(
         F.col("fts_fields"), lambda p: F.transform(F.split(p["tokens"], " "), lambda t: F.struct(t.alias("token"), p["label"].alias("label")))

@@ -84,7 +84,7 @@ def test_build_append_remove_merge(spark, asked, tmp_path, monkeypatch):
 def test_a_failed_append_leaves_the_index(spark, asked, tmp_path):
     root = str(tmp_path / "index")
     docs = dict(enumerate(bodies(3, 20)))
-    index = textindex.build_index(frame(spark, list(docs.values())), root, ["doc_id"], {"body": "B"})
+    index = textindex.build_index(frame(spark, list(docs.values())), root, ["doc_id"], {"body": "B"}, buckets=4)
     broken = frame(spark, bodies(4, 5), 10).withColumn("body", F.when(F.col("doc_id") < 99, F.raise_error(F.lit("lost"))).otherwise(F.col("body")))
     with pytest.raises(Exception, match="lost"):
         textindex.append_documents(index, broken)
@@ -106,12 +106,12 @@ def test_only_wanted_buckets_are_read_and_positions_are_delta_coded(spark, asked
 
 
 def test_empty_index_and_no_queries(spark, asked, tmp_path):
-    index = textindex.build_index(frame(spark, []), str(tmp_path / "none"), ["doc_id"], {"body": "B"})
+    index = textindex.build_index(frame(spark, []), str(tmp_path / "none"), ["doc_id"], {"body": "B"}, buckets=4)
     assert found(index, asked) == []
     index = textindex.append_documents(index, frame(spark, ["the fox"]))
     assert found(index, asked) == brute({0: "the fox"}) and found(index, asked.limit(0)) == []
     with pytest.raises(ValueError):
-        textindex.build_index(frame(spark, []), str(tmp_path / "none"), ["doc_id"], {"body": "B"})
+        textindex.build_index(frame(spark, []), str(tmp_path / "none"), ["doc_id"], {"body": "B"}, buckets=4)
 
 
 def test_ranks_same_as_the_walk_over_tokens(spark, tmp_path):
@@ -121,7 +121,7 @@ def test_ranks_same_as_the_walk_over_tokens(spark, tmp_path):
     d = spark.createDataFrame(docs, "doc_id int, title string, body string")
     q = spark.createDataFrame(list(enumerate(["a", "a b", "c a b", '"b c" d', "d d a"])), "q int, text string")
     clauses = fulltext.search_clauses(q, "q", "text")
-    index = textindex.build_index(d, str(tmp_path / "ranks"), ["doc_id"], {"title": "A", "body": "D"})
+    index = textindex.build_index(d, str(tmp_path / "ranks"), ["doc_id"], {"title": "A", "body": "D"}, buckets=4)
     got = textindex.match_index(index, clauses, "q").select(
         "q", "doc_id", textindex.hit_weights("hits").alias("h"), textindex.cover_density_of_hits("hits", "terms").alias("c")
     ).collect()
