@@ -187,7 +187,7 @@ def _buckets_of(words: DataFrame, buckets: int) -> list[int]:
 
 
 def _positions(word: Column) -> Column:
-    return F.coalesce(F.element_at(F.col("_at"), word), F.array().cast("array<int>"))
+    return F.coalesce(F.element_at(F.col("_at"), word)["positions"], F.array().cast("array<int>"))
 
 
 def _holds(phrase: Column) -> Column:
@@ -237,11 +237,19 @@ def _match_required(index: TextIndex, clauses: DataFrame, query_id: str) -> Data
     pairs = materialise(needed.select("token", "doc").distinct(), "fts-needed")
     evidence = materialise(postings.drop("bucket").join(pairs, ["token", "doc"]), "fts-evidence")
     shown = needed.join(evidence, ["token", "doc"]).groupBy(query_id, "alternative", "doc").agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("_at"), F.map_from_entries(F.collect_list(F.struct("token", "labels"))).alias("_labels")
+        F.map_from_entries(F.collect_list(F.struct("token", F.struct("positions", "labels")))).alias("_at")
+    )
+    # Words are held if they have postings; only what has several words is looked up by positions.
+    several, one = (lambda p: F.contains(p, F.lit(" "))), (lambda p: ~F.contains(p, F.lit(" ")))
+    told = clauses.select(
+        query_id, "alternative", "terms", F.filter("required", several).alias("_phrases"), F.filter("excluded", several).alias("_no_phrases"), F.filter("excluded", one).alias("_no_words")
+    )
+    words = F.map_keys("_at")
+    checked = shown.join(told, [query_id, "alternative"]).where(
+        (F.size(F.array_except("terms", words)) == 0) & ~F.arrays_overlap("_no_words", words) & F.forall("_phrases", _holds) & ~F.exists("_no_phrases", _holds)
     )
-    checked = shown.join(clauses, [query_id, "alternative"]).where(F.forall("required", _holds) & ~F.exists("excluded", _holds))
     hits = F.flatten(F.transform("terms", lambda t, k: F.transform(
-        _positions(t), lambda p, i: F.struct(p.alias("position"), k.alias("term"), F.substring(F.element_at(F.col("_labels"), t), i + 1, F.lit(1)).alias("label"))
+        _positions(t), lambda p, i: F.struct(p.alias("position"), k.alias("term"), F.substring(F.element_at(F.col("_at"), t)["labels"], i + 1, F.lit(1)).alias("label"))
     )))
     return checked.select(query_id, "alternative", "terms", "doc", F.array_sort(hits).alias("hits"))
 

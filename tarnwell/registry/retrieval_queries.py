@@ -109,8 +109,15 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
     return unit_frame(spark, sf)
 
 
+def _keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """The keyword rows with their vectors as a table, written by the first query that asks for them."""
+    frame = keyword_frame(spark, sf)
+    root = stored_folder(spark, sf, "keyword-rows", lambda at: frame.write.parquet(at))
+    return spark.read.schema(frame.schema).parquet(root)
+
+
 def _indexes(spark: SparkSession, sf: str) -> rt.Indexes:
-    keywords = stored_index(spark, sf, "keyword", lambda root: rt.keyword_index(keyword_frame(spark, sf, False), root))
+    keywords = stored_index(spark, sf, "keyword", lambda root: rt.keyword_index(_keywords(spark, sf), root))
     return rt.Indexes(keywords, stored_index(spark, sf, "summary", lambda root: rt.summary_index(summary_frame(spark, sf), root)))
 
 
@@ -121,7 +128,7 @@ def _indexes(spark: SparkSession, sf: str) -> rt.Indexes:
       ex AS vector_exact_match, ph AS vector_phrase_match FROM vec""",
 )
 def vector_search(spark: SparkSession, sf: str) -> DataFrame:
-    found = rt.vector_search(_units(spark, sf), keyword_frame(spark, sf))
+    found = rt.vector_search(_units(spark, sf), _keywords(spark, sf))
     return found.select(
         "unit_id", "shard_id", "kbid", F.round("vector_distance", 6).alias("vector_distance"),
         F.round("vector_distance_raw", 6).alias("vector_distance_raw"), "vector_exact_match", "vector_phrase_match",
@@ -136,7 +143,7 @@ def vector_search(spark: SparkSession, sf: str) -> DataFrame:
       FROM vec GROUP BY unit_id, kbid) WHERE r <= 8""",
 )
 def merge_vector_shards(spark: SparkSession, sf: str) -> DataFrame:
-    found = rt.vector_search(_units(spark, sf), keyword_frame(spark, sf))
+    found = rt.vector_search(_units(spark, sf), _keywords(spark, sf))
     best = rt.merge_shards(found, "vector_distance", True, 8)
     return best.select("unit_id", "kbid", F.round("vector_distance", 6).alias("vector_distance"))
 
@@ -149,7 +156,7 @@ def merge_vector_shards(spark: SparkSession, sf: str) -> DataFrame:
 )
 def fts_keywords(spark: SparkSession, sf: str) -> DataFrame:
     units = unit_frame(spark, sf, False)
-    found = rt.fts_keywords(units, keyword_frame(spark, sf, False), ranker="hits", index=_indexes(spark, sf).keywords)
+    found = rt.fts_keywords(units, _keywords(spark, sf), ranker="hits", index=_indexes(spark, sf).keywords)
     return found.select(
         "unit_id", "shard_id", "kbid", F.round("fts_keywords_rank_raw", 6).alias("fts_keywords_rank_raw"),
         F.round("fts_keywords_rank", 6).alias("fts_keywords_rank"), "fts_keywords_exact_match", "fts_keywords_phrase_match",
@@ -194,7 +201,7 @@ ARMS_SQL = f"{KEYWORDS_SQL}, {SUMMARIES_SQL}, {UNITS_SQL}, {VECTOR_ARM_SQL}, {KE
 
 
 def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.hybrid_search(_units(spark, sf), keyword_frame(spark, sf), summary_frame(spark, sf), ranker="hits", indexes=_indexes(spark, sf))
+    return rt.hybrid_search(_units(spark, sf), _keywords(spark, sf), summary_frame(spark, sf), ranker="hits", indexes=_indexes(spark, sf))
 
 
 @query(
@@ -233,9 +240,9 @@ _ALL_SQL = ", ".join([
 )
 def hybrid_all(spark: SparkSession, sf: str) -> DataFrame:
     """The best documents of every question over all shards: eight rows a question, however many shards there are."""
-    root = stored_folder(spark, sf, "keyword-lists", lambda at: rt.keyword_lists(keyword_frame(spark, sf), at))
+    root = stored_folder(spark, sf, "keyword-lists", lambda at: rt.keyword_lists(_keywords(spark, sf), at))
     indexes = replace(_indexes(spark, sf), lists=open_lists(spark, root))
-    found = rt.hybrid_search_all(_units(spark, sf), keyword_frame(spark, sf, False), summary_frame(spark, sf), ranker="hits", indexes=indexes)
+    found = rt.hybrid_search_all(_units(spark, sf), _keywords(spark, sf), summary_frame(spark, sf), ranker="hits", indexes=indexes)
     return found.select("unit_id", "kbid", F.round("rrf_score", 6).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -568,7 +575,7 @@ def _embed(df: DataFrame, text: str) -> DataFrame:
 def _selection(spark: SparkSession, sf: str, strategy: str) -> dict[str, DataFrame]:
     from tarnwell.session import materialise
 
-    keywords = materialise(keyword_frame(spark, sf), "keywords")
+    keywords = materialise(_keywords(spark, sf), "keywords")
     return rt.two_level_select(_questions(spark, sf), keywords, summary_frame(spark, sf), _embed, strategy, indexes=_indexes(spark, sf))
 
 
@@ -621,7 +628,7 @@ def tournament_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw_query"))
     pool = _found(spark, sf).withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rrf_score"), "kbid")))
-    rows = rt.hydrate(pool, summary_frame(spark, sf), keyword_frame(spark, sf, False), questions)
+    rows = rt.hydrate(pool, summary_frame(spark, sf), _keywords(spark, sf), questions)
     return rt.rerank(rows, ["query_id"], "tournament").select("query_id", "kbid", F.round("rerank_score", 6).alias("rerank_score"))
 
 
@@ -631,7 +638,7 @@ def lexical_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw_query"))
     picked = select_candidates(_found(spark, sf), ["query_id"])
-    rows = rt.hydrate(picked, summary_frame(spark, sf), keyword_frame(spark, sf, False), questions)
+    rows = rt.hydrate(picked, summary_frame(spark, sf), _keywords(spark, sf), questions)
     return rt.rerank(rows, ["query_id"], "lexical").select("query_id", "kbid", F.round("rerank_score", 6).alias("rerank_score"))
 
 
@@ -648,7 +655,7 @@ def hydrate(spark: SparkSession, sf: str) -> DataFrame:
 
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw_query"))
     picked = select_candidates(_found(spark, sf), ["query_id"])
-    rows = rt.hydrate(picked, summary_frame(spark, sf), keyword_frame(spark, sf, False), questions)
+    rows = rt.hydrate(picked, summary_frame(spark, sf), _keywords(spark, sf), questions)
     return rows.select(
         "query_id", "kbid", F.col("position").cast("long").alias("position"), F.md5(F.col("specific_keywords").cast("binary")).alias("names"),
         F.col("primary_topic").alias("topic"), F.length("content").cast("long").alias("n"),
