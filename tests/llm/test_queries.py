@@ -17,5 +17,5 @@ def test_same_rows_as_sql(spark, name):
 
 def test_all_operators_and_the_pipeline_are_registered():
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert "pipeline" in names
