@@ -131,3 +131,19 @@ def test_ranks_same_as_the_walk_over_tokens(spark, tmp_path):
     by = {(r.q, r.doc_id): r for r in got}
     for r in want:
         assert by[r.q, r.doc_id].h == pytest.approx(r.h) and by[r.q, r.doc_id].c == pytest.approx(r.c)
+
+
+def test_words_are_intersected_in_blocks_and_slices_and_query_ids_may_repeat(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(textindex, "SLICE_CLAUSES", 5)
+    monkeypatch.setattr(textindex, "GROUPED_BYTES", 40)
+    docs = dict(enumerate([*bodies(7, 50), None]))
+    index = textindex.build_index(frame(spark, list(docs.values())), str(tmp_path / "blocks"), ["doc_id"], {"body": "B"}, buckets=4)
+    twice = spark.createDataFrame([(i, a) for i, a in enumerate(ASKED)] + [(0, ASKED[0]), (7, ASKED[7])], "q int, text string")
+    clauses = fulltext.search_clauses(twice, "q", "text", exclude_only=True)
+    want = set(brute(docs))
+    for hits in (True, False):
+        rows = textindex.match_index(index, clauses, "q", hits)
+        assert ("hits" in rows.columns) == hits
+        got = [(r.q, r.doc_id) for r in rows.select("q", "doc_id").collect()]
+        assert set(got) == want and got.count((7, min(d for q, d in want if q == 7))) == 2
