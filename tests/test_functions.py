@@ -123,3 +123,23 @@ def test_html_text_and_images():
     assert text == "A & b\none\ntwo\n* x\n* y\n[Image: pic]"
     assert images == [{"src": "/i.png", "alt": "pic"}]
     assert ht.resolve("/i.png", "http://h/a/b") == "http://h/i.png" and ht.resolve("i.png", None) is None
+
+
+def test_best_place_is_that_of_all_ratios_with_few_of_them(monkeypatch):
+    import random
+
+    from tarnwell.functions import fuzzy
+
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcde İE") for _ in range(rng.randint(0, n)))
+    ratio, seen, offered = fuzzy.ratio, [], 0
+    for _ in range(120):
+        asked, texts = text(60), [text(250) for _ in range(rng.randint(0, 8))]
+        texts += texts[:2]
+        overlaps = [rng.choice([0.0, 0.1, 1 / 3]) for _ in texts]
+        want = max(((0.7 * o + 0.3 * ratio(asked, t), -i) for i, (t, o) in enumerate(zip(texts, overlaps))), default=(0, None))[1]
+        with monkeypatch.context() as m:
+            m.setattr(fuzzy, "ratio", lambda a, b: seen.append(1) or ratio(a, b))
+            assert fuzzy.best_place(asked, texts, overlaps) == (None if want is None else -want)
+        offered += len(texts)
+    assert len(seen) < offered * 0.7
