@@ -19,9 +19,10 @@ from pyspark.sql import Window as W
 
 # Distances are compared after rounding, so that equal vectors tie exactly on every engine.
 DISTANCE_DIGITS = 9
-SLICE_ROWS = 20_000
-BLOCK_QUERIES = 2_048
-_PRODUCT_QUERIES = 256
+# Vectors of a slice and queries of a block; with cells a group returns rows per cell, so it is smaller.
+SLICE_ROWS, CELL_SLICE_ROWS = 60_000, 20_000
+BLOCK_QUERIES, CELL_BLOCK_QUERIES = 8_192, 2_048
+_PRODUCT_QUERIES = 32
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -97,8 +98,8 @@ def knn_join(
     vector: str = "embedding",
     match: Sequence[str] = (),
     cell: str | None = None,
-    slice_rows: int = SLICE_ROWS,
-    block_queries: int = BLOCK_QUERIES,
+    slice_rows: int | None = None,
+    block_queries: int | None = None,
 ) -> DataFrame:
     """Nearest rows per query (and per ``cell``): all columns of both sides but the vectors,
     with ``distance`` and ``rank``. With ``cell`` a cell is never cut, so cells have to be bounded
@@ -109,13 +110,16 @@ def knn_join(
     inputs once sizes the slices and blocks.
     """
     limit_col = F.col(limit) if isinstance(limit, str) else F.lit(limit)
-    # Sizing: the largest matching part decides how many slices every part is cut into.
+    slice_rows = slice_rows or (CELL_SLICE_ROWS if cell else SLICE_ROWS)
+    block_queries = block_queries or (CELL_BLOCK_QUERIES if cell else BLOCK_QUERIES)
+    # Sizing: the largest matching part decides how many slices every part is cut into, the one asked most how many blocks.
     if match:
         largest = vectors.groupBy(*match).count().agg(F.max("count")).first()[0] or 0
     else:
         largest = vectors.count()
     slices = max(1, -(-largest // slice_rows))
-    asked = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(limit_col), F.lit(0)).alias("deepest")).first()
+    per_part = queries.groupBy(*match).agg(F.count(F.lit(1)).alias("n"), F.max(limit_col).alias("deepest"))
+    asked = per_part.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("deepest"), F.lit(0)).alias("deepest")).first()
     blocks = max(1, -(-asked["n"] // block_queries))
 
     q_cols = [c for c in queries.columns if c != query_vector]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.operators import vectorlists as vl
+from tarnwell.operators.knn import knn_join
 from tarnwell.settings import INDEX
 
 
@@ -94,3 +95,12 @@ def test_nothing_to_search(spark, tmp_path, index):
     _, frame_ = queries(spark, made(1)[:3], 1)
     assert vl.search_lists(empty, frame_.drop("kind"), "query_id", ["row_id"], 3).collect() == []
     assert vl.search_lists(index[1], frame_.drop("kind").limit(0), "query_id", ["row_id"], 3).collect() == []
+
+
+def test_blocks_are_sized_by_the_queries_of_one_list(spark):
+    """A query that looks into many lists is one query of each, so that the vectors of a list are not repeated for the others."""
+    vectors = spark.createDataFrame([(i, i % 3, [float(i + 1), 1.0]) for i in range(12)], "row_id long, list_id int, embedding array<double>")
+    asked = spark.createDataFrame([(q, l, [float(q), 1.0]) for q in range(4) for l in range(3)], "query_id long, list_id int, embedding array<double>")
+    near = knn_join(asked, vectors, "query_id", ["row_id"], 1, match=["list_id"], block_queries=4)
+    assert near._jdf.queryExecution().analyzed().toString().count("sequence(0, 0,") == 2
+    assert sorted((r.query_id, r.list_id) for r in near.collect()) == [(q, l) for q in range(4) for l in range(3)]
