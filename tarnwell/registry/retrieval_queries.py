@@ -542,10 +542,10 @@ def cover_density(spark: SparkSession, sf: str) -> DataFrame:
 def token_index(spark: SparkSession, sf: str) -> DataFrame:
     from tarnwell.operators.fulltext import token_index as build
 
-    rows = build(table(spark, sf, "documents"), ["doc_id"], {"text": "B"})
-    return rows.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum("pos").alias("positions")
-    )
+    # Texts are dealt out by document, so that words are counted per document where they are; what is sent is one row a word and task.
+    rows = build(table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"), ["doc_id"], {"text": "B"})
+    per_doc = rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("positions"))
+    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs"), F.sum("positions").alias("positions"))
 
 
 # --- the whole way: normalised questions to one document ----------------------------------------
