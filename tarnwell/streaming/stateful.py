@@ -2,16 +2,20 @@
 
 Each keeps a bounded record per key and sets a timer that clears or closes it, so what a stream holds follows the keys that are
 alive, not all keys ever seen. Rows of a key are taken in a fixed order inside a micro-batch, so a replay gives the same output.
+Sessions and queues have few rows a key, so what a key costs decides: they work on rows, not on a pandas frame a key, and
+ask the state store for as little as they can.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tarnwell.functions.jsonops import content_to_text
@@ -32,6 +36,22 @@ def _due(handle: StatefulProcessorHandle, at: int) -> None:
     handle.registerTimer(at)
 
 
+def _moved(handle: StatefulProcessorHandle, record: dict | None, at: int | None) -> None:
+    """As ``_due`` (no timer if ``at`` is None) for a key whose ``record`` says where its timer is: the store is not asked for it."""
+    old = record.get("due") if record else None
+    if old == at:
+        return
+    if old is not None:
+        handle.deleteTimer(old)
+    if at is not None:
+        handle.registerTimer(at)
+
+
+def _in_order(rows: Iterator[Row], *order: str) -> list[Row]:
+    """The rows of a key by the columns ``order``, nulls last."""
+    return sorted(rows, key=lambda r: [(r[c] is None, r[c] or 0) for c in order])
+
+
 # --- numbered turns --------------------------------------------------------------------------
 
 TURNS_OUT = schema_of("call_id string, sequence_number long, event_type string, speaker string, content_text string, item_id string")
@@ -105,11 +125,12 @@ def timed_transcript_stream(items: DataFrame, lateness: str = "1 hour", seen_ms:
 # --- sessions ----------------------------------------------------------------------------------
 
 _FIGURES = [f"{m}_{k}" for m in LATENCY_METRICS for k in ("count", "avg", "max", "min")]
+# The figures are one array in the order of _FIGURES: a key gives a batch of its own, and that costs by the columns.
 _SESSION = schema_of(
     "call_id string, session_id long, status string, end_reason string, version long, started_us long, ended_us long, "
-    "user_turn_count long, assistant_turn_count long, usage_update_count long, usage string, "
-    + ", ".join(f"{f} {'long' if f.endswith('_count') else 'double'}" for f in _FIGURES)
-)
+    "user_turn_count long, assistant_turn_count long, usage_update_count long, usage string"
+).add("figures", T.ArrayType(T.DoubleType()))
+_SESSION_ROW = Row(*_SESSION.names)
 
 
 class _Sessions(StatefulProcessor):
@@ -124,7 +145,7 @@ class _Sessions(StatefulProcessor):
 
     @staticmethod
     def _new(us: int) -> dict:
-        return {"id": us, "start": us, "last": us, "user": 0, "assistant": 0, "usage_n": 0, "usage": None, "usage_at": None, "version": 0, "figures": {}}
+        return {"id": us, "start": us, "last": us, "user": 0, "assistant": 0, "usage_n": 0, "usage": None, "usage_at": None, "version": 0, "figures": {}, "due": None}
 
     @staticmethod
     def _add(s: dict, row) -> None:
@@ -133,35 +154,27 @@ class _Sessions(StatefulProcessor):
             s[row.role] += 1
         if isinstance(row.usage, str):
             s["usage_n"] += 1
-            if s["usage_at"] is None or [row.us, row.seq] >= s["usage_at"]:
-                s["usage"], s["usage_at"] = row.usage, [row.us, row.seq]
+            at = [row.us, math.nan if row.seq is None else row.seq]
+            if s["usage_at"] is None or at >= s["usage_at"]:
+                s["usage"], s["usage_at"] = row.usage, at
         for name, value in (json.loads(row.metrics) if isinstance(row.metrics, str) else {}).items():
             n, total, top, low = s["figures"].get(name, (0, 0.0, value, value))
             s["figures"][name] = (n + 1, total + value, max(top, value), min(low, value))
 
     @staticmethod
-    def _row(key, s: dict, status: str, reason: str | None) -> dict:
-        row = {
-            "call_id": key[0], "session_id": s["id"], "status": status, "end_reason": reason, "version": s["version"], "started_us": s["start"],
-            "ended_us": s["last"], "user_turn_count": s["user"], "assistant_turn_count": s["assistant"], "usage_update_count": s["usage_n"], "usage": s["usage"],
-        }
+    def _row(key, s: dict, status: str, reason: str | None) -> Row:
+        figures = []
         for m in LATENCY_METRICS:
             n, total, top, low = s["figures"].get(m, (0, 0.0, None, None))
-            row |= {f"{m}_count": n, f"{m}_avg": total / n if n else None, f"{m}_max": top, f"{m}_min": low}
-        return row
+            mean = total / n if n else None
+            figures += [float(n), None if mean is None or math.isnan(mean) else mean, top, low]
+        return _SESSION_ROW(key[0], s["id"], status, reason, s["version"], s["start"], s["last"], s["user"], s["assistant"], s["usage_n"], s["usage"], figures)
 
-    @staticmethod
-    def _out(rows: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=_SESSION.names)
-        for f in _SESSION:
-            kind = f.dataType.simpleString()
-            frame[f.name] = frame[f.name].astype({"bigint": "int64", "double": "float64"}.get(kind, "object"))
-        return frame
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = json.loads(self._open.get()[0]) if self._open.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self._open.get()
+        s = was = json.loads(held[0]) if held else None
         done = []
-        for row in _frame(rows, ["us", "seq"]).itertuples():
+        for row in _in_order(rows, "us", "seq"):
             if s is not None and row.us >= s["last"] + self._gap:
                 done.append(self._row(key, s, "ended", "gap"))
                 s = None
@@ -175,23 +188,20 @@ class _Sessions(StatefulProcessor):
             if row.role == "end":
                 done.append(self._row(key, s, "ended", "event"))
                 s = None
-        if s is None:
-            self._open.clear()
-            for old in list(self._handle.listTimers()):
-                self._handle.deleteTimer(old)
-        else:
+        due = None if s is None else (s["last"] + self._gap) // 1000
+        _moved(self._handle, was, due)
+        if s is not None:
             done.append(self._row(key, s, "open", None))
-            self._open.update((json.dumps(s),))
-            _due(self._handle, (s["last"] + self._gap) // 1000)
-        yield self._out(done)
+            self._open.update((json.dumps(s | {"due": due}),))
+        elif was is not None:
+            self._open.clear()
+        return iter(done)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._open.exists():
-            s = json.loads(self._open.get()[0])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self._open.get()
+        if held:
             self._open.clear()
-            yield self._out([self._row(key, s, "ended", "gap")])
-        else:
-            yield self._out([])
+            yield self._row(key, json.loads(held[0]), "ended", "gap")
 
     def close(self) -> None:
         pass
@@ -216,12 +226,13 @@ def session_stream(items: DataFrame, gap_seconds: int = 1800, lateness: str = "1
         F.col("call_id").cast("string").alias("call_id"), "ts", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "role",
         F.to_json(F.coalesce(wanted, F.create_map().cast("map<string,double>"))).alias("metrics"), F.col("usage").cast("string").alias("usage"),
     )
-    out = rows.groupBy("call_id").transformWithStateInPandas(
+    out = rows.groupBy("call_id").transformWithState(
         statefulProcessor=_Sessions(gap_seconds * 1_000_000), outputStructType=_SESSION, outputMode="Append", timeMode="EventTime"
     )
+    figures = [F.get("figures", F.lit(i)).cast("long" if f.endswith("_count") else "double").alias(f) for i, f in enumerate(_FIGURES)]
     return out.select(
         "call_id", "session_id", "status", "end_reason", "version", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("ended_us").alias("ended_at"),
-        "user_turn_count", "assistant_turn_count", "usage_update_count", "usage", *_FIGURES,
+        "user_turn_count", "assistant_turn_count", "usage_update_count", "usage", *figures,
         token_usage("usage", "llm").alias("llm_token_count"), token_usage("usage", "tts").alias("tts_token_count"),
     )
 
@@ -236,6 +247,7 @@ def last_state(changes: DataFrame) -> DataFrame:
 # --- request queue -------------------------------------------------------------------------------
 
 QUEUE_OUT = schema_of("key string, at_ms long, kind string, request_id string, worker string, lease_until_ms long, desired string")
+_QUEUE_ROW = Row(*QUEUE_OUT.names)
 
 
 class _Queue(StatefulProcessor):
@@ -249,25 +261,20 @@ class _Queue(StatefulProcessor):
         self._state = handle.getValueState("queue", schema_of("queue string"))
 
     def _load(self) -> dict:
-        return json.loads(self._state.get()[0]) if self._state.exists() else {"waiting": [], "leased": None, "last": 0, "desired": None}
+        held = self._state.get()
+        return json.loads(held[0]) if held else {"waiting": [], "leased": None, "last": 0, "desired": None, "due": None}
 
     def _store(self, q: dict) -> None:
-        self._state.update((json.dumps(q),))
-        _due(self._handle, q["leased"]["until"] if q["leased"] else q["last"] + self._keep)
+        due = q["leased"]["until"] if q["leased"] else q["last"] + self._keep
+        _moved(self._handle, q, due)
+        self._state.update((json.dumps(q | {"due": due}),))
 
     @staticmethod
-    def _event(key, at: int, kind: str, request: dict | None, worker: str | None = None, until: int | None = None) -> dict:
+    def _event(key, at: int, kind: str, request: dict | None, worker: str | None = None, until: int | None = None) -> Row:
         r = request or {}
-        return {"key": key[0], "at_ms": at, "kind": kind, "request_id": r.get("id"), "worker": worker, "lease_until_ms": until, "desired": r.get("desired")}
+        return _QUEUE_ROW(key[0], at, kind, r.get("id"), worker, until, r.get("desired"))
 
-    @staticmethod
-    def _out(rows: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=QUEUE_OUT.names)
-        frame["at_ms"] = frame["at_ms"].astype("int64")
-        frame["lease_until_ms"] = frame["lease_until_ms"].astype("Int64")
-        return frame.astype({c: "object" for c in ("key", "kind", "request_id", "worker", "desired")})
-
-    def _expire(self, key, q: dict, now: int, out: list[dict]) -> None:
+    def _expire(self, key, q: dict, now: int, out: list[Row]) -> None:
         """A lease that has ended by ``now`` gives its request back to the front of the line."""
         held = q["leased"]
         if held and held["until"] <= now:
@@ -275,9 +282,9 @@ class _Queue(StatefulProcessor):
             q["waiting"].insert(0, held["request"])
             q["leased"] = None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         q, out = self._load(), []
-        for row in _frame(rows, ["ms", "seq"]).itertuples():
+        for row in _in_order(rows, "ms", "seq"):
             at = int(row.ms)
             self._expire(key, q, at, out)
             q["last"] = max(q["last"], at)
@@ -309,10 +316,11 @@ class _Queue(StatefulProcessor):
                     out.append(self._event(key, at, "done", held["request"], row.worker))
                     q["leased"] = None
         self._store(q)
-        yield self._out(out)
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         q, out, now = self._load(), [], timerValues.getCurrentWatermarkInMs()
+        q["due"] = None  # it has just gone off
         self._expire(key, q, now, out)
         if q["leased"] or q["waiting"] or q["last"] + self._keep > now:
             if q["waiting"] and not q["leased"] and q["last"] + self._keep <= now:
@@ -320,7 +328,7 @@ class _Queue(StatefulProcessor):
             self._store(q)
         else:
             self._state.clear()
-        yield self._out(out)
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -340,6 +348,6 @@ def request_queue(events: DataFrame, lease_ms: int = 60_000, lateness: str = "10
         F.col("key").cast("string").alias("key"), "ts", F.unix_millis("ts").alias("ms"), F.col("seq").cast("long").alias("seq"), "kind",
         *[F.col(c).cast("string").alias(c) for c in ("request_id", "desired", "worker")],
     )
-    return rows.groupBy("key").transformWithStateInPandas(
+    return rows.groupBy("key").transformWithState(
         statefulProcessor=_Queue(lease_ms, keep_ms), outputStructType=QUEUE_OUT, outputMode="Append", timeMode="EventTime"
     )
