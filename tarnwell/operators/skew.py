@@ -35,21 +35,25 @@ BUCKET_ROWS, MOST_BUCKETS = 200_000, 1_024
 def bucketed(df: DataFrame, bucket_on: Column, buckets: int | None = None, name: str = "_bucket") -> tuple[DataFrame, bool]:
     """Add a bucket that rises with a number, and whether there is more than one; nulls lie before all others.
 
-    Without a number of buckets there are as many as ``BUCKET_ROWS`` asks for. Their bounds are quantiles; equal numbers share a bucket.
+    There are as many buckets as ``BUCKET_ROWS`` asks for, and no fewer than ``buckets``. Their bounds are quantiles; equal numbers
+    share a bucket.
     """
-    if buckets is None:
-        buckets = min(MOST_BUCKETS, -(-df.count() // BUCKET_ROWS))
+    buckets = max(buckets or 0, min(MOST_BUCKETS, -(-df.count() // BUCKET_ROWS)))
     if buckets <= 1:
         return df.withColumn(name, F.lit(0)), False
     value = bucket_on.cast("double")
     numbered = df.withColumn("_order", value)
     bounds = sorted(set(numbered.approxQuantile("_order", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    bucket = F.aggregate(
-        F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>"),
-        F.lit(0),
-        lambda acc, b: acc + (F.col("_order") > b).cast("int"),
-    )
-    return numbered.withColumn(name, F.when(F.col("_order").isNull(), -1).otherwise(bucket)).drop("_order"), True
+    return numbered.withColumn(name, F.when(F.col("_order").isNull(), -1).otherwise(_bounds_below("_order", bounds))).drop("_order"), True
+
+
+def _bounds_below(value: str, bounds: Sequence[float], at: int = 0) -> Column:
+    """``at`` and how many of the sorted bounds lie below a value: halved, so a thousand bounds are ten comparisons."""
+    if not bounds:
+        return F.lit(at)
+    middle = len(bounds) // 2
+    above = _bounds_below(value, bounds[middle + 1 :], at + middle + 1)
+    return F.when(F.col(value) > float(bounds[middle]), above).otherwise(_bounds_below(value, bounds[:middle], at))
 
 
 def same_keys(keys: Sequence[str]) -> tuple[list[Column], Column]:
