@@ -47,6 +47,15 @@ def bucketed(df: DataFrame, bucket_on: Column, buckets: int | None = None, name:
     return numbered.withColumn(name, F.when(F.col("_order").isNull(), -1).otherwise(_bounds_below("_order", bounds))).drop("_order"), True
 
 
+def dealt_evenly(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """The ``rows`` rows of a frame by keys and bucket, in no fewer tasks than ``BUCKET_ROWS`` asks for.
+
+    Partitions of a shuffle of Spark's own are merged by their compressed bytes, and rows that compress well then make one huge task.
+    """
+    at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(at_least, -(-rows // BUCKET_ROWS)), *keys, "_bucket")
+
+
 def _bounds_below(value: str, bounds: Sequence[float], at: int = 0) -> Column:
     """``at`` and how many of the sorted bounds lie below a value: halved, so a thousand bounds are ten comparisons."""
     if not bounds:

@@ -16,7 +16,7 @@ from tarnwell import schemas
 from tarnwell.functions.jsonops import json_merge, json_object, safe_json_object, with_external_id
 from tarnwell.functions.phones import call_end_status, is_uuid, phone_if_sip
 from tarnwell.operators.ranking import latest_per_key
-from tarnwell.operators.skew import bucketed, same_keys
+from tarnwell.operators.skew import bucketed, dealt_evenly, same_keys
 from tarnwell.session import materialise
 from tarnwell.sources.store import Affected, Change, Store, TableSpec
 
@@ -314,6 +314,9 @@ def _judge_requests(told: DataFrame, order: str, buckets: int | None) -> DataFra
     behind are fixed. These functions are composed along the buckets of a key, and each bucket is told the state that it meets.
     """
     rows, several = bucketed(told, F.col(order).cast("double"), buckets)
+    if several:
+        n = told.count()
+        rows = dealt_evenly(rows, DEPLOYMENT_KEY, n)
     turn = W.partitionBy(*DEPLOYMENT_KEY, "_bucket").orderBy(F.col(order), F.col("desired_state"), F.col("requested_by"))
     rows = rows.withColumn("_place", F.row_number().over(turn)).withColumn("_lag", F.lag("desired_state").over(turn))
     inner = (F.col("_place") > 1) & ~(F.col("_lag").isNotNull() & (F.col("_lag").eqNullSafe(F.col("desired_state"))))
@@ -334,7 +337,7 @@ def _judge_requests(told: DataFrame, order: str, buckets: int | None) -> DataFra
         steps = steps.withColumn("_moved", moved).select(
             *named, "_met", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_turns"), F.coalesce(F.max("_moved").over(earlier), F.lit(0)).alias("_before")
         )
-        rows = rows.join(steps, same)
+        rows = dealt_evenly(rows.join(steps, same), DEPLOYMENT_KEY, n)
     else:
         rows = rows.withColumn("_met", stored).withColumn("_turns", F.lit(0)).withColumn("_before", F.lit(0))
     under_way = F.when(F.col("_place") == 1, F.col("_met")).otherwise(F.col("_lag"))

@@ -121,3 +121,28 @@ def test_a_given_number_of_buckets_is_the_least(spark, monkeypatch):
     bounds = [3.0, 7.0, 7.5, 100.0]
     got = spark.createDataFrame([(v,) for v in (2.0, 3.0, 3.5, 7.2, 100.0, 101.0, float("nan"))], "v double").select("v", skew._bounds_below("v", bounds).alias("b")).collect()
     assert [r["b"] for r in got] == [0, 0, 1, 2, 3, 4, 4]
+
+
+def test_requests_of_one_key_are_dealt_into_tasks_of_bounded_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tarnwell import schemas
+    from tarnwell.operators import skew
+    from tarnwell.plans import state as st
+
+    monkeypatch.setattr(skew, "BUCKET_ROWS", 500)
+    n = 20_000
+    wanted = F.when(F.col("id") % 7 == 0, "deleted").otherwise("deployed")
+    told = spark.range(n).select(
+        F.lit("a").alias("agent_name"), F.lit("x").alias("namespace"), F.lit("main").alias("deployment_name"), wanted.alias("desired_state"),
+        F.lit("me").alias("requested_by"), F.lit("img").alias("image"), F.col("id").alias("arrived"),
+    )
+    stored = spark.createDataFrame([], schemas.DEPLOYMENTS)
+    nxt, events = st.enqueue_requests(stored, told, F.lit("2024-01-01").cast("timestamp"), buckets=2)
+    states = ["deleted" if i % 7 == 0 else "deployed" for i in range(n)]
+    want = 1 + sum(a != b for a, b in zip(states, states[1:]))
+    assert events.where("event_type = 'request_enqueued'").count() == want and events.count() == n
+    assert [r["desired_state"] for r in nxt.collect()] == [states[-1]]
+    judged = st._judge_requests(told.withColumn("_workflow", F.lit(None).cast("string")).withColumn("_desired", F.lit(None).cast("string")), "arrived", 2)
+    sizes = [r["n"] for r in judged.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == n and max(sizes) < n // 4  # half of the rows in one task before
