@@ -108,12 +108,13 @@ def keyword_lists(keywords: DataFrame, root: str) -> VectorLists:
     return build_lists(keyword_terms(keywords), root)
 
 
-def _documents_of_best(s: RetrievalSettings, fused: bool):
+def _documents_of_best(s: RetrievalSettings, fused: bool, most: int | None):
     """Kernel step: of the best rows of a (unit, shard) the best one of each document, boosted, with its flags.
 
     Texts come folded (``_text``, ``_term``, ``_topic``), so they are only compared. With ``fused`` those rows are left out that cannot
     be among the first ``_top_k`` of the fused signals: what other signals found (``_beside``) stays, and so do the least and the
     greatest distance, which scale the others; of the rest, which score by their distance alone, as many as are asked for, and ties.
+    With ``most`` only so many documents of a (unit, shard) are given, the nearest.
     """
 
     def change(*columns: pa.ChunkedArray) -> np.ndarray:
@@ -149,6 +150,11 @@ def _documents_of_best(s: RetrievalSettings, fused: bool):
             doc = docs[r]
             order = np.lexsort((rank, boosted, doc, q))
             kept = order[np.append(True, (q[order][1:] != q[order][:-1]) | (doc[order][1:] != doc[order][:-1]))]
+            if most is not None:
+                kept = kept[np.lexsort((doc[kept], boosted[kept], cells[r[kept]], q[kept]))]
+                cell = cells[r[kept]]
+                first = np.maximum.accumulate(np.where(np.append(True, (q[kept][1:] != q[kept][:-1]) | (cell[1:] != cell[:-1])), np.arange(len(kept)), 0))
+                kept = kept[np.arange(len(kept)) - first < most]
             if fused:
                 hit = np.fromiter((j in hits[i] for i, j in zip(q[kept].tolist(), doc[kept].tolist())), bool, len(kept))
                 top_k = queries.column("_top_k").to_numpy()[q[kept]]
@@ -185,22 +191,24 @@ def _may_be_fused_first(s: RetrievalSettings, q, cell, hit, top_k, distance, exa
 
 def vector_search(
     units: DataFrame, keywords: DataFrame, settings: RetrievalSettings = RETRIEVAL, lists: VectorLists | None = None, probes: int | None = None,
-    beside: DataFrame | None = None,
+    beside: DataFrame | None = None, most: int | None = None,
 ) -> DataFrame:
     """Boosted distance of the nearest documents per (unit, shard).
 
     With stored ``lists`` the nearest rows of a unit are taken over all shards together, so what comes out is bounded per unit
     whatever the number of shards; ``probes`` lists are looked into at most (see ``search_lists``), all that can matter if not given.
     Without lists, ``beside`` (unit_id, shard_id, kbid of what other signals found) leaves out rows that cannot be among the first
-    ``top_k`` of a (unit, shard) when the signals are fused.
+    ``top_k`` of a (unit, shard) when the signals are fused. With ``most`` a (unit, shard) gives so many documents, its nearest.
     """
+    if beside is not None and most is not None:
+        raise ValueError("the fusion needs the whole range of distances")
     limited = units.select(
         "unit_id", "kind", "embedding",
         search_limit("top_k", "category", settings.oversample, settings.category_oversample).alias("fetch"),
     )
     # Units that share an id are told apart by nothing: their rows are put together after the search.
     if lists is None and units.groupBy("unit_id").count().where("count > 1").isEmpty():
-        return _refined_search(units, limited, keyword_terms(keywords), settings, beside)
+        return _refined_search(units, limited, keyword_terms(keywords), settings, beside, most)
     if lists is not None:
         found = search_lists(lists, limited, "unit_id", ["kbid", "term"], "fetch", probes, match=["kind"])
     else:
@@ -216,10 +224,11 @@ def vector_search(
         exact.alias("vector_exact_match"),
         phrase.alias("vector_phrase_match"),
     )
-    return best_per_doc(boosted, ["unit_id", "shard_id", "kbid"], "vector_distance", ["rank"], True).drop("rank")
+    best = best_per_doc(boosted, ["unit_id", "shard_id", "kbid"], "vector_distance", ["rank"], True).drop("rank")
+    return best if most is None else top_n(best, ["unit_id", "shard_id"], [F.asc("vector_distance"), F.asc("kbid")], most)
 
 
-def _refined_search(units: DataFrame, limited: DataFrame, terms: DataFrame, settings: RetrievalSettings, beside: DataFrame | None) -> DataFrame:
+def _refined_search(units: DataFrame, limited: DataFrame, terms: DataFrame, settings: RetrievalSettings, beside: DataFrame | None, most: int | None) -> DataFrame:
     """``vector_search`` of units with ids of their own: a shard lies in one task, so documents are put together where they are found."""
     blank = F.lit("")
     told = units.where(F.col("unit_id").isNotNull()).select(
@@ -237,7 +246,7 @@ def _refined_search(units: DataFrame, limited: DataFrame, terms: DataFrame, sett
         + [T.StructField(c, T.DoubleType()) for c in ("vector_distance_raw", "vector_distance")]
         + [T.StructField(c, T.BooleanType()) for c in ("vector_exact_match", "vector_phrase_match")]
     )
-    refine = Refinement(_documents_of_best(settings, beside is not None), schema, beside)
+    refine = Refinement(_documents_of_best(settings, beside is not None, most), schema, beside)
     return knn_join(asked, rows, "unit_id", ["kbid", "term"], "fetch", match=["kind"], cell="shard_id", refine=refine)
 
 
@@ -248,6 +257,11 @@ def merge_shards(found: DataFrame, value: str, smallest: bool, top_k: int | None
     return top_n(best, ["unit_id"], order, top_k) if top_k else best
 
 
+def vector_search_all(units: DataFrame, keywords: DataFrame, top_k: int, settings: RetrievalSettings = RETRIEVAL) -> DataFrame:
+    """The nearest ``top_k`` documents per unit over all shards: each is among the nearest of the shard that has it best."""
+    return merge_shards(vector_search(units, keywords, settings, most=top_k), "vector_distance", True, top_k)
+
+
 #: Labels of the searched columns of a keyword row, in the order in which their words are numbered.
 KEYWORD_FIELDS = {
     "specific_keyword": KEYWORD_LABELS["specific"],

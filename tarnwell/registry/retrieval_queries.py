@@ -143,8 +143,7 @@ def vector_search(spark: SparkSession, sf: str) -> DataFrame:
       FROM vec GROUP BY unit_id, kbid) WHERE r <= 8""",
 )
 def merge_vector_shards(spark: SparkSession, sf: str) -> DataFrame:
-    found = rt.vector_search(_units(spark, sf), _keywords(spark, sf))
-    best = rt.merge_shards(found, "vector_distance", True, 8)
+    best = rt.vector_search_all(_units(spark, sf), _keywords(spark, sf), 8)
     return best.select("unit_id", "kbid", F.round("vector_distance", 6).alias("vector_distance"))
 
 

@@ -68,3 +68,11 @@ def test_rows_that_cannot_be_first_stay_where_they_are(spark):
     assert few.count() < whole.count()
     want = first(whole)
     assert _rows(first(few).select(*want.columns)) == _rows(want) != []
+
+
+def test_the_nearest_over_all_shards_need_few_of_each(spark):
+    keywords, units = _keywords(spark), _units(spark)
+    want = rt.merge_shards(rt.vector_search(units, keywords), "vector_distance", True, 3)
+    assert _rows(rt.vector_search_all(units, keywords, 3).select(*want.columns)) == _rows(want) != []
+    per_shard = rt.vector_search(units, keywords, most=3).groupBy("unit_id", "shard_id").count()
+    assert per_shard.agg(F.max("count")).first()[0] == 3
