@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,28 +11,38 @@ from tarnwell.operators.skew import ordered_positions
 from tarnwell.settings import INDEX
 
 
+def _block(position: Column, size: int) -> Column:
+    return F.floor((position - 1) / F.lit(size))
+
+
+def _slot_ranges(room: DataFrame, size: int) -> DataFrame:
+    """(kb_collection_id, shard_id, slot_start, slot_end, _block): the positions that fill a shard's free slots, a row for each block touched."""
+    by_shard = W.partitionBy("kb_collection_id").orderBy("shard_id")
+    ends = room.where(F.col("free") > 0).withColumn("slot_end", F.sum("free").over(by_shard)).withColumn("slot_start", F.col("slot_end") - F.col("free") + 1)
+    blocks = F.sequence(_block(F.col("slot_start"), size), _block(F.col("slot_end"), size))
+    return ends.select("kb_collection_id", "shard_id", "slot_start", "slot_end", F.explode(blocks).alias("_block"))
+
+
 def assign_shards(docs: DataFrame, registry: DataFrame, key: str = "doc_id", order_value=None, max_size: int = INDEX.shard_size) -> DataFrame:
     """Give every new document a shard: lowest shard with room first, then new shards.
 
     ``docs``: kb_collection_id and ``key`` (``order_value``: a number rising with the key, by
     default the key itself); ``registry``: kb_collection_id, shard_id, doc_count, max_shard_size.
     Only shards with room are kept in the running sum, full ones never reach it. Documents are numbered per collection in key order without gathering a collection in one
-    task. Overflow shards follow by arithmetic, only the open slots need a join: the slots
-    become blocks of positions, so a document finds its block by an equi-join.
+    task. Overflow shards follow by arithmetic, only the open slots need a join: a shard's slots
+    are a range of positions, told once for each block of ``max_size`` positions that it touches, so a document meets the ranges of
+    its block by an equi-join. What is joined has some two rows a shard with room, however many slots are free.
     """
     value = F.col(key).cast("double") if order_value is None else order_value
     placed = ordered_positions(docs, ["kb_collection_id"], [value, F.col(key)], value, "position")
-    by_shard = W.partitionBy("kb_collection_id").orderBy("shard_id")
     room = registry.withColumn("free", F.greatest(F.lit(0), F.col("max_shard_size") - F.col("doc_count")))
-    slots = (
-        room.where(F.col("free") > 0)
-        .withColumn("slot_end", F.sum("free").over(by_shard))
-        .select("kb_collection_id", "shard_id", F.explode(F.sequence(F.col("slot_end") - F.col("free") + 1, F.col("slot_end"))).alias("position"))
-    )
+    slots = _slot_ranges(room, max_size)
     totals = room.groupBy("kb_collection_id").agg(
         F.sum("free").alias("total_free"), F.max("shard_id").alias("last_shard")
     )
-    joined = placed.join(totals, "kb_collection_id", "left").join(slots, ["kb_collection_id", "position"], "left")
+    told = placed.join(totals, "kb_collection_id", "left").withColumn("_block", _block(F.col("position"), max_size)).alias("d")
+    same = [F.col(f"d.{c}") == F.col(f"s.{c}") for c in ("kb_collection_id", "_block")] + [F.col("d.position").between(F.col("s.slot_start"), F.col("s.slot_end"))]
+    joined = told.join(slots.alias("s"), same, "left").select("d.*", "s.shard_id").drop("_block")
     overflow = (
         F.coalesce(F.col("last_shard"), F.lit(-1)) + 1
         + F.floor((F.col("position") - F.coalesce("total_free", F.lit(0)) - 1) / F.lit(max_size))

@@ -427,3 +427,16 @@ def test_collections_may_use_the_same_keys(spark):
     assert rows(again.summaries, "kb_collection_id", "doc_id") == [("", "KB2"), ("c1", "KB1")]
     assert rows(again.diff, "kb_collection_id", "label") == [("", "updated"), ("c1", "unchanged"), ("c2", "deleted")]
     assert {r["kb_collection_id"] for r in again.keywords.select("kb_collection_id").distinct().collect()} == {"", "c1"}
+
+
+def test_free_slots_are_ranges(spark):
+    """A registry with room for very many documents is not told slot by slot."""
+    registry = spark.createDataFrame([("c", i, i % 3, 40_000) for i in range(200)] + [("d", 7, 0, 3)], "kb_collection_id string, shard_id int, doc_count int, max_shard_size int")
+    docs = spark.createDataFrame([("c", i) for i in range(1, 50_001)] + [("d", i) for i in range(1, 9)], "kb_collection_id string, doc_id long")
+    placed = shards.assign_shards(docs, registry, max_size=4)
+    assert rows(placed.where("kb_collection_id = 'd'"), "doc_id", "shard_id") == [(i, 7 if i <= 3 else 8 if i <= 7 else 9) for i in range(1, 9)]
+    assert rows(placed.where("kb_collection_id = 'c'").groupBy("shard_id").count(), "shard_id", "count") == [(0, 40_000), (1, 10_000)]
+    ranges = shards.assign_shards(docs, registry, max_size=200)
+    assert rows(ranges, "kb_collection_id", "doc_id") == rows(docs, "kb_collection_id", "doc_id")
+    room = registry.withColumn("free", F.col("max_shard_size") - F.col("doc_count"))
+    assert shards._slot_ranges(room, 40_000).count() <= 2 * registry.count()
