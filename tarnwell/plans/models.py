@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,14 +53,12 @@ def hash_embedder(dim: int = INDEX.vector_dim) -> Embedder:
         return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dim
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
         found = [_WORD.findall(text.lower()) for text in texts]
-        known = {word: slot(word) for words in found for word in set(words)}  # of one batch
-        for i, words in enumerate(found):
-            slots = [known[w] for w in words]
-            if slots:
-                out[i] = np.bincount(slots, minlength=dim)
-        return out
+        words = list(chain.from_iterable(found))
+        known = {word: slot(word) for word in set(words)}  # of one batch
+        slots = np.fromiter((known[w] for w in words), np.int64, len(words))
+        rows = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        return np.bincount(rows * dim + slots, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float32)
 
     return embed
 

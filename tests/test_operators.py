@@ -440,3 +440,14 @@ def test_free_slots_are_ranges(spark):
     assert rows(ranges, "kb_collection_id", "doc_id") == rows(docs, "kb_collection_id", "doc_id")
     room = registry.withColumn("free", F.col("max_shard_size") - F.col("doc_count"))
     assert shards._slot_ranges(room, 40_000).count() <= 2 * registry.count()
+
+
+def test_a_word_of_a_batch_is_hashed_once(monkeypatch):
+    from tarnwell.plans import models
+
+    asked = []
+    real = models.hashlib.md5
+    monkeypatch.setattr(models.hashlib, "md5", lambda b: asked.append(b) or real(b))
+    found = hash_embedder(16)(["one two one", "", "two", "ONE"])
+    assert sorted(asked) == [b"one", b"two"] and found.sum(axis=1).tolist() == [3, 0, 1, 1] and found.dtype == np.float32
+    assert hash_embedder(16)([]).shape == (0, 16)
