@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tarnwell.operators.ranking import top_n
@@ -13,23 +17,46 @@ MARGIN_SHARE = 0.08
 MIN_IMAGE_SIDE = 50.0
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _line_numbers(heights: pa.Array, tolerance: pa.Array) -> pa.Array:
+    """The number of the line of each word of a page, from 1 by height; 0 for a word without a height."""
+    found = np.zeros(len(heights.flatten()), np.int32)
+    at = 0
+    for page, far in zip(heights, tolerance.to_pylist()):
+        held = np.arange(at, at + len(page.values))
+        at += len(held)
+        held = held[pc.is_valid(page.values).to_numpy(zero_copy_only=False)]
+        ys = page.values.drop_null().to_numpy(zero_copy_only=False)
+        places = np.unique(ys)
+        anchors, low = [], None
+        for place, whole in zip(places.tolist(), np.clip(np.nan_to_num(np.floor(places), posinf=np.inf, neginf=-np.inf), -(2.0**63), 2.0**63).tolist()):
+            # No number is a height above all others.
+            if low is None or place != place or place - low >= far:
+                anchors.append(place)
+                low = whole
+        found[held] = np.searchsorted(anchors, ys, side="right")
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(pc.list_value_length(heights).to_numpy())), pa.int32()), pa.array(found))
+
+
 def words_to_lines(words: DataFrame, keys: list[str], tolerance: float = 5.0) -> DataFrame:
     """Words (keys, x, y, text) grouped into lines; a line has mean y and least x.
 
     A word belongs to the line above it if it lies less than ``tolerance`` below the whole part of the line's first
-    word; a line does not drift with its words. The words of one page meet in one task.
+    word; a line does not drift with its words. The words of one page meet in one task, where its cost grows with their number.
     """
-    pages = words.groupBy(*keys).agg(F.array_sort(F.collect_set("y")).alias("_ys"), F.collect_list(F.struct("x", "y", "text")).alias("_words"))
-    anchors = F.aggregate(
-        "_ys", F.array().cast("array<double>"),
-        lambda acc, y: F.when((F.size(acc) == 0) | (y - F.floor(F.element_at(acc, F.when(F.size(acc) == 0, 1).otherwise(-1))) >= tolerance), F.concat(acc, F.array(y.cast("double")))).otherwise(acc),
-    )
-    placed = pages.withColumn("_anchors", anchors).select(*keys, "_anchors", F.explode("_words").alias("_w")).select(*keys, "_w.*", "_anchors")
-    numbered = placed.withColumn("_line", F.size(F.filter("_anchors", lambda a: a <= F.col("y"))))
-    return numbered.groupBy(*keys, "_line").agg(
-        F.avg("y").alias("y"), F.min("x").alias("x"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "text"))), lambda w: w["text"]), " ").alias("content"),
-    ).drop("_line")
+    pages = words.groupBy(*keys).agg(F.collect_list(F.struct("x", F.col("y").cast("double").alias("y"), "text")).alias("_words"))
+    heights = F.transform("_words", lambda w: w["y"])
+    numbered = pages.withColumn("_lines", _line_numbers(heights, F.lit(float(tolerance))))
+    placed = F.zip_with("_lines", "_words", lambda n, w: F.struct(n.alias("line"), w["x"].alias("x"), w["y"].alias("y"), w["text"].alias("text")))
+    # Sorted by line and then as a line is read, so a line is a slice that begins where the number changes.
+    ordered = numbered.select(*keys, F.sort_array(placed).alias("_words"))
+    begins = F.filter(F.transform("_words", lambda w, i: F.when((i == 0) | (w["line"] != F.get("_words", i - 1)["line"]), i + 1)), lambda i: i.isNotNull())
+    cut = ordered.withColumn("_begins", begins)
+    slices = F.transform("_begins", lambda b, k: F.slice("_words", b, F.coalesce(F.get("_begins", k + 1), F.size("_words") + 1) - b))
+    lines = cut.select(*keys, F.explode(slices).alias("_line"))
+    ys = F.filter(F.col("_line.y"), lambda y: y.isNotNull())
+    mean = F.when(F.size(ys) > 0, F.aggregate(ys, F.lit(0.0), lambda acc, y: acc + y) / F.size(ys))
+    return lines.select(*keys, mean.alias("y"), F.array_min("_line.x").alias("x"), F.array_join("_line.text", " ").alias("content"))
 
 
 def filter_margin_images(images: DataFrame, margin: float = MARGIN_SHARE, min_side: float = MIN_IMAGE_SIDE) -> DataFrame:

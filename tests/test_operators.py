@@ -324,6 +324,38 @@ def test_lines_do_not_drift(spark):
     assert sorted(r["content"] for r in layout.words_to_lines(steps, ["page"]).collect()) == ["w0 w1", "w2 w3", "w4 w5"]
 
 
+def test_a_line_costs_its_own_words_only(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    from tarnwell.operators import layout
+
+    n = 20_000
+    page = spark.range(0, n, 1, 1).select(F.lit("p").alias("page"), F.lit(0.0).alias("x"), (F.col("id") * 10.0).alias("y"), F.concat(F.lit("w"), "id").alias("text"))
+    layout.words_to_lines(page.limit(10), ["page"]).collect()
+    start = time.perf_counter()
+    got = layout.words_to_lines(page, ["page"]).collect()
+    # Words that carry and search all lines of their page took several times as long.
+    assert time.perf_counter() - start < 12
+    assert sorted((r["y"], r["x"], r["content"]) for r in got) == [(i * 10.0, 0.0, f"w{i}") for i in range(n)]
+
+
+def test_lines_of_words_without_a_place_and_of_equal_places(spark):
+    from tarnwell.operators import layout
+
+    nan, inf = math.nan, math.inf
+    rows = [
+        (None, 1.0, None, "c"), (None, None, None, "b"), (None, 2.0, None, None), (None, 3.0, 7.9, "e"), (None, 3.0, 11.9, "d"), (None, 3.0, 7.9, "d"), (None, None, 12.0, "f"),
+        ("a", nan, 1.0, "z"), ("a", 2.0, 1.0, "y"), ("a", 1.0, nan, "n"), ("a", 0.0, inf, "i"), ("a", 5.0, -inf, "j"), ("a", 4.0, -0.0, "q"), ("b", None, None, None),
+    ]
+    got = layout.words_to_lines(spark.createDataFrame(rows, "page string, x double, y double, text string"), ["page"]).collect()
+    want = [
+        (None, None, 1.0, "b c"), (None, 9.233333, 3.0, "d e d"), (None, 12.0, None, "f"), ("a", -inf, 5.0, "j"), ("a", 0.333333 * 2, 2.0, "y q z"), ("a", inf, 0.0, "i"),
+        ("a", nan, 1.0, "n"), ("b", None, None, ""),
+    ]
+    assert sorted(str((r["page"], r["y"] if r["y"] is None else round(r["y"], 5), r["x"], r["content"])) for r in got) == sorted(str((p, y if y is None else round(y, 5), x, c)) for p, y, x, c in want)
+
+
 def test_numbers_at_any_depth_and_null_keys(spark):
     from tarnwell.functions import jsonops as js
     from tarnwell.operators import skew
