@@ -143,3 +143,13 @@ def test_best_place_is_that_of_all_ratios_with_few_of_them(monkeypatch):
             assert fuzzy.best_place(asked, texts, overlaps) == (None if want is None else -want)
         offered += len(texts)
     assert len(seen) < offered * 0.7
+
+
+def test_letters_are_counted_only_where_lengths_leave_a_text_open(monkeypatch):
+    from tarnwell.functions import fuzzy
+
+    counted, counter = [], fuzzy.Counter
+    monkeypatch.setattr(fuzzy, "Counter", lambda text: counted.append(text) or counter(text))
+    assert fuzzy.best_place("ab", ["b" * 50], [0.0]) == 0 and not counted
+    assert fuzzy.best_place("abc", ["x" * 300] * 40 + ["abc"] + ["y" * 300] * 40, [0.0] * 40 + [1.0] + [0.0] * 40) == 40
+    assert len(counted) <= 2

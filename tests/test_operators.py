@@ -317,6 +317,14 @@ def test_snippets_are_the_best_passages(spark):
         assert got[i] == (parts[-max(scored)[1]] if scored and words(asked) else body)[:50], i
 
 
+def test_a_passage_is_split_into_words_once(spark):
+    from tarnwell.plans.retrieval import best_snippets
+
+    rows = best_snippets(spark.createDataFrame([(1, "one two", "two")], "k int, b string, q string"), "b", "q")
+    # Once for the passages and once for the question.
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]+") == 2
+
+
 def test_lines_do_not_drift(spark):
     from tarnwell.operators import layout
 
