@@ -275,7 +275,9 @@ def _match_required(index: TextIndex, clauses: DataFrame, query_id: str, hits: b
     asked = F.array_union("terms", no_phrase_words)
     needed = candidates.join(look.select(*of, F.explode(asked).alias("token")), of)
     pairs = materialise(needed.select("token", "doc").distinct(), "fts-needed")
-    evidence = materialise(postings.drop("bucket").join(pairs, ["token", "doc"]), "fts-evidence")
+    # The pairs may be too many to broadcast; then the postings of wanted tokens are sent, not those of all tokens in their buckets.
+    asked_for = postings.drop("bucket").join(words, "token", "left_semi")
+    evidence = materialise(asked_for.join(pairs, ["token", "doc"]), "fts-evidence")
     shown = needed.join(evidence, ["token", "doc"]).groupBy(*of, "doc").agg(
         F.map_from_entries(F.collect_list(F.struct("token", F.struct("positions", "labels")))).alias("_at")
     )

@@ -147,3 +147,14 @@ def test_words_are_intersected_in_blocks_and_slices_and_query_ids_may_repeat(spa
         assert ("hits" in rows.columns) == hits
         got = [(r.q, r.doc_id) for r in rows.select("q", "doc_id").collect()]
         assert set(got) == want and got.count((7, min(d for q, d in want if q == 7))) == 2
+
+
+def test_positions_of_wanted_words_alone_are_sent(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"quick fox w{i} v{i}") for i in range(40)], "id int, body string")
+    index = textindex.build_index(docs, str(tmp_path / "i"), ["id"], {"body": "B"}, buckets=1)
+    asked = spark.createDataFrame([(1, "quick w7"), (2, '"fox w9"')], "q int, text string")
+    plans, write = {}, textindex.materialise
+    monkeypatch.setattr(textindex, "materialise", lambda df, name, *a: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, name, *a))
+    found = textindex.match_index(index, fulltext.search_clauses(asked, "q", "text"), "q")
+    assert sorted((r["q"], r["id"]) for r in found.collect()) == [(1, 7), (2, 9)]
+    assert "Join LeftSemi" in plans["fts-evidence"]
