@@ -258,7 +258,10 @@ def sync_job(
     seed: int = 7,
     settings: IndexSettings = INDEX,
 ) -> SyncResult:
-    """``sync_changes`` applied to whole frames; ``run_sync`` commits them to a store instead."""
+    """``sync_changes`` applied to whole frames; ``run_sync`` commits them to a store instead.
+
+    The next tables are written whole, so the rows that go, stay and come are made whichever of them the caller reads.
+    """
     state = summaries.select(F.col("doc_id").alias("doc_key"), "kb_collection_id", "shard_id", "updated_at")
     done = sync_changes(source, state, registry, extract, embed, sample, seed, settings)
     keys = done.gone.select(F.col("kb_collection_id").alias("_collection"), F.col("doc_key").alias("_key"))
@@ -268,9 +271,9 @@ def sync_job(
         return table.join(keys, same, "left_anti")
 
     return SyncResult(
-        without_gone(keywords, "kbid").unionByName(done.keywords, allowMissingColumns=True),
-        without_gone(summaries, "doc_id").unionByName(done.summaries, allowMissingColumns=True),
-        done.registry, done.outcomes, done.diff,
+        materialise(without_gone(keywords, "kbid").unionByName(done.keywords, allowMissingColumns=True), "sync-keywords"),
+        materialise(without_gone(summaries, "doc_id").unionByName(done.summaries, allowMissingColumns=True), "sync-summaries"),
+        materialise(done.registry, "sync-registry"), done.outcomes, done.diff,
     )
 
 

@@ -361,7 +361,7 @@ def trace_details(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sync_job")
 def sync_job(spark: SparkSession, sf: str) -> DataFrame:
-    """A whole sync of the documents against an index that holds the labelled ones."""
+    """A whole sync of the documents against an index that holds the labelled ones: articles by outcome, and rows of each table after it."""
     state = index_state(spark, sf).join(
         table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.col("source").alias("kb_collection_id")), "doc_key"
     )
@@ -370,7 +370,10 @@ def sync_job(spark: SparkSession, sf: str) -> DataFrame:
     registry = state.groupBy("kb_collection_id", "shard_id").agg(F.count(F.lit(1)).cast("int").alias("doc_count")).withColumn("max_shard_size", F.lit(200))
     source = source_documents(spark, sf).withColumn("number", F.lit(None).cast("string")).withColumn("name", F.lit("plain"))
     out = ix.sync_job(source, keywords, summaries, registry)
-    return out.outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    counts = out.outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    for name, after in (("keywords", out.keywords), ("summaries", out.summaries), ("registry", out.registry)):
+        counts = counts.unionByName(after.agg(F.lit(f"rows of {name}").alias("outcome"), F.count(F.lit(1)).alias("n")))
+    return counts
 
 
 @query(

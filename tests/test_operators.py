@@ -469,6 +469,23 @@ def test_collections_may_use_the_same_keys(spark):
     assert {r["kb_collection_id"] for r in again.keywords.select("kb_collection_id").distinct().collect()} == {"", "c1"}
 
 
+def test_a_sync_makes_all_rows_of_its_tables(spark):
+    """The next tables are made by the sync itself, not left to who reads them; rows that go are not in them."""
+    def articles(*keys):
+        at = spark.createDataFrame([(k, k, f"Printer {k} needs the Network Driver to be installed first.") for k in keys], "id string, number string, content string")
+        return at.select("*", F.lit("c1").alias("knowledgebase_collection_id"), F.lit("plain").alias("name"), F.timestamp_seconds(F.lit(1)).alias("updated_at"), F.lit(False).alias("is_deleted"), F.lit("o").alias("org_id"))
+
+    held = [spark.createDataFrame([("c1", "KB9")], f"kb_collection_id string, {key} string") for key in ("kbid", "doc_id")]
+    state = [schemas.align(held[0], schemas.KB_KEYWORDS), schemas.align(held[1].withColumn("shard_id", F.lit(0)), schemas.KB_SUMMARIES)]
+    registry = spark.createDataFrame([("c1", 0, 1, 200)], "kb_collection_id string, shard_id int, doc_count int, max_shard_size int")
+    done = ix.sync_job(articles("KB1", "KB2"), *state, registry)
+    for table in (done.keywords, done.summaries, done.registry):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and "Join" not in plan
+    assert rows(done.summaries, "doc_id") == [("KB1",), ("KB2",)] and {r["kbid"] for r in done.keywords.collect()} == {"KB1", "KB2"}
+    assert rows(done.registry, "doc_count") == [(2,)]
+
+
 def test_free_slots_are_ranges(spark):
     """A registry with room for very many documents is not told slot by slot."""
     registry = spark.createDataFrame([("c", i, i % 3, 40_000) for i in range(200)] + [("d", 7, 0, 3)], "kb_collection_id string, shard_id int, doc_count int, max_shard_size int")
