@@ -76,3 +76,22 @@ def test_the_nearest_over_all_shards_need_few_of_each(spark):
     assert _rows(rt.vector_search_all(units, keywords, 3).select(*want.columns)) == _rows(want) != []
     per_shard = rt.vector_search(units, keywords, most=3).groupBy("unit_id", "shard_id").count()
     assert per_shard.agg(F.max("count")).first()[0] == 3
+
+
+def test_the_winners_of_all_shards_are_told(spark):
+    """Every shard with candidates has a winner, its best candidate where none has a summary; all are in the result, by shard."""
+    keywords = spark.createDataFrame(
+        [("a", 0, "reset token", "vpn"), ("b", 0, "reset", "vpn"), ("c", 1, "reset token now", "vpn"), ("d", 2, "reset token", "vpn"), ("e", 2, "other", "vpn")],
+        "kbid string, shard_id int, usecase string, primary_topic string",
+    )
+    empty = {c: F.lit(None).cast("string") for c, _ in rt.KIND_COLUMNS.values() if c != "usecase"} | {v: F.lit(None).cast("array<float>") for _, v in rt.KIND_COLUMNS.values() if v != "usecase_embedding"}
+    keywords = embed_terms(keywords, "usecase", name="usecase_embedding").withColumns(empty | {"category": F.lit("Software"), "article_type": F.lit("How-To")})
+    blank = {c: F.lit("") for c in ("primary_intent", "query_triggers", "secondary_mentions", "summary", "content")}
+    summaries = spark.createDataFrame([("a", 0, "other"), ("b", 0, "reset token"), ("c", 1, "reset")], "doc_id string, shard_id int, article_title string").withColumns(blank)
+    queries = spark.createDataFrame([(1, "reset token", ["reset token"]), (2, "", [])], "query_id long, raw_query string, usecase array<string>")
+    queries = queries.withColumns({c: F.array().cast("array<string>") for c in ("specific", "generic", "search_phrases", "acronyms")} | {"category": F.lit("both")})
+    out = rt.two_level_select(queries, keywords, summaries, lambda df, text: embed_terms(df, text))
+    by_shard = {(r["query_id"], r["shard_id"]): r["kbid"] for r in out["shard_winners"].collect()}
+    got = {r["query_id"]: r["shard_winners"] for r in out["selected"].collect()}
+    # No document of shard 2 has a summary.
+    assert got == {1: [by_shard[1, 0], "c", "d"], 2: None} and set(by_shard) == {(1, 0), (1, 1)}
