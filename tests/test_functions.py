@@ -153,3 +153,23 @@ def test_letters_are_counted_only_where_lengths_leave_a_text_open(monkeypatch):
     assert fuzzy.best_place("ab", ["b" * 50], [0.0]) == 0 and not counted
     assert fuzzy.best_place("abc", ["x" * 300] * 40 + ["abc"] + ["y" * 300] * 40, [0.0] * 40 + [1.0] + [0.0] * 40) == 40
     assert len(counted) <= 2
+
+
+def test_alike_letters_are_those_of_difflib_and_a_text_is_placed_once(monkeypatch):
+    import difflib
+    import random
+
+    from tarnwell.functions import fuzzy
+
+    rng = random.Random(5)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abc ", "abcdefghij  klmnop", "etaoin shrdlu cmfwyp"])
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(6)]
+        a, b = (" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 30, 60]))) for _ in range(2))
+        assert fuzzy.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+    assert fuzzy.ratio("x", "y") == 0 and fuzzy.ratio("same", "same") == 1 and fuzzy.ratio("", "y") == fuzzy.ratio(None, "y") == 0
+    # A passage that is compared with many questions is read once for all of them.
+    fuzzy._places.cache_clear()
+    for k in range(20):
+        fuzzy.best_place(f"question {k}", ["one passage", "another passage"], [0.0, 0.0])
+    assert fuzzy._places.cache_info().misses == 2
