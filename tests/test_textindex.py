@@ -158,3 +158,23 @@ def test_positions_of_wanted_words_alone_are_sent(spark, tmp_path, monkeypatch):
     found = textindex.match_index(index, fulltext.search_clauses(asked, "q", "text"), "q")
     assert sorted((r["q"], r["id"]) for r in found.collect()) == [(1, 7), (2, 9)]
     assert "Join LeftSemi" in plans["fts-evidence"]
+
+
+def test_occurrences_by_label_are_counted_without_positions(spark, tmp_path, monkeypatch):
+    """The weights are those of all hits, phrases and excluded words included; positions are read for phrases alone."""
+    monkeypatch.setattr(textindex, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(textindex, "SLICE_CLAUSES", 6)
+    titles, texts = bodies(8, 50), bodies(9, 50)
+    docs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(titles, texts))], "doc_id int, title string, body string")
+    index = textindex.build_index(docs, str(tmp_path / "counts"), ["doc_id"], {"title": "A", "body": "D"}, buckets=4)
+    asked = [(i, a) for i, a in enumerate(ASKED)] + [(0, ASKED[0])]
+    clauses = fulltext.search_clauses(spark.createDataFrame(asked, "q int, text string"), "q", "text", exclude_only=True)
+    told = ["q", "alternative", "doc_id"]
+    want = textindex.match_index(index, clauses, "q").select(*told, textindex.hit_weights("hits").alias("w"))
+    got = textindex.match_index(index, clauses, "q", counts=True).select(*told, textindex.hit_weights_of_counts().alias("w"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plans, write = {}, textindex.materialise
+    monkeypatch.setattr(textindex, "materialise", lambda df, name, *a: plans.update({name: df}) or write(df, name, *a))
+    plain = fulltext.search_clauses(spark.createDataFrame([(1, "quick fox"), (2, "the -wifi")], "q int, text string"), "q", "text")
+    assert textindex.match_index(index, plain, "q", counts=True).count() > 0
+    assert plans["fts-evidence"].isEmpty()
