@@ -33,6 +33,8 @@ MOST_PARTS = 1_024
 FIT_SHARE, SPLIT_ROWS = 64, 4_096
 #: A list with so many times the average is split.
 OVERSIZE = 4
+#: Pairs of a query and a list that a task holds at once; each open one is a row with the vector of its query.
+PROBE_PAIRS = 32_768
 #: Rounding of distances must not lower a bound below them.
 MARGIN = 1e-7
 
@@ -171,11 +173,12 @@ def search_lists(
     centres, radii, vector = index.centroids, index.radii, index.manifest["vector"]
     names = asked.columns
     out_schema = T.StructType([*asked.schema.fields, T.StructField("list_id", T.IntegerType())])
+    step = max(1, PROBE_PAIRS // max(1, len(centres)))
 
     def probed(frame: DataFrame, later: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(centres):
+            for batch in (b.slice(first, step) for b in batches for first in range(0, b.num_rows, step)):
+                if not len(centres):
                     continue
                 table = pa.Table.from_batches([batch])
                 points = _unit_rows(_matrix(table.column(query_vector)))

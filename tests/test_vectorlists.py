@@ -1,6 +1,7 @@
 """Stored inverted lists: exact with all lists, recall with few, lists that one vector fills."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,18 @@ def test_blocks_are_sized_by_the_queries_of_one_list(spark):
     near = knn_join(asked, vectors, "query_id", ["row_id"], 1, match=["list_id"], block_queries=4)
     assert near._jdf.queryExecution().analyzed().toString().count("sequence(0, 0,") == 2
     assert sorted((r.query_id, r.list_id) for r in near.collect()) == [(q, l) for q in range(4) for l in range(3)]
+
+
+def test_probes_leave_a_task_in_bounded_batches(spark, index, monkeypatch):
+    """Open lists of very many queries are not put together at once; queries in pieces find the same."""
+    v, lists = index
+    q, frame_ = queries(spark, v)
+    monkeypatch.setattr(vl, "PROBE_PAIRS", 2 * len(lists.centroids))
+    made, map_in_arrow = [], type(frame_).mapInArrow
+    monkeypatch.setattr(type(frame_), "mapInArrow", lambda df, run, schema: made.append(run) or map_in_arrow(df, run, schema))
+    found = vl.search_lists(lists, frame_.drop("kind"), "query_id", ["row_id"], 7)
+    assert got(found) == brute(v, q, None, 7)
+    n = len(q)
+    asked = pa.record_batch({"query_id": range(n), "embedding": [list(map(float, x)) for x in q], "lim": [7] * n, "_wanted": [7] * n, "_kth": pa.array([None] * n, pa.float64())})
+    sizes = [b.num_rows for b in made[-1](iter([asked]))]
+    assert sum(sizes) == n * (len(lists.centroids) - 1) and max(sizes) <= 2 * len(lists.centroids)
